@@ -20,6 +20,12 @@ def _c(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def _is_text(value: str) -> Callable[[Column], Column]:
+    """Predicate on a variant: the JSON string ``value``."""
+    return lambda x: F.coalesce((F.schema_of_variant(x) == "STRING")
+                                & (F.try_variant_get(x, "$", "string") == value), F.lit(False))
+
+
 def json_has_keys(c: Column | str, keys: tuple[str, ...] = JSON_KEYS) -> Column:
     """JSON with all keys. Text from the first ``{`` counts when it ends with ``}``."""
     raw = text_or_empty(c)
@@ -31,9 +37,7 @@ def json_has_keys(c: Column | str, keys: tuple[str, ...] = JSON_KEYS) -> Column:
     ok = F.lit(True)
     for k in keys:
         field = F.variant_get(v, f'$["{k}"]', "variant").isNotNull()
-        item = F.exists(as_list, lambda x, k=k: F.coalesce(
-            (F.schema_of_variant(x) == "STRING") & (F.try_variant_get(x, "$", "string") == k),
-            F.lit(False)))
+        item = F.exists(as_list, _is_text(k))
         ok = ok & (F.when(kind.startswith("OBJECT"), field)
                    .when(kind.startswith("ARRAY"), item)
                    .when(kind == "STRING", as_text.contains(k))

@@ -17,32 +17,34 @@ WORD_START = "▁"
 FIRST_BYTE = len(SPECIALS)
 FIRST_PIECE = FIRST_BYTE + 256
 
-# Words hold no white space, so a newline can separate their symbols.
+# Words hold no white space, so a newline can mark symbols. Each symbol is written
+# between two of them; the text "mark a mark mark b mark" then only matches whole
+# symbols, and a merge is a plain string replacement.
 SEP = "\n"
 
 
-def _literal(text: str) -> str:
-    return "\\Q" + text.replace("\\E", "\\E\\\\E\\Q") + "\\E"
+def _wrapped(symbol: str) -> str:
+    return SEP + symbol + SEP
 
 
 def _merge(symbols: Column, a: str, b: str) -> Column:
-    """Join every adjacent ``a b``, left to right, in a SEP-separated symbol string."""
-    pattern = f"(?<![^\n]){_literal(a)}\n{_literal(b)}(?![^\n])"
-    made = (a + b).replace("\\", "\\\\").replace("$", "\\$")
-    return F.regexp_replace(symbols, F.lit(pattern), F.lit(made))
+    """Join every adjacent ``a b``, left to right."""
+    return F.replace(symbols, F.lit(_wrapped(a) + _wrapped(b)), F.lit(_wrapped(a + b)))
 
 
 def word_symbols(word: Column | str) -> Column:
     w = F.col(word) if isinstance(word, str) else word
-    return F.concat_ws(SEP, F.lit(WORD_START), F.filter(F.split(w, ""), lambda ch: ch != ""))
+    chars = F.filter(F.split(w, ""), lambda ch: ch != "")
+    return F.concat(F.lit(SEP), F.concat_ws(SEP + SEP, F.lit(WORD_START), chars), F.lit(SEP))
 
 
 def pair_counts(types: DataFrame) -> DataFrame:
     """Weighted counts of adjacent symbols: ``a, b, n`` (summed before the shuffle)."""
-    s = F.split("symbols", SEP)
-    pairs = F.transform(F.sequence(F.lit(1), F.size(s) - 1),
-                        lambda i: F.struct(F.element_at(s, i).alias("a"), F.element_at(s, i + 1).alias("b")))
-    return (types.select("n", F.explode(F.when(F.size(s) > 1, pairs)).alias("p"))
+    s = F.split(F.btrim("symbols", F.lit(SEP)), SEP + SEP)
+    d = types.select("n", s.alias("s")).filter(F.size("s") > 1)
+    rest = F.size("s") - 1
+    pairs = F.arrays_zip(F.slice("s", 1, rest).alias("a"), F.slice("s", F.lit(2), rest).alias("b"))
+    return (d.select("n", F.explode(pairs).alias("p"))
             .groupBy("p.a", "p.b").agg(F.sum("n").alias("n")))
 
 
@@ -78,8 +80,11 @@ def learn_bpe(counts: DataFrame, n_merges: int, batch: int = 64, every: int = 8,
     rewritten on the executors; their lineage is cut every few rounds with a
     reliable checkpoint.
     """
-    shared_dir(counts.sparkSession)
-    types = counts.select(word_symbols("token").alias("symbols"), "n").checkpoint()
+    spark = counts.sparkSession
+    shared_dir(spark)
+    # word types are few next to the corpus; spread them over all cores for the rounds
+    types = (counts.repartition(spark.sparkContext.defaultParallelism)
+             .select(word_symbols("token").alias("symbols"), "n").checkpoint())
     merges: list[tuple[str, str, int]] = []
     rounds = 0
     while len(merges) < n_merges:

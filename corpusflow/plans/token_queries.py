@@ -67,7 +67,7 @@ def tok4(spark, sf):
     return K.build_vocab(K.word_counts(documents(spark, sf)), VOCAB)
 
 
-MERGES = 60
+MERGES = 40
 
 
 @query("tok5_learn_bpe")
