@@ -16,6 +16,9 @@ WS_CHARS = (
 WS_CLASS = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WS = f"[{WS_CLASS}]"
 NOT_WS = f"[^{WS_CLASS}]"
+# A run of white space. Most characters are visible ASCII; ruling those out first
+# makes splitting about twice as fast.
+WS_RUN = f"(?:(?![!-~]){WS})+"
 # What Python's str.splitlines() breaks on.
 LINE_BREAKS = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
@@ -117,7 +120,7 @@ def truncate_user(c: Column | str, max_len: int | None) -> Column:
 
 def words(c: Column | str) -> Column:
     """White-space separated words."""
-    return F.filter(F.split(_col(c), f"{WS}+"), lambda w: w != "")
+    return F.array_remove(F.split(_col(c), WS_RUN), "")
 
 
 def split_lines(c: Column | str) -> Column:

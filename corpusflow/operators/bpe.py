@@ -6,9 +6,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.arrow_text import WordIds
 from ..session import shared_dir
 from .tokens import SPECIALS
 
@@ -117,6 +117,31 @@ class BpeModel:
         self.size = FIRST_PIECE + len(self.ids)
         self.data = spark.sparkContext.broadcast((self.ids, self.ranks))
 
+    def word_ids(self) -> WordIds:
+        """Ids of flat words. A batch is dictionary-encoded, so a distinct word is split
+        once, with a bounded memo across the batches of a worker."""
+        data = self.data
+        memo: dict = {}
+
+        def lookup(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            if not memo:
+                ids, ranks = data.value
+                memo["one"] = lru_cache(maxsize=200_000)(
+                    lambda w: np.array(piece_ids(bpe_pieces(w, ranks), ids), np.int32))
+            coded = words.dictionary_encode()
+            table = [memo["one"](w) for w in coded.dictionary.to_pylist()]
+            if not table:
+                return np.empty(0, np.int32), np.empty(0, np.int64)
+            size = np.array([len(t) for t in table], np.int64)
+            pool, first = np.concatenate(table), np.cumsum(size) - size
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            width = size[at]
+            # place of each id: start of its word in the pool plus its place in the word
+            inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+            return pool[np.repeat(first[at], width) + inner], width
+
+        return lookup
+
 
 def bpe_pieces(word: str, ranks: dict) -> list[str]:
     """Apply the lowest-ranked merge to all its places until none is left."""
@@ -146,44 +171,3 @@ def piece_ids(pieces: list[str], ids: dict) -> list[int]:
         else:
             out.extend(FIRST_BYTE + b for b in p.encode("utf-8"))
     return out
-
-
-def encode_bpe(tokens: Column, model: BpeModel, line_end: int | None = None) -> Column:
-    """Ids of an ``array<string>`` column of words.
-
-    A batch is dictionary-encoded so each distinct word is split once, with a
-    bounded memo across batches; the ids are spread back by position. No shuffle.
-    With ``line_end`` the line mark of ``line_words`` becomes that single id.
-    """
-    data = model.data
-    memo = {}
-
-    @F.arrow_udf("array<int>")
-    def run(col: pa.Array) -> pa.Array:
-        if "f" not in memo:
-            ids, ranks = data.value
-
-            @lru_cache(maxsize=200_000)
-            def one(word: str) -> np.ndarray:
-                if line_end is not None and word == SEP:
-                    return np.array([line_end], np.int32)
-                return np.array(piece_ids(bpe_pieces(word, ranks), ids), np.int32)
-
-            memo["f"] = one
-        flat = col.flatten().cast(pa.string()).dictionary_encode()
-        table = [memo["f"](w) for w in flat.dictionary.to_pylist()]
-        at = flat.indices.to_numpy(zero_copy_only=False)
-        width = np.array([len(t) for t in table], np.int64)
-        pool = np.concatenate(table) if table else np.empty(0, np.int32)
-        first = np.cumsum(width) - width
-        w = width[at] if len(at) else np.empty(0, np.int64)
-        ends = np.cumsum(w)
-        # index of each output id: start of its word in the pool plus its place there
-        place = np.arange(int(w.sum())) - np.repeat(ends - w, w)
-        out = pool[np.repeat(first[at], w) + place] if len(at) else pool
-        words = np.concatenate([[0], np.cumsum(
-            pa.compute.fill_null(pa.compute.list_value_length(col), 0).to_numpy(zero_copy_only=False))])
-        bounds = np.concatenate([[0], ends])[words.astype(np.int64)]
-        return pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(out.astype(np.int32)))
-
-    return run(tokens)

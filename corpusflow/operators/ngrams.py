@@ -54,18 +54,12 @@ def ngram_counts(df: DataFrame, n: int, ids: str = "ids", group: Sequence[str] =
             .groupBy(*group, "gram").agg(F.count("*").alias("n")))
 
 
-def _transitions(ids: Column, bos: int = BOS) -> Column:
-    """``array<struct<pos, ctx, tok>>``: each token with the one before it."""
-    shifted = F.concat(F.array(F.lit(bos)), ids)
-    return F.transform(F.arrays_zip(shifted.alias("ctx"), ids.alias("tok")),
-                       lambda x, i: F.struct(i.cast("bigint").alias("pos"), x["ctx"].alias("ctx"),
-                                             x["tok"].alias("tok")))
-
-
 def transitions(df: DataFrame, key: Sequence[str], ids: str = "ids", bos: int = BOS) -> DataFrame:
     """One row per token: ``key..., pos, ctx, tok``."""
-    pairs = F.filter(_transitions(F.col(ids), bos), lambda x: x["tok"].isNotNull())
-    return df.select(*key, F.explode(pairs).alias("t")).select(*key, "t.pos", "t.ctx", "t.tok")
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(bos)), F.col(ids)).alias("ctx"), F.col(ids).alias("tok"))
+    # the longer list leaves one entry without a token at the end
+    return (df.select(*key, F.posexplode(pairs).alias("pos", "t")).filter(F.col("t.tok").isNotNull())
+            .select(*key, F.col("pos").cast("bigint").alias("pos"), "t.ctx", "t.tok"))
 
 
 def bigram_counts(df: DataFrame, ids: str = "ids", group: Sequence[str] = (), bos: int = BOS) -> DataFrame:

@@ -7,7 +7,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import WS, not_blank, strip, text_or_empty, words
+from ..functions import arrow_text as A
+from ..functions.arrow_text import WordIds
+from ..functions.text import WS, _col, not_blank, strip, text_or_empty, words
 from .index import first_n
 from .mixing import hash_block, hash_key
 
@@ -82,91 +84,108 @@ def build_vocab(counts: DataFrame, size: int) -> DataFrame:
 class Vocab:
     """A vocabulary of bounded size, sent to the workers once.
 
-    ``limit`` is the proof of the bound: reading stops with an error beyond it.
+    ``limit`` is the proof of the bound: reading stops with an error beyond it. With
+    ``first_byte`` an unknown word gives its UTF-8 bytes as ``first_byte + byte``
+    instead of the unknown id.
     """
 
-    def __init__(self, df: DataFrame, limit: int = 1_000_000):
+    def __init__(self, df: DataFrame, limit: int = 1_000_000, first_byte: int | None = None):
         rows = df.select("token", "id").limit(limit + 1).toArrow()
         if rows.num_rows > limit:
             raise ValueError(f"vocabulary has more than {limit} entries")
         self.size = rows.num_rows + len(SPECIALS)
+        self.first_byte = first_byte
         self.data = df.sparkSession.sparkContext.broadcast(
             (rows["token"].combine_chunks().cast(pa.string()),
              rows["id"].combine_chunks().cast(pa.int32())))
 
+    def word_ids(self) -> WordIds:
+        """Lookup of flat words, one hash probe per word."""
+        data, first_byte = self.data, self.first_byte
 
-def line_words(text: Column | str, keep_blank: bool = False) -> Column:
-    """Words of all lines in order, ``LINE_END`` after each kept line.
+        def known(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            toks, ids = data.value
+            got = pc.fill_null(pc.take(ids, pc.index_in(words, value_set=toks)), UNK)
+            return got.to_numpy(zero_copy_only=False), np.ones(len(words), np.int64)
 
-    Blank lines are dropped; with ``keep_blank`` only empty ones are.
-    """
-    t = text_or_empty(text)
-    kept = F.filter(F.split(t, "\n"),
-                    (lambda x: x != "") if keep_blank else (lambda x: not_blank(x)))
-    return F.flatten(F.transform(kept, lambda x: F.concat(words(x), F.array(F.lit(LINE_END)))))
+        def or_bytes(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            toks, ids = data.value
+            got = pc.take(ids, pc.index_in(words, value_set=toks))
+            missing = pc.is_null(got)
+            raw = pc.if_else(missing, words, "").cast(pa.binary())
+            n = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
+            width = np.where(missing.to_numpy(zero_copy_only=False), n, 1)
+            out = np.repeat(pc.fill_null(got, -1).to_numpy(zero_copy_only=False), width)
+            out[out < 0] = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32) + first_byte
+            return out, width
+
+        return known if first_byte is None else or_bytes
 
 
-def encode(tokens: Column, vocab: Vocab, line_end: int = EOS, unk: int = UNK) -> Column:
-    """Ids of an ``array<string>`` column; ``LINE_END`` becomes ``line_end``.
+def encode(tokens: Column | str, model, line_end: int = EOS) -> Column:
+    """Ids of an ``array<string>`` column; ``LINE_END`` entries become ``line_end``.
 
-    One hash lookup per Arrow batch over the flattened words. Rows keep their
-    place, so encoding costs no shuffle.
+    ``model`` is a ``Vocab`` or a ``BpeModel``. Rows keep their place: the lookup
+    runs on Arrow batches and costs no shuffle.
     """
-    data = vocab.data
+    word_ids = model.word_ids()
+
+    def with_marks(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids, width = word_ids(words)
+        mark = pc.equal(words, LINE_END).to_numpy(zero_copy_only=False)
+        if not mark.any():
+            return ids, width
+        keep = ~np.repeat(mark, width)
+        out_width = np.where(mark, 1, width)
+        out = np.full(int(out_width.sum()), line_end, np.int32)
+        out[~np.repeat(mark, out_width)] = ids[keep]
+        return out, out_width
 
     @F.arrow_udf("array<int>")
     def lookup(col: pa.Array) -> pa.Array:
-        toks, ids = data.value
-        flat = col.flatten().cast(pa.string())
-        at = pc.index_in(flat, value_set=toks)
-        got = pc.fill_null(pc.take(ids, at), unk)
-        got = pc.if_else(pc.equal(flat, LINE_END), pa.scalar(line_end, pa.int32()), got)
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))
-        offsets = np.concatenate([[0], ends]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), got)
+        return A.list_ids(col, with_marks)
 
-    return lookup(tokens)
+    return lookup(_col(tokens))
 
 
-def byte_fallback_words(tokens: Column, vocab: Vocab, first_byte: int) -> Column:
-    """As ``encode`` but an unknown word gives its UTF-8 bytes, id ``first_byte + byte``."""
-    data = vocab.data
+def encode_text(df: DataFrame, model, text: str = "text", out: str = "ids") -> DataFrame:
+    """Ids of the words of a whole text, no specials added."""
+    word_ids = model.word_ids()
 
     @F.arrow_udf("array<int>")
     def lookup(col: pa.Array) -> pa.Array:
-        toks, ids = data.value
-        flat = col.flatten().cast(pa.string())
-        at = pc.index_in(flat, value_set=toks)
-        known = pc.take(ids, at)
-        raw = pc.cast(pc.if_else(pc.is_null(known), flat, pa.scalar("")), pa.binary())
-        n_bytes = pc.binary_length(raw).to_numpy(zero_copy_only=False).astype(np.int64)
-        width = np.where(known.is_valid().to_numpy(zero_copy_only=False), 1, n_bytes)
-        out = np.repeat(pc.fill_null(known, -1).to_numpy(zero_copy_only=False), width)
-        spill = np.frombuffer(b"".join(raw.to_pylist()), np.uint8).astype(np.int32)
-        out[out < 0] = spill + first_byte
-        word_ends = np.concatenate([[0], np.cumsum(width)])
-        rows = np.concatenate([[0], np.cumsum(
-            pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False))]).astype(np.int64)
-        return pa.ListArray.from_arrays(pa.array(word_ends[rows].astype(np.int32)),
-                                        pa.array(out.astype(np.int32)))
-
-    return lookup(tokens)
-
-
-def encode_text(df: DataFrame, vocab: Vocab, text: str = "text", out: str = "ids") -> DataFrame:
-    """Ids of a whole text, no specials added."""
-    return df.withColumn(out, encode(words(text_or_empty(text)), vocab))
-
-
-def encode_lines(df: DataFrame, vocab: Vocab, text: str = "text", out: str = "ids",
+        return A.text_ids(col, word_ids)
+
+    return df.withColumn(out, lookup(text_or_empty(text)))
+
+
+def line_token_count(text: Column | str, keep_blank: bool = False) -> Column:
+    """Number of word tokens and line ends of a text; cheap next to encoding it."""
+    @F.arrow_udf("int")
+    def count(col: pa.Array) -> pa.Array:
+        return A.count_line_tokens(col, keep_blank)
+
+    return count(text_or_empty(text))
+
+
+def encode_lines(df: DataFrame, model, text: str = "text", out: str = "ids",
                  line_end: int = EOS, keep_blank: bool = False) -> DataFrame:
-    """Ids of all lines of a text, each ended by ``line_end``; also ``n_tok``.
+    """Ids of all lines of a text, each ended by ``line_end``.
 
-    ``n_tok`` is counted on the JVM side so that running totals over it do not
-    run the encoder a second time.
+    Blank lines are dropped; with ``keep_blank`` only empty ones are. For a word
+    vocabulary ``n_tok`` is added from a count of its own, so that running totals
+    over it do not need the ids.
     """
-    toks = line_words(text, keep_blank)
-    return (df.withColumn("n_tok", F.size(toks)).withColumn(out, encode(toks, vocab, line_end)))
+    word_ids = model.word_ids()
+
+    @F.arrow_udf("array<int>")
+    def lookup(col: pa.Array) -> pa.Array:
+        return A.line_ids(col, word_ids, line_end, keep_blank)
+
+    ids = lookup(text_or_empty(text))
+    if isinstance(model, Vocab) and model.first_byte is None:
+        return df.withColumns({out: ids, "n_tok": line_token_count(text, keep_blank)})
+    return df.withColumn(out, ids)
 
 
 def with_eos(ids: Column | str, eos: int = EOS) -> Column:

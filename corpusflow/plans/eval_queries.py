@@ -10,7 +10,7 @@ from ..operators import diagnostics as D
 from ..operators import evaluation as E
 from ..operators import ngrams as N
 from ..operators import tokens as K
-from ..session import materialize
+from ..session import materialize, spread
 from .registry import conversations, documents, query, table
 from .sql import PREFS, WS_RE, ids_cte, strip, words as sql_words, words_cte
 from .text_queries import preference_rows
@@ -35,7 +35,7 @@ def doc_bigrams(spark, sf):
 
 
 def lang_bigrams(spark, sf):
-    d = documents(spark, sf).select("doc_id", F.col("lang").alias("model"), "text")
+    d = spread(documents(spark, sf).select("doc_id", F.col("lang").alias("model"), "text"), "doc_id")
     return N.bigram_counts(K.encode_lines(d, doc_vocab(spark, sf)), group=["model"])
 
 

@@ -11,7 +11,7 @@ from ..operators import packing as P
 from ..operators import tokens as K
 from ..operators.index import row_index
 from ..operators.mixing import MIX_CAPS, hash_key
-from ..session import materialize
+from ..session import materialize, spread
 from .chat_queries import instructions
 from .registry import documents, query
 from .sql import FIRSTS, NL, ids_cte, joined, lines_cte, strip, vocab_cte, words as sql_words
@@ -20,13 +20,16 @@ VOCAB = 4000
 SEQ = 128
 
 
-def doc_vocab(spark, sf, size: int = VOCAB) -> K.Vocab:
-    return K.Vocab(K.build_vocab(K.word_counts(documents(spark, sf)), size))
+def texts(spark, sf):
+    return spread(documents(spark, sf).select("doc_id", "text"), "doc_id")
+
+
+def doc_vocab(spark, sf, size: int = VOCAB, **kw) -> K.Vocab:
+    return K.Vocab(K.build_vocab(K.word_counts(texts(spark, sf)), size), **kw)
 
 
 def encoded_docs(spark, sf, **kw):
-    d = documents(spark, sf).select("doc_id", "text")
-    return K.encode_lines(d, doc_vocab(spark, sf), **kw).drop("text")
+    return K.encode_lines(texts(spark, sf), doc_vocab(spark, sf), **kw).drop("text")
 
 
 def packed_docs(spark, sf, seq_len: int = SEQ):
@@ -43,7 +46,7 @@ def _str(c):
 WITH {lines_cte()} SELECT doc_id, line_no - 1 AS line_no, {strip('line')} AS line FROM dlines
 WHERE {strip('line')} <> '' ORDER BY md5('42|' || doc_id || '|' || (line_no - 1)), doc_id, line_no LIMIT 20000""")
 def tok1(spark, sf):
-    return K.tokenizer_sample(documents(spark, sf), 20_000)
+    return K.tokenizer_sample(texts(spark, sf), 20_000)
 
 
 @query("tok2_char_coverage", """
@@ -53,18 +56,18 @@ r AS (SELECT ch, n, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY n DE
         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c)
 SELECT ch, n FROM r WHERE before = 0 OR before < 0.9995 * total""")
 def tok2(spark, sf):
-    return K.char_coverage(documents(spark, sf))
+    return K.char_coverage(texts(spark, sf))
 
 
 @query("tok3_word_counts", f"""
 SELECT token, count(*) AS n FROM (SELECT unnest({sql_words('text')}) AS token FROM documents) GROUP BY token""")
 def tok3(spark, sf):
-    return K.word_counts(documents(spark, sf))
+    return K.word_counts(texts(spark, sf))
 
 
 @query("tok4_vocab", f"WITH {vocab_cte(VOCAB)} SELECT token, n, CAST(id AS INT) AS id FROM vocab")
 def tok4(spark, sf):
-    return K.build_vocab(K.word_counts(documents(spark, sf)), VOCAB)
+    return K.build_vocab(K.word_counts(texts(spark, sf)), VOCAB)
 
 
 MERGES = 40
@@ -72,7 +75,7 @@ MERGES = 40
 
 @query("tok5_learn_bpe")
 def tok5(spark, sf):
-    got = bpe.learn_bpe(K.word_counts(documents(spark, sf)), MERGES)
+    got = bpe.learn_bpe(K.word_counts(texts(spark, sf)), MERGES)
     return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(got)],
                                  "rank int, a string, b string, n bigint")
 
@@ -85,7 +88,7 @@ WITH {vocab_cte(VOCAB)}, w AS (SELECT doc_id, j, ws[j] AS tok FROM
 SELECT doc_id, string_agg(CAST(coalesce(id, 0) AS VARCHAR), ',' ORDER BY j) AS ids
 FROM w LEFT JOIN vocab ON tok = token GROUP BY doc_id""")
 def tok6(spark, sf):
-    d = K.encode_text(documents(spark, sf).select("doc_id", "text"), doc_vocab(spark, sf))
+    d = K.encode_text(texts(spark, sf), doc_vocab(spark, sf))
     return d.select("doc_id", _str("ids").alias("ids"))
 
 
@@ -98,21 +101,20 @@ SELECT doc_id, string_agg(CASE WHEN id IS NOT NULL THEN CAST(id AS VARCHAR) ELSE
     CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) + {VOCAB}), ',') END, ',' ORDER BY j) AS ids
 FROM p GROUP BY doc_id""")
 def tok6_bytes(spark, sf):
-    d = documents(spark, sf)
-    ids = K.byte_fallback_words(words("text"), doc_vocab(spark, sf), VOCAB)
-    return d.select("doc_id", _str(ids).alias("ids"))
+    d = K.encode_text(texts(spark, sf), doc_vocab(spark, sf, first_byte=VOCAB))
+    return d.select("doc_id", _str("ids").alias("ids"))
 
 
 def bpe_model(spark, sf):
-    d = documents(spark, sf)
+    d = texts(spark, sf)
     chars = [r.ch for r in K.char_coverage(d).orderBy(F.desc("n"), "ch").collect()]
     return bpe.BpeModel(spark, chars, bpe.learn_bpe(K.word_counts(d), MERGES))
 
 
 @query("tok6_encode_bpe")
 def tok6_bpe(spark, sf):
-    ids = bpe.encode_bpe(words("text"), bpe_model(spark, sf))
-    return documents(spark, sf).select("doc_id", _str(ids).alias("ids"))
+    d = K.encode_text(texts(spark, sf), bpe_model(spark, sf))
+    return d.select("doc_id", _str("ids").alias("ids"))
 
 
 _IDS = ids_cte(VOCAB)
@@ -131,7 +133,7 @@ WITH {vocab_cte(VOCAB)}, w AS (SELECT doc_id, j, ws[j] AS tok FROM
 SELECT doc_id, string_agg(CAST(coalesce(id, 0) AS VARCHAR), ',' ORDER BY j) || ',2' AS ids
 FROM w LEFT JOIN vocab ON tok = token GROUP BY doc_id""")
 def tok7_eos(spark, sf):
-    d = K.encode_text(documents(spark, sf).select("doc_id", "text"), doc_vocab(spark, sf))
+    d = K.encode_text(texts(spark, sf), doc_vocab(spark, sf))
     return d.select("doc_id", _str(K.with_eos("ids")).alias("ids"))
 
 
@@ -147,7 +149,7 @@ SELECT doc_id, string_agg(CAST(CASE WHEN tok = {NL} THEN {NEWLINE_ID} ELSE coale
   ORDER BY line_no, j) AS ids FROM t LEFT JOIN vocab ON tok = token GROUP BY doc_id""")
 def tok8(spark, sf):
     # the documents hold no white-space-only lines, so some are put in
-    src = documents(spark, sf).select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n  \n")).alias("text"))
+    src = texts(spark, sf).select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n  \n")).alias("text"))
     d = K.encode_lines(src, doc_vocab(spark, sf), line_end=NEWLINE_ID, keep_blank=True)
     return d.select("doc_id", _str("ids").alias("ids"))
 
@@ -191,7 +193,7 @@ def jn4(spark, sf):
     """Lookup as a join, after counting: one row per language and word type."""
     types = (documents(spark, sf).select("lang", F.explode(words(text_or_empty("text"))).alias("tok"))
              .groupBy("lang", "tok").agg(F.count("*").alias("n")))
-    vocab = K.build_vocab(K.word_counts(documents(spark, sf)), VOCAB)  # at most VOCAB rows
+    vocab = K.build_vocab(K.word_counts(texts(spark, sf)), VOCAB)  # at most VOCAB rows
     d = types.join(F.broadcast(vocab.select(F.col("token").alias("tok"), "id")), "tok", "left")
     return d.select("lang", "tok", F.coalesce("id", F.lit(K.UNK)).alias("id"), "n")
 
@@ -210,9 +212,8 @@ def pck1(spark, sf):
 @query("pck1_pack_bpe")
 def pck1_bpe(spark, sf):
     """Subword ids are stored once, then packed: length and content come from one pass."""
-    d = documents(spark, sf)
-    ids = bpe.encode_bpe(K.line_words("text"), bpe_model(spark, sf), line_end=K.EOS)
-    stored = materialize(d.select("doc_id", ids.alias("ids")), "subword-ids")
+    ids = K.encode_lines(texts(spark, sf), bpe_model(spark, sf)).select("doc_id", "ids")
+    stored = materialize(ids, "subword-ids")
     return P.pack(stored, SEQ, "doc_id").select("seq_id", _str("input_ids").alias("input_ids"))
 
 
@@ -234,7 +235,7 @@ i AS (SELECT batch, coalesce(id, 0) AS id, row_number() OVER (PARTITION BY batch
 SELECT batch, pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
 FROM i GROUP BY 1, 2 HAVING count(*) = {SEQ}""")
 def pck3(spark, sf):
-    d = K.encode_text(documents(spark, sf).select("doc_id", "text"), doc_vocab(spark, sf))
+    d = K.encode_text(texts(spark, sf), doc_vocab(spark, sf))
     return P.pack_by_batch(d, SEQ, "doc_id", batch_rows=50).withColumn("input_ids", _str("input_ids"))
 
 
