@@ -1,3 +1,10 @@
 """corpusflow: text-corpus preparation and evaluation tables on Spark."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# Task functions travel with their plan, so executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.chat import user_prompt
 from ..functions.text import ANSWER_MARK, strip, text_or_empty
-from .index import row_index
+from .index import int_div, row_index
 
 ROLES = ("system", "user", "prompter", "assistant")
 
@@ -68,7 +68,7 @@ def exchanges(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
     d = row_index(df.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"),
                             F.col(role).alias("role"), F.col(text).alias("text")),
                   "turn", "i", ["conv_id"])
-    own = F.floor(F.col("i") / chunk)
+    own = int_div("i", chunk)
     d = d.withColumn("c", F.explode(
         F.when((F.col("i") % chunk == 0) & (F.col("i") > 0), F.array(own - 1, own))
         .otherwise(F.array(own))))
@@ -92,7 +92,7 @@ def rolling_prompts(ex: DataFrame, max_turns: int = 8, chunk: int = 1024) -> Dat
     done = F.when(F.col("assistant").isNull(), turn).otherwise(
         F.concat(turn, strip("assistant"), F.lit("\n")))
     d = row_index(ex, "turn", "i", ["conv_id"]).withColumn("done", done).withColumn("open", turn)
-    own = F.floor(F.col("i") / chunk)
+    own = int_div("i", chunk)
     d = d.withColumn("c", F.explode(
         F.when(F.col("i") % chunk >= chunk - keep, F.array(own, own + 1)).otherwise(F.array(own))))
     w = Window.partitionBy("conv_id", "c").orderBy("i").rowsBetween(-keep, -1)

@@ -28,6 +28,12 @@ SMALL_TOP = 10_000
 SMALL_RANK = 1_000
 
 
+def int_div(a: Column | str, b: int | Column) -> Column:
+    """Whole-number division; plain ``/`` goes through double and loses large keys."""
+    return F.call_function("div", F.col(a) if isinstance(a, str) else a,
+                           F.lit(b) if isinstance(b, int) else b)
+
+
 def join_whole(a: DataFrame, b: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` where null matches null; keeps one copy of the keys."""
     b = b.select(*[F.col(c).alias(f"__j_{c}") for c in cols],
@@ -42,22 +48,32 @@ def block_of(order: Column | str, bits: int = BLOCK_BITS) -> Column:
     return F.shiftright(c.cast("bigint"), bits)
 
 
-def _bases(totals: DataFrame, group: list[str], bits: int) -> DataFrame:
-    """``(group, __b, __s)`` to the exclusive running total ``__base`` per block."""
+def _blocks(df: DataFrame, order: list[str], group: list[str], block: Column | None) -> tuple[DataFrame, list[str]]:
+    """Add the block ``__b`` and, for grouped use, the group as one struct ``__g``.
+
+    A struct is never null itself, so groups with null members still meet in a plain
+    equi-join, and window, totals and join all share one hash partitioning.
+    """
+    d = df.withColumn("__b", block if block is not None else block_of(order[0]))
+    return (d.withColumn("__g", F.struct(*group)), ["__g"]) if group else (d, [])
+
+
+def _bases(totals: DataFrame, g: list[str], bits: int) -> DataFrame:
+    """``(g, __b, __s)`` to the exclusive running total ``__base`` per block."""
     if bits <= BLOCK_BITS:
-        w = (Window.partitionBy(*(group or [F.lit(0)])).orderBy("__b")
+        w = (Window.partitionBy(*(g or [F.lit(0)])).orderBy("__b")
              .rowsBetween(Window.unboundedPreceding, -1))
-        return totals.select(*group, "__b", "__s",
+        return totals.select(*g, "__b", "__s",
                              F.coalesce(F.sum("__s").over(w), F.lit(0)).alias("__base"))
     t = totals.withColumn("__p", block_of("__b"))
-    w = (Window.partitionBy(*group, "__p").orderBy("__b")
+    w = (Window.partitionBy(*g, "__p").orderBy("__b")
          .rowsBetween(Window.unboundedPreceding, -1))
     local = t.withColumn("__base", F.coalesce(F.sum("__s").over(w), F.lit(0)))
-    up = _bases(t.groupBy(*group, "__p").agg(F.sum("__s").alias("__s"))
-                .withColumnRenamed("__p", "__b"), group, bits - BLOCK_BITS)
-    up = up.select(*group, F.col("__b").alias("__p"), F.col("__base").alias("__up"))
-    return (join_whole(local, up, [*group, "__p"])
-            .select(*group, "__b", "__s", (F.col("__base") + F.col("__up")).alias("__base")))
+    up = _bases(t.groupBy(*g, "__p").agg(F.sum("__s").alias("__s"))
+                .withColumnRenamed("__p", "__b"), g, bits - BLOCK_BITS)
+    up = up.select(*g, F.col("__b").alias("__p"), F.col("__base").alias("__up"))
+    return (local.join(up, [*g, "__p"], "left")
+            .select(*g, "__b", "__s", (F.col("__base") + F.col("__up")).alias("__base")))
 
 
 def prefix_sum(df: DataFrame, value: Column, out: str, order: str | Sequence[str],
@@ -65,25 +81,27 @@ def prefix_sum(df: DataFrame, value: Column, out: str, order: str | Sequence[str
                key_bits: int = KEY_BITS) -> DataFrame:
     """Add ``out`` = sum of ``value`` over all earlier rows (of the group).
 
-    ``order`` is unique within a group. The first order column is an integer and
-    makes the blocks, unless ``block`` gives another non-decreasing integer (for
-    instance the leading bits of a hash); ``key_bits`` then counts the bits of
+    ``order`` is unique within a group and not null. The first order column is an
+    integer and makes the blocks, unless ``block`` gives another non-decreasing integer
+    (for instance the leading bits of a hash); ``key_bits`` then counts the bits of
     ``block`` plus 16.
 
     The totals branch reads only the columns ``value`` needs, so pass a value
-    that is cheap to recompute, or a stored column.
+    that is cheap to recompute, or a stored column. The rows are shuffled once: window
+    and join use the same partitioning, and as the left side of an outer join they
+    are never the side that is broadcast.
     """
     group, order = list(group), [order] if isinstance(order, str) else list(order)
-    d = df.withColumn("__b", block if block is not None else block_of(order[0]))
+    d, g = _blocks(df, order, group, block)
     d = d.withColumn("__v", value.cast("bigint"))
-    totals = d.groupBy(*group, "__b").agg(F.sum("__v").alias("__s"))
-    base = _bases(totals, group, key_bits - BLOCK_BITS).drop("__s")
-    w = (Window.partitionBy(*group, "__b").orderBy(*order)
+    totals = d.groupBy(*g, "__b").agg(F.sum("__v").alias("__s"))
+    base = _bases(totals, g, key_bits - BLOCK_BITS).drop("__s")
+    w = (Window.partitionBy(*g, "__b").orderBy(*order)
          .rowsBetween(Window.unboundedPreceding, -1))
     d = d.withColumn("__l", F.coalesce(F.sum("__v").over(w), F.lit(0)))
-    return (join_whole(d, base, [*group, "__b"])
+    return (d.join(base, [*g, "__b"], "left")
             .withColumn(out, F.col("__l") + F.col("__base"))
-            .drop("__b", "__v", "__l", "__base"))
+            .select(*df.columns, out))
 
 
 def row_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
@@ -109,16 +127,17 @@ def first_n(df: DataFrame, n: int | DataFrame, order: str | Sequence[str],
         if group and n <= SMALL_RANK:
             w = Window.partitionBy(*group).orderBy(*order)
             return df.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= n).drop("__r")
-    d = df.withColumn("__b", block if block is not None else block_of(order[0]))
-    totals = d.groupBy(*group, "__b").agg(F.count("*").alias("__s"))
-    base = _bases(totals, group, key_bits - BLOCK_BITS)
+    d, g = _blocks(df, order, group, block)
+    totals = d.groupBy(*g, "__b").agg(F.count("*").alias("__s"))
+    base = _bases(totals, g, key_bits - BLOCK_BITS)
     if isinstance(n, int):
         base = base.withColumn("__k", F.lit(n).cast("bigint"))
     else:
-        base = join_whole(base, n.select(*group, F.col("k").cast("bigint").alias("__k")), group)
+        quota = n.select(F.struct(*group).alias("__g"), F.col("k").cast("bigint").alias("__k"))
+        base = base.join(quota, "__g")
     wanted = base.filter(F.col("__base") < F.col("__k")).drop("__s")
-    d = join_whole(d, wanted, [*group, "__b"])
-    w = Window.partitionBy(*group, "__b").orderBy(*order)
-    return (d.withColumn("__r", F.row_number().over(w))
+    w = Window.partitionBy(*g, "__b").orderBy(*order)
+    return (d.join(wanted, [*g, "__b"])
+            .withColumn("__r", F.row_number().over(w))
             .filter(F.col("__base") + F.col("__r") <= F.col("__k"))
-            .drop("__b", "__base", "__r", "__k"))
+            .select(*df.columns))

@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import classify_bucket
-from .index import KEY_BITS, first_n, join_whole, row_index
+from .index import KEY_BITS, first_n, int_div, row_index
 
 # Mixture manifest and instruction-mix defaults.
 MIXTURE_WEIGHTS = {"fineweb": 0.60, "wikipedia": 0.10, "books": 0.10, "code": 0.10, "math": 0.10}
@@ -82,7 +82,7 @@ def block_shuffle(df: DataFrame, order: str, seed: int, buffer: int = SHUFFLE_BU
     Adds ``pos``, the new global position, and ``block``.
     """
     d = row_index(df, order, "__i", key_bits=key_bits)
-    d = d.withColumn("block", F.floor(F.col("__i") / buffer))
+    d = d.withColumn("block", int_div("__i", buffer))
     whole = F.count("*").over(Window.partitionBy("block")) == buffer
     # one fixed-width sort key: hash for full buffers, original position for the rest
     d = d.withColumn("__k", F.when(whole, hash_key(seed, order))

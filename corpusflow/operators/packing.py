@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .index import KEY_BITS, prefix_sum, row_index
+from .index import KEY_BITS, int_div, prefix_sum, row_index
 from .mixing import SHUFFLE_BUFFER, block_shuffle
 from .tokens import IGNORE, PAD, pad_to
 
@@ -24,7 +24,7 @@ def _segments(df: DataFrame, ids: str, seq_len: int, group: list[str]) -> DataFr
     """
     n, s = F.size(F.col(ids)), F.col("start")
     d = df.filter(n > 0).withColumn("end", s + n)
-    d = d.withColumn("seq", F.explode(F.sequence(F.floor(s / seq_len), F.floor((F.col("end") - 1) / seq_len))))
+    d = d.withColumn("seq", F.explode(F.sequence(int_div(s, seq_len), int_div(F.col("end") - 1, seq_len))))
     lo = F.greatest(F.col("seq") * seq_len - s, F.lit(0))
     hi = F.least((F.col("seq") + 1) * seq_len, F.col("end")) - s
     piece = F.slice(F.col(ids), (lo + 1).cast("int"), (hi - lo).cast("int"))
@@ -54,7 +54,7 @@ def pack(df: DataFrame, seq_len: int, order: str, ids: str = "ids", n_tok: str |
 
 
 def with_shard(packed: DataFrame, shard_seqs: int = SHARD_SEQS) -> DataFrame:
-    return packed.withColumn("shard", F.floor(F.col("seq_id") / shard_seqs))
+    return packed.withColumn("shard", int_div("seq_id", shard_seqs))
 
 
 def pack_by_batch(df: DataFrame, seq_len: int, order: str, ids: str = "ids",
@@ -64,7 +64,7 @@ def pack_by_batch(df: DataFrame, seq_len: int, order: str, ids: str = "ids",
     The grouping by (batch, sequence) reuses the batch partitioning of the window.
     """
     d = row_index(df.select(order, ids), order, "__i", key_bits=key_bits)
-    d = d.withColumn("batch", F.floor(F.col("__i") / batch_rows))
+    d = d.withColumn("batch", int_div("__i", batch_rows))
     w = Window.partitionBy("batch").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("start", F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0).cast("bigint")))
     return _assemble(_segments(d, ids, seq_len, ["batch"]), seq_len, ["batch"]).select(
@@ -96,7 +96,7 @@ def collate_fixed(df: DataFrame, max_length: int = 1024, pad: int = 0, ids: str
 
 def with_batches(df: DataFrame, batch_size: int, order: str, key_bits: int = KEY_BITS) -> DataFrame:
     d = row_index(df, order, "__i", key_bits=key_bits)
-    return d.withColumn("batch_id", F.floor(F.col("__i") / batch_size)).drop("__i")
+    return d.withColumn("batch_id", int_div("__i", batch_size)).drop("__i")
 
 
 def collate_dynamic(df: DataFrame, pad: int = 0, ids: str = "input_ids", batch: str = "batch_id") -> DataFrame:

@@ -7,8 +7,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import arrow_text as A
-from ..functions.arrow_text import WordIds
+from ..functions.arrow_text import WordIds, count_line_tokens, line_ids, list_ids, text_ids
 from ..functions.text import WS, _col, not_blank, strip, text_or_empty, words
 from .index import first_n
 from .mixing import hash_block, hash_key
@@ -143,7 +142,7 @@ def encode(tokens: Column | str, model, line_end: int = EOS) -> Column:
 
     @F.arrow_udf("array<int>")
     def lookup(col: pa.Array) -> pa.Array:
-        return A.list_ids(col, with_marks)
+        return list_ids(col, with_marks)
 
     return lookup(_col(tokens))
 
@@ -154,7 +153,7 @@ def encode_text(df: DataFrame, model, text: str = "text", out: str = "ids") -> D
 
     @F.arrow_udf("array<int>")
     def lookup(col: pa.Array) -> pa.Array:
-        return A.text_ids(col, word_ids)
+        return text_ids(col, word_ids)
 
     return df.withColumn(out, lookup(text_or_empty(text)))
 
@@ -163,7 +162,7 @@ def line_token_count(text: Column | str, keep_blank: bool = False) -> Column:
     """Number of word tokens and line ends of a text; cheap next to encoding it."""
     @F.arrow_udf("int")
     def count(col: pa.Array) -> pa.Array:
-        return A.count_line_tokens(col, keep_blank)
+        return count_line_tokens(col, keep_blank)
 
     return count(text_or_empty(text))
 
@@ -180,7 +179,7 @@ def encode_lines(df: DataFrame, model, text: str = "text", out: str = "ids",
 
     @F.arrow_udf("array<int>")
     def lookup(col: pa.Array) -> pa.Array:
-        return A.line_ids(col, word_ids, line_end, keep_blank)
+        return line_ids(col, word_ids, line_end, keep_blank)
 
     ids = lookup(text_or_empty(text))
     if isinstance(model, Vocab) and model.first_byte is None:

@@ -11,6 +11,7 @@ from ..functions.text import classify_bucket
 from ..operators import conversations as V
 from ..operators import mixing as M
 from ..operators import tokens as K
+from ..operators.index import int_div
 from ..session import scratch_path
 from ..sources import readers as R
 from ..sources import writers as W
@@ -134,7 +135,7 @@ def snk3(spark, sf):
     path = scratch_path(spark, "shards")
     W.write_shards(packed_docs(spark, sf), path, 100)
     d = R.read_packed(spark, path).select("seq_id", F.col("_metadata.file_path").alias("f"))
-    return d.groupBy(F.floor(F.col("seq_id") / 100).alias("shard")).agg(
+    return d.groupBy(int_div("seq_id", 100).alias("shard")).agg(
         F.count("*").alias("n"), F.countDistinct("f").alias("files"))
 
 
