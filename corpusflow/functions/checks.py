@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .text import NOT_WS, WS, boxed, split_lines, strip, text_or_empty, words
+from .text import NOT_WS, WS, boxed, split_lines, strict_json, strip, text_or_empty, words
 
 # Parameters of the five standard checks.
 JSON_KEYS = ("answer", "steps")
@@ -30,7 +30,7 @@ def json_has_keys(c: Column | str, keys: tuple[str, ...] = JSON_KEYS) -> Column:
     """JSON with all keys. Text from the first ``{`` counts when it ends with ``}``."""
     raw = text_or_empty(c)
     block = F.regexp_extract(strip(raw), r"(\{[\s\S]*\})\z", 1)
-    v = F.try_parse_json(F.when(block != "", block).otherwise(raw))
+    v = strict_json(F.when(block != "", block).otherwise(raw))
     kind = F.schema_of_variant(v)
     as_list = F.try_variant_get(v, "$", "array<variant>")
     as_text = F.try_variant_get(v, "$", "string")

@@ -127,6 +127,19 @@ def split_lines(c: Column | str) -> Column:
     return F.split(_col(c), LINE_BREAKS)
 
 
+def strict_json(c: Column | str) -> Column:
+    """Variant of a text that is one whole JSON value, else null.
+
+    ``try_parse_json`` stops after the first value and accepts what follows. Inside
+    ``[...]`` and inside ``{"v":...}`` nothing can follow a value in both at once.
+    """
+    c = _col(c)
+    listed = F.try_parse_json(F.concat(F.lit("["), c, F.lit("]")))
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), c, F.lit("}")))
+    single = F.size(F.try_variant_get(listed, "$", "array<variant>")) == 1
+    return F.when(single & named.isNotNull(), F.try_variant_get(listed, "$[0]", "variant"))
+
+
 # ---- projections ------------------------------------------------------------
 
 def first_filled(*cols: Column | str) -> Column:

@@ -112,8 +112,8 @@ def row_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
 
 def first_n(df: DataFrame, n: int | DataFrame, order: str | Sequence[str],
             group: Sequence[str] = (), block: Column | None = None,
-            key_bits: int = KEY_BITS) -> DataFrame:
-    """The first ``n`` rows (per group) in order, exactly.
+            key_bits: int = KEY_BITS, index: str | None = None) -> DataFrame:
+    """The first ``n`` rows (per group) in order, exactly; ``index`` adds their position.
 
     ``n`` may be a DataFrame ``(group..., k)`` of quotas. Small literal ``n`` uses
     Spark's own top-n or rank pruning. Otherwise block counts decide which blocks
@@ -121,7 +121,7 @@ def first_n(df: DataFrame, n: int | DataFrame, order: str | Sequence[str],
     any size is neither sorted nor collected as a whole.
     """
     group, order = list(group), [order] if isinstance(order, str) else list(order)
-    if isinstance(n, int):
+    if isinstance(n, int) and index is None:
         if not group and n <= SMALL_TOP:
             return df.orderBy(*order).limit(n)
         if group and n <= SMALL_RANK:
@@ -137,7 +137,9 @@ def first_n(df: DataFrame, n: int | DataFrame, order: str | Sequence[str],
         base = base.join(quota, "__g")
     wanted = base.filter(F.col("__base") < F.col("__k")).drop("__s")
     w = Window.partitionBy(*g, "__b").orderBy(*order)
-    return (d.join(wanted, [*g, "__b"])
-            .withColumn("__r", F.row_number().over(w))
-            .filter(F.col("__base") + F.col("__r") <= F.col("__k"))
-            .select(*df.columns))
+    d = (d.join(wanted, [*g, "__b"])
+         .withColumn("__r", F.col("__base") + F.row_number().over(w))
+         .filter(F.col("__r") <= F.col("__k")))
+    if index is None:
+        return d.select(*df.columns)
+    return d.select(*df.columns, (F.col("__r") - 1).alias(index))

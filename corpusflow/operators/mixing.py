@@ -112,7 +112,7 @@ def head_split(df: DataFrame, cap: int, ratio: float, order: str, text: str = "t
     """
     val = int(cap * ratio)
     val = max(1, val) if at_least_one else val
-    d = row_index(df, order, "__i").filter(F.col("__i") < cap)
+    d = first_n(df, cap, order, index="__i")
     return (d.withColumn("split", F.when(F.col("__i") < val, "validation").otherwise("train"))
             .filter(F.coalesce(F.col(text), F.lit("")) != "").drop("__i"))
 
@@ -188,14 +188,15 @@ def interleave(df: DataFrame, probs: DataFrame, order: str, source: str = "sourc
     them. Emission ``e`` of source i sits at ``(e + 0.5) / p_i``; sorting by that
     spreads every source evenly. Each row is emitted ``k_i / n_i`` times.
     """
-    counts = df.groupBy(source).agg(F.count("*").alias("n"))
-    plan = counts.join(probs.select(source, "prob"), source)
-    total = F.max(F.ceil(F.col("n") / F.col("prob"))).over(Window.partitionBy(F.lit(0)))
-    plan = (plan.withColumn("k", F.greatest(F.round(total * F.col("prob")).cast("bigint"), F.col("n")))
-            .select(source, "n", "k", "prob"))
+    counts = df.groupBy(source).agg(F.count("*").alias("__n"))
+    plan = counts.join(probs.select(source, F.col("prob").alias("__p")), source)
+    total = F.max(F.ceil(F.col("__n") / F.col("__p"))).over(Window.partitionBy(F.lit(0)))
+    draws = F.greatest(F.round(total * F.col("__p")).cast("bigint"), F.col("__n"))
+    plan = plan.select(source, "__n", draws.alias("__k"), "__p")
+    # one row per source: broadcast by Spark once its real size is known
     d = row_index(df, order, "__i", [source], key_bits=key_bits).join(plan, source)
-    d = d.withColumn("e", F.explode(F.sequence(F.col("__i"), F.col("k") - 1, F.col("n"))))
-    return d.withColumn("at", (F.col("e") + 0.5) / F.col("prob")).drop("__i", "n", "k", "prob")
+    d = d.withColumn("e", F.explode(F.sequence(F.col("__i"), F.col("__k") - 1, F.col("__n"))))
+    return d.withColumn("at", (F.col("e") + 0.5) / F.col("__p")).drop("__i", "__n", "__k", "__p")
 
 
 # ---- buckets ----------------------------------------------------------------------

@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.chat import formatter
-from ..functions.text import not_blank, strip
+from ..functions.text import not_blank, strict_json, strip
 from ..operators.index import first_n, row_index
 from ..operators.mixing import concat_sources
 
@@ -55,7 +55,7 @@ def read_lines(spark: SparkSession, paths: str | list[str], numbered: bool = Tru
 
 def json_text(line: Column | str, keys: Sequence[str] = TEXT_KEYS) -> Column:
     """First key that is present with a string value, stripped; null for bad JSON."""
-    v = F.try_parse_json(F.col(line) if isinstance(line, str) else line)
+    v = strict_json(line)
     picks = []
     for k in keys:
         at = f'$["{k}"]'
