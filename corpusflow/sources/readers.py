@@ -71,6 +71,21 @@ def read_jsonl_text(spark: SparkSession, paths: str | list[str], keys: Sequence[
             .filter(F.col("text").isNotNull()).drop("line"))
 
 
+def _readable_parquet(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet folder without its broken files; None when nothing can be read.
+
+    The schema comes from one file; when that is a broken one, from all footers.
+    """
+    for merge in (False, True):
+        try:
+            return (spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", merge)
+                    .parquet(path))
+        except Exception as e:  # missing folder, or no readable footer
+            if isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND":
+                return None
+    return None
+
+
 def read_parquet_text(spark: SparkSession, paths: str | list[str],
                       keys: Sequence[str] = TEXT_KEYS, keep: Sequence[str] = ()) -> DataFrame:
     """The first of ``keys`` found as a column (any case) of each path, strings only.
@@ -80,10 +95,9 @@ def read_parquet_text(spark: SparkSession, paths: str | list[str],
     """
     parts = []
     for p in [paths] if isinstance(paths, str) else paths:
-        try:
-            d = spark.read.option("ignoreCorruptFiles", True).parquet(p)
-        except Exception as e:  # unreadable footer or missing path
-            warnings.warn(f"cannot read {p}: {e}")
+        d = _readable_parquet(spark, p)
+        if d is None:
+            warnings.warn(f"cannot read {p}")
             continue
         names = {c.lower(): c for c in d.columns}
         col = next((names[k.lower()] for k in keys if k.lower() in names), None)
@@ -158,11 +172,8 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
     having no rows at all is an error.
     """
     for p in (path, f"{path}_parquet"):
-        try:
-            d = spark.read.option("ignoreCorruptFiles", True).parquet(p)
-        except Exception:  # missing folder or no readable footer
-            continue
-        if "input_ids" not in d.columns:
+        d = _readable_parquet(spark, p)
+        if d is None or "input_ids" not in d.columns:
             continue
         d = d.withColumn("input_ids", F.col("input_ids").cast("array<int>"))
         if not d.isEmpty():
