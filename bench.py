@@ -21,10 +21,10 @@ RUNS = int(os.environ.get("BENCH_RUNS", "3"))
 HEADLINE = {
     "vocab": QUERIES["tok4_vocab"],
     "pack": token_queries.packed_docs,
-    "pack_training": QUERIES["pck4_pack_training"],
+    "pack_training": token_queries.training_docs,
     "dedup": QUERIES["ded1_dedup_exact"],
     "chat_format": QUERIES["fmt7_chat_pair"],
-    "mask": QUERIES["msk1_mask_completion"],
+    "mask": token_queries.masked_rows,
     "instruction_mix": QUERIES["mix_instruction_tables"],
     "interleave": QUERIES["mix3_interleave"],
     "bigram_counts": eval_queries.doc_bigrams,

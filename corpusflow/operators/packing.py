@@ -40,15 +40,17 @@ def _assemble(segments: DataFrame, seq_len: int, group: list[str]) -> DataFrame:
 
 
 def pack(df: DataFrame, seq_len: int, order: str, ids: str = "ids", n_tok: str | None = None,
-         key_bits: int = KEY_BITS) -> DataFrame:
+         key_bits: int = KEY_BITS, block: str | None = None) -> DataFrame:
     """Concatenate all ids in order, cut to ``seq_len``, drop the tail.
 
     Returns ``seq_id, input_ids``. ``n_tok`` names a stored or cheap length column;
-    without it the ids are read for their length too.
+    without it the ids are read for their length too. ``block`` names a column that
+    already groups neighbours; rows partitioned by it are not shuffled again.
     """
     length = F.col(n_tok) if n_tok else F.size(F.col(ids))
-    d = df.select(order, ids, length.cast("bigint").alias("__n"))
-    d = prefix_sum(d, F.col("__n"), "start", order, key_bits=key_bits)
+    d = df.select(order, ids, length.cast("bigint").alias("__n"), *([block] if block else []))
+    d = prefix_sum(d, F.col("__n"), "start", order, block=F.col(block) if block else None,
+                   key_bits=key_bits)
     return _assemble(_segments(d, ids, seq_len, []), seq_len, []).select(
         F.col("seq").alias("seq_id"), "input_ids")
 
@@ -77,7 +79,7 @@ def pack_training(df: DataFrame, seq_len: int, order: str, seed: int, ids: str =
     """Buffer shuffle, pack, labels equal to the ids, mask of ones."""
     cols = [order, ids] + ([n_tok] if n_tok else [])
     d = block_shuffle(df.select(*cols), order, seed, buffer, key_bits)
-    return (pack(d, seq_len, "pos", ids, n_tok, key_bits)
+    return (pack(d, seq_len, "pos", ids, n_tok, key_bits, block="block")
             .withColumn("labels", F.col("input_ids"))
             .withColumn("attention_mask", F.array_repeat(F.lit(1), seq_len)))
 

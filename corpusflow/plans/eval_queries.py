@@ -30,13 +30,13 @@ bg AS (SELECT model, ctx, tok, count(*) AS n FROM tr GROUP BY model, ctx, tok),
 cx AS (SELECT model, ctx, sum(n) AS ctx_n FROM bg GROUP BY model, ctx)"""
 
 
-def doc_bigrams(spark, sf):
-    return N.bigram_counts(encoded_docs(spark, sf))
+def doc_bigrams(spark, sf, vocab=None):
+    return N.bigram_counts(encoded_docs(spark, sf, vocab))
 
 
-def lang_bigrams(spark, sf):
+def lang_bigrams(spark, sf, vocab):
     d = spread(documents(spark, sf).select("doc_id", F.col("lang").alias("model"), "text"), "doc_id")
-    return N.bigram_counts(K.encode_lines(d, doc_vocab(spark, sf)), group=["model"])
+    return N.bigram_counts(K.encode_lines(d, vocab), group=["model"])
 
 
 # ---- n-grams ---------------------------------------------------------------------------
@@ -60,8 +60,8 @@ _LOGP = f"ln((coalesce(n, 0) + 1.0) / (coalesce(ctx_n, 0) + {VOCAB}.0))"
 _BENCH = _cut("bt", "item_id", "benchmark", "text")
 
 
-def bench_ids(spark, sf):
-    d = K.encode_text(table(spark, sf, "benchmark").select("item_id", "text"), doc_vocab(spark, sf))
+def bench_ids(spark, sf, vocab):
+    d = K.encode_text(table(spark, sf, "benchmark").select("item_id", "text"), vocab)
     return d.select("item_id", F.slice("ids", 1, KEEP).alias("ids"))
 
 
@@ -70,7 +70,9 @@ WITH {_IDS}, {_BIGRAMS}, {_BENCH}
 SELECT item_id, pos, CAST(bt.ctx AS INT) AS ctx, CAST(bt.tok AS INT) AS tok, round({_LOGP}, 6) AS logp FROM bt
 LEFT JOIN bg ON bg.ctx = bt.ctx AND bg.tok = bt.tok LEFT JOIN cx ON cx.ctx = bt.ctx""")
 def ngm2(spark, sf):
-    d = N.score_tokens(N.transitions(bench_ids(spark, sf), ["item_id"]), doc_bigrams(spark, sf), VOCAB, key=["item_id"])
+    v = doc_vocab(spark, sf)
+    t = N.transitions(bench_ids(spark, sf, v), ["item_id"])
+    d = N.score_tokens(t, doc_bigrams(spark, sf, v), VOCAB, key=["item_id"])
     return d.select("item_id", "pos", "ctx", "tok", F.round("logp", 6).alias("logp"))
 
 
@@ -82,8 +84,9 @@ _SCORES = f"{_IDS_LANG}, {_BIGRAMS_LANG}, {_BENCH}, {_ITEM_SCORES}"
 
 def item_scores(spark, sf):
     """Score rows: one model per language, every benchmark item (JN3)."""
-    t = N.with_models(N.transitions(bench_ids(spark, sf), ["item_id"]), list(MODELS))
-    d = N.score_tokens(t, lang_bigrams(spark, sf), VOCAB, key=["item_id"], group=["model"], groups=len(MODELS))
+    v = doc_vocab(spark, sf)
+    t = N.with_models(N.transitions(bench_ids(spark, sf, v), ["item_id"]), list(MODELS))
+    d = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["item_id"], group=["model"], groups=len(MODELS))
     d = N.seq_logprob(d, ["model", "item_id"])
     return d.select("model", "item_id", F.round(-F.col("logp"), 6).alias("nll"), "n_tok")
 
@@ -128,7 +131,7 @@ def pair_scores(spark, sf):
     d = K.encode_text(d, v)
     t = N.transitions(d, ["conv_id", "side", "plen"]).filter(F.col("pos") >= F.col("plen"))
     t = N.with_models(t, list(MODELS))
-    sc = N.score_tokens(t, lang_bigrams(spark, sf), VOCAB, key=["conv_id", "side"], group=["model"], groups=len(MODELS))
+    sc = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["conv_id", "side"], group=["model"], groups=len(MODELS))
     out = N.seq_logprob(sc, ["model", "conv_id", "side"])
     return out.withColumn("logp", F.round("logp", 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import index, mixing
 from .registry import conversations, documents, query, table
-from .sql import PREFS, WS_RE, WS_TRIM, strip
+from .sql import PREFS, WS_TRIM, strip
 
 PAD_L, PAD_R = "\u00a0\t\u2003", "\u3000\r\n "
 

@@ -9,8 +9,6 @@ from ..functions.text import text_or_empty, words
 from ..operators import bpe, diagnostics as D
 from ..operators import packing as P
 from ..operators import tokens as K
-from ..operators.index import row_index
-from ..operators.mixing import MIX_CAPS, hash_key
 from ..session import materialize, spread
 from .chat_queries import instructions
 from .registry import documents, query
@@ -28,14 +26,18 @@ def doc_vocab(spark, sf, size: int = VOCAB, **kw) -> K.Vocab:
     return K.Vocab(K.build_vocab(K.word_counts(texts(spark, sf)), size), **kw)
 
 
-def encoded_docs(spark, sf, **kw):
-    return K.encode_lines(texts(spark, sf), doc_vocab(spark, sf), **kw).drop("text")
+def encoded_docs(spark, sf, vocab=None, **kw):
+    return K.encode_lines(texts(spark, sf), vocab or doc_vocab(spark, sf), **kw).drop("text")
 
 
 def packed_docs(spark, sf, seq_len: int = SEQ):
     return P.pack(encoded_docs(spark, sf), seq_len, "doc_id", n_tok="n_tok")
 
 
+def training_docs(spark, sf, seq_len: int = SEQ):
+    return P.pack_training(encoded_docs(spark, sf), seq_len, "doc_id", 42, n_tok="n_tok")
+
+
 def _str(c):
     return F.array_join(c, ",")
 
@@ -249,7 +251,7 @@ q AS (SELECT pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER B
       FROM p GROUP BY 1 HAVING count(*) = {SEQ})
 SELECT seq_id, input_ids, input_ids AS labels, CAST({SEQ} AS BIGINT) AS ones FROM q""")
 def pck4(spark, sf):
-    d = P.pack_training(encoded_docs(spark, sf), SEQ, "doc_id", 42, n_tok="n_tok")
+    d = training_docs(spark, sf)
     ones = F.size(F.filter("attention_mask", lambda x: x == 1)).cast("bigint")
     return d.select("seq_id", _str("input_ids").alias("input_ids"), _str("labels").alias("labels"), ones.alias("ones"))
 
@@ -326,9 +328,13 @@ SELECT conv_id, batch_id, {joined(_pad('x', 'm', '2'))} AS input_ids, {joined(_p
   CAST(len(list_filter(y, lambda q: q <> -100)) AS BIGINT) AS supervised FROM h"""
 
 
-def _masked(spark, sf, version):
+def masked_rows(spark, sf, version=2):
     d = P.with_batches(masked_source(spark, sf, version), MASK_BATCH, "conv_id")
-    d = P.mask_completion(d, "p_ids", "c_ids", MASK_LEN, MASK_RESP, batch="batch_id")
+    return P.mask_completion(d, "p_ids", "c_ids", MASK_LEN, MASK_RESP, batch="batch_id")
+
+
+def _masked(spark, sf, version):
+    d = masked_rows(spark, sf, version)
     return d.select("conv_id", "batch_id", *[_str(c).alias(c) for c in ("input_ids", "labels", "attention_mask")],
                     P.supervised_tokens("labels").cast("bigint").alias("supervised"))
 

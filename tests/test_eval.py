@@ -6,7 +6,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from corpusflow.operators import diagnostics as D
 from corpusflow.operators import evaluation as E

@@ -3,8 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
-
 from corpusflow.operators import packing as P
 
 L = 8

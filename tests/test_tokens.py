@@ -4,8 +4,6 @@ import random
 from collections import Counter
 
 import pytest
-from pyspark.sql import functions as F
-
 from corpusflow.operators import bpe as B
 from corpusflow.operators import tokens as K
 
