@@ -30,9 +30,12 @@ def hash_key(seed: int | str, *keys: str | Column) -> Column:
 
 
 def hash_block(h: str | Column) -> Column:
-    """Leading 16 bits of a hex digest: 65,536 even blocks."""
+    """Leading 16 bits of a hex digest: 65,536 even blocks.
+
+    Written as never null, so a join on it adds no filter that hashes a second time.
+    """
     h = F.col(h) if isinstance(h, str) else h
-    return F.conv(F.substring(h, 1, 4), 16, 10).cast("bigint")
+    return F.coalesce(F.conv(F.substring(h, 1, 4), 16, 10).cast("bigint"), F.lit(0).cast("bigint"))
 
 
 # ---- dedup --------------------------------------------------------------------
