@@ -58,16 +58,38 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 
     Used where a costly column (subword ids) feeds several branches of a plan,
-    and to cut lineage. The files survive lost executors.
+    and to cut lineage. The files survive lost executors. The shuffle files of the write are
+    dropped when it ends, where this version of Spark can: nobody reads them again.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_FREE_SHUFFLES, None)
+    try:
+        if before is not None:
+            spark.conf.set(_FREE_SHUFFLES, "true")
+        df.write.parquet(path)
+    finally:
+        if before is not None:
+            spark.conf.set(_FREE_SHUFFLES, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for ``df``, once nothing reads it any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
