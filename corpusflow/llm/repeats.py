@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from ..session import materialize, release
 from . import arrays
 
 ROW = ["id", "th"]
@@ -64,6 +64,7 @@ class Candidates:
         grams = (found.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
                  .where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("whole")))
         hits = materialize(found.join(grams, "gram"), "repeated")
+        release(found)
         self.whole = hits.where("whole").select(*ROW, (F.col("pos") - self.reach).alias("s"),
                                                 (F.col("pos") + length).alias("e"))
         self.open = hits.where("not whole").drop("whole")
@@ -80,9 +81,9 @@ class Candidates:
         """Grams with more than ``most`` distinct contexts: ``(gram, m)``."""
         return self.distinct.groupBy("gram").agg(F.count("*").alias("m")).where(F.col("m") > most)
 
-    def with_text(self, cut: Callable[[bytes, list[int]], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
-        """``(gram, ctx, n, left, right)``: units before and from the anchor on, as bytes."""
-        per_row = self.distinct.groupBy(*ROW).agg(F.collect_list(F.struct("pos", "gram", "ctx", "n")).alias("want"))
+    def with_text(self, wanted: DataFrame, cut: Callable[[bytes, list[int]], Iterator[tuple[bytes, bytes]]]) -> DataFrame:
+        """``(gram, ctx, n, left, right)`` of ``wanted``: units before and from the anchor on, as bytes."""
+        per_row = wanted.groupBy(*ROW).agg(F.collect_list(F.struct("pos", "gram", "ctx", "n")).alias("want"))
         joined = self.rows.join(per_row, same_row(self.rows, per_row)).select(self.rows["text"], "want")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
