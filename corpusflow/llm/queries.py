@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import phrases, simhash, suffixes
+import public_tokenizers
+
+from . import mixture, phrases, secrets, simhash, suffixes, token_counts, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -36,6 +38,72 @@ def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
 
 
+@query("op3_toxicity")
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = toxicity.toxicity(docs, table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", "predicted", "n_hits")
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"),
+                                     limit=4096)
+
+
+@query("op6_secret_scan")
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = secrets.scan(table(spark, sf_dir, "documents"))
+
+    def written(found):
+        return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda x: x["kind"] != "model")
+    return spans.select("doc_id", *[count(k) for k in secrets.KINDS], F.sha2(written(base), 256).alias("base_sha256"),
+                        written(F.col("spans")).alias("spans"))
+
+
+OP9_SQL = """
+WITH d AS (
+  SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+k AS (
+  SELECT d.*, CASE q WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS w,
+         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+  FROM d LEFT JOIN q USING (doc_id)),
+s AS (
+  SELECT source, sum(size)::BIGINT AS source_size,
+         [3.0::DOUBLE, 1.0::DOUBLE, 2.0::DOUBLE][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS w
+  FROM d GROUP BY source),
+c AS (SELECT *, source_size * 2.0::DOUBLE / w AS stop FROM s),
+b AS (
+  SELECT *, coalesce(sum(source_size * 2.0::DOUBLE) OVER x, 0) AS stopped,
+         sum(w) OVER () - coalesce(sum(w) OVER x, 0) AS open, sum(source_size) OVER () * 1.5::DOUBLE AS total
+  FROM c WINDOW x AS (ORDER BY stop, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+l AS (SELECT *, (total - stopped) / open AS level FROM b),
+t AS (
+  SELECT source, source_size,
+         least(source_size * 2.0::DOUBLE, coalesce((SELECT level FROM l WHERE level <= stop ORDER BY stop, level LIMIT 1) * w,
+               source_size * 2.0::DOUBLE)) AS target FROM l),
+r AS (
+  SELECT k.doc_id, k.size, t.source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+         coalesce(sum(k.size) OVER (PARTITION BY k.source ORDER BY -ln(u) / w, k.doc_id
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+  FROM k JOIN t ON k.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size > 0 THEN (words // source_size) * size
+             + greatest(0, least(size, words - (words // source_size) * source_size - before)) ELSE 0 END)::BIGINT AS taken
+FROM r"""
+
+
+@query("op9_mixture", OP9_SQL)
+def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixture.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), weights=(3.0, 1.0, 2.0), share=1.5, most=2.0)
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
 @query("op10_suffix_dedup")
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup_substrings(table(spark, sf_dir, "documents"), length=200)
