@@ -7,8 +7,8 @@ that the library neither changes nor drops characters, are checked on the model
 fails, whole texts are encoded.
 
 Which vocabulary strings encode alone as one token is proved once by encoding each; pre-tokens
-among them count 1 without any merging. The library merges the rest, each distinct one of a
-batch once.
+among them count 1 without any merging, and so do words between single spaces that are one
+with their space mark. The library merges the rest, each distinct one once while remembered.
 """
 
 from __future__ import annotations
@@ -39,49 +39,75 @@ class Counter:
         # a lone character ends up alone, so a line break in front of a pre-token hides the mark
         # that the library sets before a text
         self.front = len(sp.encode("\n"))
-        if not self.cuts or "\n" in joined:
+        self.line = sp.encode("\n")[-1]
+        if not self.cuts or "\n" in joined or self.front != 2:
             self.cuts = False
             return
         inner = "".join(re.escape(c) for c in sorted(joined - {MARK}))
         self.pattern = re.compile(f"{MARK}*[{inner}]+|{MARK}+|[^{inner}{MARK}]+")
-        self.lone = re.compile(f"[^{inner}{MARK}]")
         self.whole = {p: 1 for p in pieces if self.pattern.fullmatch(p) and self._merge([p]) == [1]}
-        self.memo: dict[str, int] = {}
+        self.parts = dict(self.whole)
+        self.start = {p[1:]: 1 for p in self.whole if p[0] == MARK and p[1:2] not in ("", MARK)}
+        self.start[MARK] = 1
+        self.memo = dict(self.start)
 
     def _merge(self, parts: list[str]) -> list[int]:
-        """Tokens of each pre-token, by the library."""
-        ids = self.sp.encode([p[1:] if p[0] == MARK else "\n" + p for p in parts], num_threads=1)
-        return [len(x) - (0 if p[0] == MARK else self.front) for p, x in zip(parts, ids)]
+        """Tokens of each pre-token, by the library: one call, line breaks between them."""
+        alone = [p for p in parts if "\n" in p]
+        other = {p: len(self.sp.encode("\n" + p)) - self.front for p in alone}
+        ids = np.array(self.sp.encode("".join(["\n" + p for p in parts if "\n" not in p]), num_threads=1), np.int64)
+        ends = np.append(np.flatnonzero(ids == self.line), len(ids))
+        sizes = iter((np.diff(ends) - 1).tolist())
+        return [other[p] if p in other else next(sizes) for p in parts]
 
     def count(self, text: str) -> int:
         if not text:
             return 0
         if not self.cuts:
             return len(self.sp.encode(text, num_threads=1))
+        return sum(self._count(x) for x in self._slices(text))
+
+    def _slices(self, text: str, size: int = 1 << 20) -> Iterator[str]:
+        """Parts of a very long text, cut before a space after another character."""
+        at = 0
+        while len(text) - at > size:
+            end = text.find(" ", at + size)
+            while end > 0 and text[end - 1] in (" ", MARK):
+                end = text.find(" ", end + 1)
+            if end < 0:
+                break
+            yield text[at:end]
+            at = end + 1
+        yield text[at:]
+
+    def _count(self, text: str) -> int:
+        """Tokens of a space mark and ``text``."""
         if len(self.memo) > MEMO:
-            self.memo.clear()
-        total = 0
-        for parts in self._parts(text):
-            n = list(map(self.whole.get, parts))
-            if None in n:
-                rest = [p for p, k in zip(parts, n) if k is None]
-                new = [p for p in dict.fromkeys(rest) if p not in self.memo]
-                if new:
-                    self.memo.update(zip(new, self._merge(new)))
-                total += sum(map(self.memo.__getitem__, rest)) + len(parts) - len(rest)
-            else:
-                total += len(parts)
-        return total
-
-    def _parts(self, text: str, size: int = 1 << 16) -> Iterator[list[str]]:
-        """Pre-tokens in lists of bounded length, so a very long text needs no long list."""
-        out: list[str] = []
-        for m in self.pattern.finditer(MARK + text.replace(" ", MARK)):
-            out.append(m[0])
-            if len(out) == size:
-                yield out
-                out = []
-        yield out
+            self.memo = dict(self.start)
+        # words between single spaces; a line break stands in front of a word without a mark
+        words = text.replace("\n", " \n").split(" ")
+        if words[0] == "" and text[0] == "\n":
+            words[0] = MARK
+        if "" in words or MARK in text:  # runs of spaces belong together
+            return self._pre_tokens(self.pattern.findall(MARK + text.replace(" ", MARK)))
+        n = list(map(self.memo.get, words))
+        if None in n:
+            new = list(dict.fromkeys(w for w, k in zip(words, n) if k is None))
+            ids = self.sp.encode("".join([w if w[0] == "\n" else "\n" + MARK + w for w in new]), num_threads=1)
+            ends = np.append(np.flatnonzero(np.array(ids) == self.line), len(ids))
+            sizes = (np.diff(ends) - 1).tolist()
+            self.memo.update((w, k + (w[0] == "\n")) for w, k in zip(new, sizes))
+            n = map(self.memo.__getitem__, words)
+        return sum(n)
+
+    def _pre_tokens(self, parts: list[str]) -> int:
+        """Sum over pre-tokens: 1 for whole tokens, the library's merges for the rest."""
+        if len(self.parts) > MEMO:
+            self.parts = dict(self.whole)
+        new = [p for p in dict.fromkeys(parts) if p not in self.parts]
+        if new:
+            self.parts.update(zip(new, self._merge(new)))
+        return sum(map(self.parts.__getitem__, parts))
 
 
 def count_tokens(docs: DataFrame, model_path: str, limit: int = 4096, id_col: str = "doc_id",
