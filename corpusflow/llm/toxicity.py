@@ -4,9 +4,9 @@
 and sign substitutions are undone, and i, l, 1 and | fall together, in texts and in the lexicon
 alike. An entry matches at the start of a word.
 
-*Lexicon.* Learned from labelled texts: word beginnings that are far more frequent in toxic than
-in other texts, each with its log-odds as weight. A beginning is lengthened while it keeps nearly
-all its texts. Neighbouring word pairs around an entry that appear in clean texts only are
+*Lexicon.* Learned from labelled texts, one of each group of near copies: word beginnings that are
+far more frequent in toxic than in other texts, beyond chance, each with its log-odds as weight. A
+beginning is lengthened while it keeps nearly all its texts. Neighbouring word pairs around an entry that appear in clean texts only are
 *exception phrases*: an entry inside one does not count.
 
 *Score.* The weights of a text's matches, as they are and normalised by its length, go through a
@@ -17,6 +17,7 @@ scoring covers every text.
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
@@ -126,9 +127,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-def _entries(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, least: int, odds: float) -> dict[str, float]:
+def _surprise(a, b, share: float, log=math.log):
+    """Likelihood ratio of ``a`` toxic among ``a + b`` texts against the share of all texts."""
+    n = a + b
+    return 2 * (a * log(a / (n * share)) + (b + 1e-9) * log((b + 1e-9) / (n * (1 - share))))
+
+
+def _entries(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, odds: float) -> dict[str, float]:
     """Word beginnings to weights. ``counts``: (beginning, toxic texts, other texts)."""
-    c = {w: (a, b) for w, a, b in counts if a >= least}
+    c = {w: (a, b) for w, a, b in counts}
 
     def weight(w: str) -> float:
         a, b = c[w]
@@ -165,14 +172,28 @@ def sample(docs: DataFrame, labels: DataFrame, per_class: int, id_col: str, text
     return rows.join(F.broadcast(chosen), "id").select("text", "y")
 
 
-def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, least: int = 4, odds: float = 2.5,
+def _one_of_each(rows: DataFrame) -> DataFrame:
+    """One text of each label and least hash of a three-word shingle; near copies share it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sig = []
+            for text in b.column("text").to_pylist():
+                w = fold(text).split()
+                sig.append(min((zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
+            yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array(sig, pa.int64())], ["text", "y", "sig"])
+    kind = rows.schema["y"].dataType.simpleString()
+    signed = rows.repartition(F.xxhash64("text")).mapInArrow(run, f"text string, y {kind}, sig bigint")
+    return signed.groupBy("sig", "y").agg(F.min("text").alias("text")).select("text", "y")
+
+
+def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: float = 30.0, odds: float = 2.5,
           most_entries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Lexicon and fit from ``labels`` (id, toxic). Without both labels everything scores low.
 
     Bounds: ``per_class`` texts of each label and ``most_entries`` candidate beginnings, those in
     most toxic texts.
     """
-    rows = materialize(sample(docs, labels, per_class, id_col, text_col), "labelled")
+    rows = materialize(_one_of_each(sample(docs, labels, per_class, id_col, text_col)), "labelled")
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     n_bad, n_good = seen.get(1, 0), seen.get(0, 0)
     if not n_bad or not n_good:
@@ -189,12 +210,13 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, least: int
                 [pa.array(names, pa.string()), pa.array([bad[w] for w in names], pa.int64()),
                  pa.array([good[w] for w in names], pa.int64())], ["w", "a", "b"])
 
+    share = n_bad / (n_bad + n_good)
     counts = (rows.mapInArrow(beginnings, "w string, a bigint, b bigint").groupBy("w")
-              .agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-              .where((F.col("a") >= least)
-                     & (F.ln((F.col("a") + 0.5) / (n_bad + 1)) - F.ln((F.col("b") + 0.5) / (n_good + 1)) >= odds))
+              .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0")
+              .where((F.ln((F.col("a") + 0.5) / (n_bad + 1)) - F.ln((F.col("b") + 0.5) / (n_good + 1)) >= odds)
+                     & (_surprise(F.col("a"), F.col("b"), share, F.ln) >= surprise))
               .orderBy(F.desc("a"), "w").limit(most_entries))
-    lex = Lexicon(_entries([tuple(r) for r in counts.collect()], n_bad, n_good, least, odds))
+    lex = Lexicon(_entries([tuple(r) for r in counts.collect()], n_bad, n_good, odds))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lex.automaton()
@@ -212,7 +234,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, least: int
                 ["p", "q", "good", "bad"])
 
     found = (rows.mapInArrow(pairs, "p string, q string, good bigint, bad bigint").groupBy("p", "q")
-             .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") >= least) & (F.col("bad") == 0))
+             .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") >= 4) & (F.col("bad") == 0))
              .orderBy(F.desc("good"), "p", "q").limit(most_entries))
     lex.exceptions = frozenset((r["p"], r["q"]) for r in found.collect() if r["p"] and r["q"])
 
@@ -234,7 +256,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, least: int
 def score_texts(docs: DataFrame, lex: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with columns ``score`` (0 to 1), ``n_hits`` and ``weight`` in place of any of that name."""
     keep = [c for c in docs.columns if c not in ("score", "n_hits", "weight")]
-    schema = docs.select(keep).schema.add("score", "double").add("n_hits", "bigint").add("weight", "double")
+    schema = docs.select(keep).schema.add("score", "double").add("n_hits", "long").add("weight", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         auto = lex.automaton()
