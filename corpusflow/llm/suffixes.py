@@ -8,8 +8,10 @@ drop out of the next pass. Two windows are equal exactly when they share the gro
 ``length - o`` bytes to the right and ``o`` bytes to the left, so groups of equal suffixes
 are exactly the repeated windows. No suffix is ever written out.
 
-A gram with more than ``HOT`` distinct contexts is not brought into one task: the windows of
-its contexts are counted by their 128-bit digest, combined on the map side.
+A gram with more than ``HOT`` distinct contexts is not brought into one task. Its next digits are
+taken by Spark: first the ``length - gram`` bytes that any window shares with its neighbours, and of
+contexts that still have company the windows themselves, both by a digest that is counted on
+the map side (with the gram's hash it has 128 bits).
 """
 
 from __future__ import annotations
@@ -21,9 +23,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import materialize, release
 from . import arrays, repeats
 
-HOT = 128  # contexts of one gram that may meet in a task; more are counted by digest
+HOT = 2000  # contexts of one gram that may meet in a task; more are counted by digest
 
 
 def _digits(parts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,23 +130,39 @@ def _settle(contexts: DataFrame, length: int, reach: int) -> DataFrame:
             .mapInArrow(run, "gram bigint, ctx bigint, s int, e int"))
 
 
-def _settle_hot(contexts: DataFrame, length: int, reach: int) -> DataFrame:
+def _digests(contexts: DataFrame, size: int, places: str, reach: int) -> DataFrame:
+    """``(gram, ctx, n, o, h)`` of the ``size`` bytes from ``o`` before the anchor, ``o`` in ``places``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for g, c, n, left, right in zip(*(b.column(x).to_pylist() for x in ("gram", "ctx", "n", "left", "right"))):
-                text, at, out = left + right, len(left), []
-                for o in range(min(reach, at) + 1):
-                    w = text[at - o:at - o + length]
-                    if len(w) == length:
-                        out.append((o, hashlib.blake2b(w, digest_size=16).digest()))
-                if out:
-                    o, h = zip(*out)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([g] * len(o)), pa.array([c] * len(o)), pa.array([n] * len(o)),
-                         pa.array(o, pa.int32()), pa.array(h, pa.binary())], ["gram", "ctx", "n", "o", "h"])
-    w = contexts.mapInArrow(run, "gram bigint, ctx bigint, n bigint, o int, h binary")
-    again = w.groupBy("gram", "h").agg(F.sum("n").alias("k")).where("k > 1").select("gram", "h")
-    return (w.join(again, ["gram", "h"]).groupBy("gram", "ctx")
+            at_row, off, digest = [], [], []
+            lefts, rights = b.column("left").to_pylist(), b.column("right").to_pylist()
+            for r, (left, right, wanted) in enumerate(zip(lefts, rights, b.column(places).to_pylist())):
+                text, at = left + right, len(left)
+                for o in wanted:
+                    if o <= at and at - o + size <= len(text):
+                        at_row.append(r)
+                        off.append(o)
+                        digest.append(hashlib.blake2b(text[at - o:at - o + size], digest_size=8).digest())
+            at = pa.array(at_row, pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [b.column("gram").take(at), b.column("ctx").take(at), b.column("n").take(at), pa.array(off, pa.int32()),
+                 pa.array(np.frombuffer(b"".join(digest), np.int64))], ["gram", "ctx", "n", "o", "h"])
+    return contexts.mapInArrow(run, "gram bigint, ctx bigint, n bigint, o int, h bigint")
+
+
+def _with_company(digests: DataFrame, by: list[str]) -> DataFrame:
+    again = digests.groupBy(by).agg(F.sum("n").alias("k")).where("k > 1").select(by)
+    return digests.join(again, by)
+
+
+def _settle_hot(contexts: DataFrame, length: int, reach: int) -> DataFrame:
+    """Windows that start ``i * gram`` to ``(i + 1) * gram`` before the anchor share ``length - gram`` bytes."""
+    step = length - reach
+    cores = _digests(contexts.withColumn("at", F.lit(list(range(0, reach, step)))), reach, "at", reach)
+    alive = (_with_company(cores, ["gram", "o", "h"]).groupBy("gram", "ctx")
+             .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("o", F.least(F.col("o") + step, F.lit(reach)))))).alias("at")))
+    windows = _digests(contexts.join(alive, ["gram", "ctx"]), length, "at", reach)
+    return (_with_company(windows, ["gram", "o", "h"]).groupBy("gram", "ctx")
             .agg((-F.max("o")).alias("s"), (F.lit(length) - F.min("o")).cast("int").alias("e")))
 
 
@@ -160,10 +179,12 @@ def dedup_substrings(docs: DataFrame, length: int = 200, id_col: str = "doc_id",
         raise ValueError("length must be 5 or more")
     cand = repeats.Candidates(repeats.texts(docs, id_col, text_col), length, words=False)
     reach = cand.reach
-    contexts = cand.with_text(_cut(length, reach))
-    hot = cand.hot(HOT)
-    settled = (_settle(contexts.join(hot, "gram", "left_anti"), length, reach)
-               .unionByName(_settle_hot(contexts.join(hot, "gram", "left_semi"), length, reach)))
+    hot = materialize(cand.hot(HOT), "hot")
+    few = cand.with_text(cand.distinct.join(hot, "gram", "left_anti"), _cut(length, reach))
+    many = materialize(cand.with_text(cand.distinct.join(hot, "gram", "left_semi"), _cut(length, reach)), "many")
+    settled = materialize(_settle(few, length, reach), "settled")
+    settled = settled.unionByName(materialize(_settle_hot(many, length, reach), "settled"))
+    release(many)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
