@@ -123,7 +123,7 @@ def near_matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, slop:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id",
                   text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per input row: ``id_col``, n_words, n_hit, n_items, items (ids as strings, sorted), contaminated.
+    """One row per input row: ``id_col``, th (hash of the text), n_words, n_hit, n_items, items (ids as strings, sorted), contaminated.
 
     A word is hit inside any occurrence of ``window`` consecutive words of an item, or of a whole shorter
     item; contaminated means that at least one in ``share`` words is hit. Null and empty texts have no
@@ -142,5 +142,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, share
     out = d.join(p, F.col("id").eqNullSafe(F.col("p_id")) & (F.col("th") == F.col("p_th")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("bigint")
     items = F.coalesce("items", F.array().cast("array<string>"))
-    return out.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
+    return out.select(F.col("id").alias(id_col), "th", "n_words", n_hit.alias("n_hit"), F.size(items).cast("bigint").alias("n_items"),
                       items.alias("items"), ((n_hit > 0) & (n_hit * share >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, window: int = 13, share: int = 20, id_col: str = "doc_id",
+          text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are not contaminated."""
+    judged = contamination(docs, benchmark, window, share, id_col, text_col, item_id, item_text)
+    bad = materialize(judged.where("contaminated").select(F.col(id_col).alias("__id"), F.col("th").alias("__th")).distinct(),
+                      "contaminated")
+    cond = docs[id_col].eqNullSafe(bad["__id"]) & (F.xxhash64(docs[text_col]) == bad["__th"])
+    return docs.join(bad, cond, "left_anti")

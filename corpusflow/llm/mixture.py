@@ -76,7 +76,7 @@ def running_sum(rows: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[float] = (3.0, 1.0, 2.0),
         share: float = 1.5, most: float = 2.0, seed: str = "mix", low: float = 0.25, unknown: float = 0.5,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: ``id_col``, source, size, source_size, target, taken.
+    """One row per input row: ``id_col``, th (hash of the text), source, size, source_size, target, taken.
 
     ``size`` is the words of the text; ``taken`` the words the mix takes of it, repeats counted: the
     complete epochs in whole, then the document's share of the rest of its source's target, so
@@ -109,5 +109,22 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     rest = words - F.col("full") * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     return (rows.withColumn("full", full).withColumn("rest", rest)
-            .select(F.col("id").alias(id_col), "source", "size", "source_size", "target",
+            .select(F.col("id").alias(id_col), F.col("tie").alias("th"), "source", "size", "source_size", "target",
                     (F.col("full") * F.col("size") + part).cast("bigint").alias("taken")))
+
+
+def mixed(docs: DataFrame, quality: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
+          source_col: str = "source", **how) -> DataFrame:
+    """The mix itself: ``id_col``, ``source_col``, ``text_col``, size, source_size, target and taken, where taken > 0.
+
+    Rows equal in id, source and text are one row with the words taken of all of them.
+    """
+    got = mix(docs, quality, id_col=id_col, text_col=text_col, source_col=source_col, **how)
+    got = (got.where("taken > 0").groupBy(F.col(id_col).alias("g_id"), F.col("source").alias("g_source"), F.col("th").alias("g_th"))
+           .agg(F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
+                F.sum("taken").alias("taken")))
+    d = docs.select(F.col(id_col).alias("d_id"), F.col(source_col).alias("d_source"), F.col(text_col).alias("d_text"))
+    d = d.withColumn("d_th", F.xxhash64("d_text")).dropDuplicates(["d_id", "d_source", "d_th"])
+    cond = (F.col("d_id").eqNullSafe(F.col("g_id")) & F.col("d_source").eqNullSafe(F.col("g_source")) & (F.col("d_th") == F.col("g_th")))
+    return d.join(got, cond).select(F.col("d_id").alias(id_col), F.col("d_source").alias(source_col), F.col("d_text").alias(text_col),
+                                    "size", "source_size", "target", "taken")

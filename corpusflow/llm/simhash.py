@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import materialize
 from . import arrays, repeats
@@ -53,14 +53,13 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, fp)``, one row per document; ``fp`` is the fingerprint as a signed long."""
+    """``(id, th, fp)``, one row per document: hash of the text, fingerprint as a signed long."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, off = arrays.utf8(b.column("text"))
             fp = np.array([fingerprint(data[off[r]:off[r + 1]].tobytes(), shingle) for r in range(b.num_rows)], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(fp.view(np.int64))], ["id", "fp"])
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(run, "id bigint, fp bigint")
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(fp.view(np.int64))], ["id", "th", "fp"])
+    return repeats.texts(docs, id_col, text_col).mapInArrow(run, "id bigint, th bigint, fp bigint")
 
 
 _SYN = np.zeros((4, 256), np.uint8)  # syndrome of each byte of a half: xor of the places 1..31 of its bits
@@ -181,6 +180,19 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
             .mapInArrow(run, "u bigint, v bigint"))
 
 
+def _classes(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """``(id, th, fp)`` of every row, and ``(fp, component_id, first)``: the least id and the first row of its class."""
+    if not 0 <= bits <= 3:
+        raise ValueError("the covering holds for 0 to 3 bits")
+    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "th")
+    fps = materialize(rows.groupBy("fp").agg(F.min(first).alias("first")), "distinct")
+    root = components(links(fps.select("fp"), bits))
+    named = fps.join(root, fps["fp"] == root["u"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    least = named.groupBy("root").agg(F.min("first").alias("first"))
+    return rows, named.select("fp", "root").join(least, "root").select("fp", F.col("first.id").alias("component_id"), "first")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id",
                     text_col: str = "text") -> DataFrame:
     """One row per input row: ``id_col``, fingerprint (16 hex digits) and component_id.
@@ -191,14 +203,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: st
     kept and never the least unless all are null. Repeated rows share a fingerprint; an empty
     table gives an empty result; other columns are ignored.
     """
-    if not 0 <= bits <= 3:
-        raise ValueError("the covering holds for 0 to 3 bits")
-    rows = materialize(fingerprints(docs, shingle, id_col, text_col), "fingerprints")
-    fps = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    root = components(links(fps.select("fp"), bits))
-    named = (fps.join(root, fps["fp"] == root["u"], "left")
-             .select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = named.join(least, "root").select("fp", "component_id")
-    return (rows.join(of, "fp", "left")
+    rows, classes = _classes(docs, shingle, bits, id_col, text_col)
+    return (rows.join(classes, "fp", "left")
             .select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"))
+
+
+def keep_one(docs: DataFrame, shingle: int = 3, bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, one of each class: the least id, then the least hash of the text.
+
+    Of rows equal in id and text any one stays.
+    """
+    _, classes = _classes(docs, shingle, bits, id_col, text_col)
+    kept = classes.select(F.col("first.id").alias("__id"), F.col("first.th").alias("__th")).distinct()
+    th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    d = docs.withColumn("__text", th).join(kept, docs[id_col].cast("bigint").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__th")))
+    one = Window.partitionBy("__id", "__th").orderBy(F.lit(0))
+    return d.withColumn("__n", F.row_number().over(one)).where("__n = 1").select(*docs.columns)
