@@ -63,8 +63,11 @@ class Candidates:
         found = materialize(anchor_rows(rows, length, words), "anchors")
         grams = (found.groupBy("gram").agg(F.count("*").alias("n"), F.min("ctx").alias("lo"), F.max("ctx").alias("hi"))
                  .where("n > 1").select("gram", (F.col("lo") == F.col("hi")).alias("whole")))
+        # stored, so that the join has a shuffle of its own on both sides, which AQE can split
+        grams = materialize(grams, "grams")
         hits = materialize(found.join(grams, "gram"), "repeated")
         release(found)
+        release(grams)
         self.whole = hits.where("whole").select(*ROW, (F.col("pos") - self.reach).alias("s"),
                                                 (F.col("pos") + length).alias("e"))
         self.open = hits.where("not whole").drop("whole")

@@ -154,7 +154,8 @@ def links(fps: DataFrame, bits: int = 3) -> DataFrame:
     visits = _visits(fps)
     hot = (visits.groupBy("anchor").agg(F.count("*").alias("m"), F.sum(F.col("home").cast("int")).alias("h"))
            .where((F.col("m") > BLOCK) & (F.col("h") > 0))
-           .select("anchor", F.ceil(F.col("m") / BLOCK).cast("int").alias("mv"), F.ceil(F.col("h") / BLOCK).cast("int").alias("mh")))
+           .select("anchor", F.ceil(F.col("m") / BLOCK).cast("int").alias("mv"), F.ceil(F.col("h") / BLOCK).cast("int").alias("mh"))
+           .repartition("mv", "mh"))
     v = (visits.join(hot, "anchor", "left")
          .withColumns({"mv": F.coalesce("mv", F.lit(1)), "mh": F.coalesce("mh", F.lit(1)), "x": F.hash("fp")}))
     # in a hot anchor every block of homes meets every block of visitors; elsewhere both are block 0

@@ -151,7 +151,8 @@ def _digests(contexts: DataFrame, size: int, places: str, reach: int) -> DataFra
 
 
 def _with_company(digests: DataFrame, by: list[str]) -> DataFrame:
-    again = digests.groupBy(by).agg(F.sum("n").alias("k")).where("k > 1").select(by)
+    """Digests that occur again. Dealt once more by ``h``, the join can be split where one is frequent."""
+    again = digests.groupBy(by).agg(F.sum("n").alias("k")).where("k > 1").select(by).repartition("h")
     return digests.join(again, by)
 
 

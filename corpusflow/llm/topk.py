@@ -111,7 +111,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, scale: float = 1024.0, shar
 
     Score is the inner product of ``floor(scale * x)``; ties go to the smaller id; fewer rows where there
     are fewer. Null ids and vectors that are null, empty or hold null or non-finite components take no part;
-    only vectors of the same length are compared. Ids are unique; of repeated ids each row counts, and none
+    only vectors of the same length are compared. Inner products must fit 64 bits. Ids are unique; of repeated ids each row counts, and none
     is compared with its own id. An empty table gives an empty result; other columns are ignored.
     """
     rows = materialize(to_integers(vectors, id_col, vec_col, scale), "vectors")

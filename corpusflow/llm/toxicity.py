@@ -249,7 +249,9 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: f
     kind = rows.schema["y"].dataType.simpleString()
     got = rows.mapInArrow(measured, f"total double, words bigint, y {kind}").orderBy("total", "words", "y").toArrow()
     x = np.array([features(t, n) for t, n in zip(got["total"].to_pylist(), got["words"].to_pylist())])
-    lex.coef = tuple(_logistic(x, np.array(got["y"].to_pylist(), float)))
+    if lex.weights:
+        b = _logistic(x, np.array(got["y"].to_pylist(), float))
+        lex.coef = (min(float(b[0]), -0.5), float(b[1]), float(b[2]))  # a text without a match is never toxic
     return lex
 
 

@@ -102,9 +102,8 @@ def classify(pages: DataFrame, least: int, id_col: str, url_col: str, html_col:
     """``(page, sha, refers, refers_url)`` of pages whose payload is also that of a smaller page."""
     p = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("u"),
                      F.sha2(F.coalesce(html_col, F.lit("")), 256).alias("sha"),
-                     F.octet_length(F.coalesce(html_col, F.lit(""))).alias("n")).where(F.col("n") >= least)
-    first = (p.groupBy("sha").agg(F.min(F.struct("page", "u")).alias("f"), F.count("*").alias("k")).where("k > 1")
-             .where("f.page is not null"))
+                     F.octet_length(F.coalesce(html_col, F.lit(""))).alias("n")).where(F.col("page").isNotNull() & (F.col("n") >= least))
+    first = (p.groupBy("sha").agg(F.min(F.struct("page", "u")).alias("f"), F.count("*").alias("k")).where("k > 1"))
     return (p.select("page", "sha").join(first, "sha").where("page > f.page")
             .select("page", "sha", F.col("f.page").alias("refers"), F.col("f.u").alias("refers_url")).distinct())
 
