@@ -7,14 +7,13 @@ layout and cluster. The leading 16 bits of the hash are the blocks of the exact
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import classify_bucket
-from .index import KEY_BITS, first_n, int_div, row_index
+from .index import KEY_BITS, WIDE_BITS, first_n, int_div, row_index
 
 # Mixture manifest and instruction-mix defaults.
 MIXTURE_WEIGHTS = {"fineweb": 0.60, "wikipedia": 0.10, "books": 0.10, "code": 0.10, "math": 0.10}
@@ -23,6 +22,8 @@ MIX_CAPS = (150_000, 80_000, 20_000)
 MIX_FRACTIONS = (0.60, 0.25, 0.15)
 SHUFFLE_BUFFER = 128
 
+REPEATS = 4096  # emissions of one row that are made from one array
+
 
 def hash_key(seed: int | str, *keys: str | Column) -> Column:
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
@@ -71,11 +72,12 @@ def shuffle_index(df: DataFrame, seed: int, key: str, out: str = "pos") -> DataF
     return row_index(d, ["__h", key], out, block=hash_block("__h"), key_bits=32).drop("__h")
 
 
-def sample_n(df: DataFrame, n: int | DataFrame, seed: int, key: str,
+def sample_n(df: DataFrame, n: int | DataFrame, seed: int, key: str | Sequence[str],
              group: Sequence[str] = ()) -> DataFrame:
-    """The first ``n`` rows of the seeded shuffle (per group; quotas allowed)."""
-    d = df.withColumn("__h", hash_key(seed, key))
-    return first_n(d, n, ["__h", key], group, block=hash_block("__h"), key_bits=32).drop("__h")
+    """The first ``n`` rows of the seeded shuffle (per group; quotas allowed); ``key`` may be several columns."""
+    key = [key] if isinstance(key, str) else list(key)
+    d = df.withColumn("__h", hash_key(seed, *key))
+    return first_n(d, n, ["__h", *key], group, block=hash_block("__h"), key_bits=32).drop("__h")
 
 
 def block_shuffle(df: DataFrame, order: str, seed: int, buffer: int = SHUFFLE_BUFFER,
@@ -84,7 +86,7 @@ def block_shuffle(df: DataFrame, order: str, seed: int, buffer: int = SHUFFLE_BU
 
     Adds ``pos``, the new global position, and ``block``.
     """
-    d = row_index(df, order, "__i", key_bits=key_bits)
+    d = row_index(df, order, "__i", key_bits=key_bits, bits=WIDE_BITS)
     d = d.withColumn("block", int_div("__i", buffer))
     whole = F.count("*").over(Window.partitionBy("block")) == buffer
     # one fixed-width sort key: hash for full buffers, original position for the rest
@@ -129,7 +131,7 @@ def hash_split(df: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
 
 def exact_split(df: DataFrame, ratio: float, seed: int, key: str) -> DataFrame:
     """Add ``split`` with exactly ``ceil(ratio * rows)`` test rows, by seeded shuffle."""
-    n = math.ceil(df.count() * ratio)
+    n = df.agg(F.ceil(F.count("*") * F.lit(ratio))).scalar()
     d = shuffle_index(df, seed, key, "__i")
     return d.withColumn("split", F.when(F.col("__i") < n, "test").otherwise("train")).drop("__i")
 
@@ -177,7 +179,7 @@ def mix_quotas(counts: DataFrame, caps: dict[str, int], fractions: dict[str, flo
 
 
 def fraction_mix(df: DataFrame, caps: dict[str, int], fractions: dict[str, float],
-                 key: str, source: str = "source", seed: int = 42) -> DataFrame:
+                 key: str | Sequence[str], source: str = "source", seed: int = 42) -> DataFrame:
     """Take ``min(k, n)`` seeded-random rows of each source."""
     counts = df.groupBy(source).agg(F.count("*").alias("n"))
     return sample_n(df, mix_quotas(counts, caps, fractions, source), seed, key, [source])
@@ -198,8 +200,13 @@ def interleave(df: DataFrame, probs: DataFrame, order: str, source: str = "sourc
     plan = plan.select(source, "__n", draws.alias("__k"), "__p")
     # one row per source: broadcast by Spark once its real size is known
     d = row_index(df, order, "__i", [source], key_bits=key_bits).join(plan, source)
-    d = d.withColumn("e", F.explode(F.sequence(F.col("__i"), F.col("__k") - 1, F.col("__n"))))
-    return d.withColumn("at", (F.col("e") + 0.5) / F.col("__p")).drop("__i", "__n", "__k", "__p")
+    # repeats in two steps of at most REPEATS each, so no row holds all of them in one array
+    times = int_div(F.col("__k") - 1 - F.col("__i"), F.col("__n")) + 1
+    d = d.withColumn("__c", F.explode(F.sequence(F.lit(0).cast("bigint"), int_div(times - 1, REPEATS))))
+    first = F.col("__i") + F.col("__c") * REPEATS * F.col("__n")
+    last = F.least(F.col("__k") - 1, first + (REPEATS - 1) * F.col("__n"))
+    d = d.withColumn("e", F.explode(F.sequence(first, last, F.col("__n"))))
+    return d.withColumn("at", (F.col("e") + 0.5) / F.col("__p")).drop("__i", "__n", "__k", "__p", "__c")
 
 
 # ---- buckets ----------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .index import KEY_BITS, int_div, prefix_sum, row_index
+from .index import BLOCK_BITS, KEY_BITS, WIDE_BITS, int_div, prefix_sum, row_index
 from .mixing import SHUFFLE_BUFFER, block_shuffle
 from .tokens import IGNORE, PAD, pad_to
 
@@ -50,7 +50,7 @@ def pack(df: DataFrame, seq_len: int, order: str, ids: str = "ids", n_tok: str |
     length = F.col(n_tok) if n_tok else F.size(F.col(ids))
     d = df.select(order, ids, length.cast("bigint").alias("__n"), *([block] if block else []))
     d = prefix_sum(d, F.col("__n"), "start", order, block=F.col(block) if block else None,
-                   key_bits=key_bits)
+                   key_bits=key_bits, bits=BLOCK_BITS if block else WIDE_BITS)
     return _assemble(_segments(d, ids, seq_len, []), seq_len, []).select(
         F.col("seq").alias("seq_id"), "input_ids")
 
@@ -65,7 +65,7 @@ def pack_by_batch(df: DataFrame, seq_len: int, order: str, ids: str = "ids",
 
     The grouping by (batch, sequence) reuses the batch partitioning of the window.
     """
-    d = row_index(df.select(order, ids), order, "__i", key_bits=key_bits)
+    d = row_index(df.select(order, ids), order, "__i", key_bits=key_bits, bits=WIDE_BITS)
     d = d.withColumn("batch", int_div("__i", batch_rows))
     w = Window.partitionBy("batch").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)
     d = d.withColumn("start", F.coalesce(F.sum(F.size(ids)).over(w), F.lit(0).cast("bigint")))
@@ -97,7 +97,7 @@ def collate_fixed(df: DataFrame, max_length: int = 1024, pad: int = 0, ids: str
 
 
 def with_batches(df: DataFrame, batch_size: int, order: str, key_bits: int = KEY_BITS) -> DataFrame:
-    d = row_index(df, order, "__i", key_bits=key_bits)
+    d = row_index(df, order, "__i", key_bits=key_bits, bits=WIDE_BITS)
     return d.withColumn("batch_id", int_div("__i", batch_size)).drop("__i")
 
 

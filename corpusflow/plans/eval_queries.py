@@ -10,7 +10,7 @@ from ..operators import diagnostics as D
 from ..operators import evaluation as E
 from ..operators import ngrams as N
 from ..operators import tokens as K
-from ..session import materialize, spread
+from ..session import materialize
 from .registry import conversations, documents, query, table
 from .sql import PREFS, WS_RE, ids_cte, strip, words as sql_words, words_cte
 from .text_queries import preference_rows
@@ -35,7 +35,7 @@ def doc_bigrams(spark, sf, vocab=None):
 
 
 def lang_bigrams(spark, sf, vocab):
-    d = spread(documents(spark, sf).select("doc_id", F.col("lang").alias("model"), "text"), "doc_id")
+    d = documents(spark, sf).select("doc_id", F.col("lang").alias("model"), "text")
     return N.bigram_counts(K.encode_lines(d, vocab), group=["model"])
 
 
@@ -49,20 +49,22 @@ def ngm1(spark, sf):
     return N.ngram_counts(encoded_docs(spark, sf), 3).select(F.array_join("gram", ",").alias("gram"), "n")
 
 
-def _cut(alias: str, key: str, tbl: str, text: str) -> str:
-    """Word ids of a text column, at most KEEP per row, with the id before each."""
+def _cut(alias: str, key: str, tbl: str, text: str, keep: int | None = None) -> str:
+    """Word ids of a text column, at most ``keep`` per row, with the id before each."""
     return f"""{words_cte('w_' + alias, tbl, key, text)},
 {alias} AS (SELECT {key}, j - 1 AS pos, coalesce(lag(coalesce(id, 0)) OVER (PARTITION BY {key} ORDER BY j), 1) AS ctx,
-  coalesce(id, 0) AS tok FROM w_{alias} LEFT JOIN vocab v ON w_{alias}.tok = v.token WHERE j <= {KEEP})"""
+  coalesce(id, 0) AS tok FROM w_{alias} LEFT JOIN vocab v ON w_{alias}.tok = v.token{f' WHERE j <= {keep}' if keep else ''})"""
 
 
 _LOGP = f"ln((coalesce(n, 0) + 1.0) / (coalesce(ctx_n, 0) + {VOCAB}.0))"
 _BENCH = _cut("bt", "item_id", "benchmark", "text")
+_BENCH_CUT = _cut("bt", "item_id", "benchmark", "text", KEEP)
 
 
-def bench_ids(spark, sf, vocab):
+def bench_ids(spark, sf, vocab, keep=None):
+    """Ids of the benchmark texts; ``keep`` cuts them, as the two truncating evaluations do."""
     d = K.encode_text(table(spark, sf, "benchmark").select("item_id", "text"), vocab)
-    return d.select("item_id", F.slice("ids", 1, KEEP).alias("ids"))
+    return d.select("item_id", F.slice("ids", 1, keep).alias("ids")) if keep else d.select("item_id", "ids")
 
 
 @query("ngm2_score_tokens", f"""
@@ -80,19 +82,20 @@ _ITEM_SCORES = f"""sc AS (SELECT model, item_id, round(sum(-{_LOGP}), 6) AS nll,
 FROM (SELECT * FROM bt, {_MODELS_SQL}) b LEFT JOIN bg USING (model, ctx, tok) LEFT JOIN cx USING (model, ctx)
 GROUP BY model, item_id)"""
 _SCORES = f"{_IDS_LANG}, {_BIGRAMS_LANG}, {_BENCH}, {_ITEM_SCORES}"
+_SCORES_CUT = f"{_IDS_LANG}, {_BIGRAMS_LANG}, {_BENCH_CUT}, {_ITEM_SCORES}"
 
 
-def item_scores(spark, sf):
+def item_scores(spark, sf, keep=None):
     """Score rows: one model per language, every benchmark item (JN3)."""
     v = doc_vocab(spark, sf)
-    t = N.with_models(N.transitions(bench_ids(spark, sf, v), ["item_id"]), list(MODELS))
+    t = N.with_models(N.transitions(bench_ids(spark, sf, v, keep), ["item_id"]), list(MODELS))
     d = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["item_id"], group=["model"], groups=len(MODELS))
     d = N.seq_logprob(d, ["model", "item_id"])
     return d.select("model", "item_id", F.round(-F.col("logp"), 6).alias("nll"), "n_tok")
 
 
-def item_losses(spark, sf):
-    return item_scores(spark, sf).withColumn("loss", F.col("nll") / F.col("n_tok"))
+def item_losses(spark, sf, keep=None):
+    return item_scores(spark, sf, keep).withColumn("loss", F.col("nll") / F.col("n_tok"))
 
 
 @query("jn3_model_items", f"""
@@ -172,10 +175,10 @@ def ppl1(spark, sf):
 
 
 @query("ppl2_weighted", f"""
-WITH {_SCORES} SELECT model, CAST(sum(n_tok) AS BIGINT) AS n_tok, round(sum(nll) / sum(n_tok), 5) AS loss,
+WITH {_SCORES_CUT} SELECT model, CAST(sum(n_tok) AS BIGINT) AS n_tok, round(sum(nll) / sum(n_tok), 5) AS loss,
   round(exp(sum(nll) / sum(n_tok)), 3) AS ppl FROM sc GROUP BY model""")
 def ppl2(spark, sf):
-    d = E.ppl_weighted(item_losses(spark, sf), group=["model"])
+    d = E.ppl_weighted(item_losses(spark, sf, KEEP), group=["model"])
     return d.select("model", "n_tok", F.round("loss", 5).alias("loss"), F.round("ppl", 3).alias("ppl"))
 
 
@@ -188,11 +191,11 @@ def ppl3(spark, sf):
 
 
 @query("ppl4_compare_models", f"""
-WITH {_SCORES}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY item_id) AS r FROM sc)
+WITH {_SCORES_CUT}, r AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY item_id) AS r FROM sc)
 SELECT model, count(*) AS n, round(avg(nll / n_tok), 5) AS loss, round(exp(avg(nll / n_tok)), 3) AS ppl
 FROM r WHERE r <= 10 GROUP BY model""")
 def ppl4(spark, sf):
-    d = E.compare_models(item_losses(spark, sf))
+    d = E.compare_models(item_losses(spark, sf, KEEP))
     return d.select("model", "n", F.round("loss", 5).alias("loss"), F.round("ppl", 3).alias("ppl"))
 
 
@@ -332,7 +335,7 @@ def ifc1(spark, sf):
     return answers(spark, sf).select("conv_id", "turn", X.json_has_keys("answer").alias("ok"))
 
 
-_ANSWERS = """ans AS (SELECT conv_id, turn, turn % 5 AS k, CASE turn % 5 WHEN 0 THEN 'Sure: {"answer":"x","steps":1}'
+_ANSWERS = """ans AS (SELECT conv_id, turn, turn % 5 AS k, CASE turn % 5 WHEN 0 THEN 'Sure: ' || to_json({'answer': text, 'steps': 1})
   WHEN 1 THEN '- a' || chr(10) || ' • ' || text || chr(10) || '* c'
   WHEN 2 THEN ' abc' || lpad(CAST(conv_id % 100 AS VARCHAR), 2, '0') || '@example.com' || chr(10)
   WHEN 3 THEN 'def is_palindrome(s):' || chr(10) || '  return ' || text ELSE text END AS answer FROM conversations)"""
@@ -341,9 +344,9 @@ _BULLET_COUNT = (f"len(list_filter(string_split_regex(answer, '\\r\\n|[\\n\\r\\x
 _WORDS = f"list_filter(string_split_regex(answer, '[{WS_RE}]+'), lambda w: w <> '')"
 
 
-@query("ifc2_count_bullets", f"WITH {_ANSWERS} SELECT conv_id, turn, CAST({_BULLET_COUNT} AS BIGINT) AS bullets FROM ans WHERE k <> 0")
+@query("ifc2_count_bullets", f"WITH {_ANSWERS} SELECT conv_id, turn, CAST({_BULLET_COUNT} AS BIGINT) AS bullets FROM ans")
 def ifc2(spark, sf):
-    d = answers(spark, sf).filter(F.col("k") != 0)
+    d = answers(spark, sf)
     return d.select("conv_id", "turn", X.count_bullets("answer").cast("bigint").alias("bullets"))
 
 
@@ -354,29 +357,29 @@ def ifc3(spark, sf):
 
 
 @query("ifc4_contains_all", f"""WITH {_ANSWERS} SELECT conv_id, turn,
-  contains(answer, 'def is_palindrome') AND contains(answer, 'return') AS ok FROM ans WHERE k <> 0""")
+  contains(answer, 'def is_palindrome') AND contains(answer, 'return') AS ok FROM ans""")
 def ifc4(spark, sf):
-    d = answers(spark, sf).filter(F.col("k") != 0)
+    d = answers(spark, sf)
     return d.select("conv_id", "turn", X.contains_all("answer").alias("ok"))
 
 
 @query("ifc5_word_limit", f"""WITH {_ANSWERS} SELECT conv_id, turn,
-  len({_WORDS}) BETWEEN 1 AND 40 AND NOT contains(coalesce(({_WORDS})[1], ''), '-') AS ok FROM ans WHERE k <> 0""")
+  len({_WORDS}) BETWEEN 1 AND 40 AND NOT contains(coalesce(({_WORDS})[1], ''), '-') AS ok FROM ans""")
 def ifc5(spark, sf):
-    d = answers(spark, sf).filter(F.col("k") != 0)
+    d = answers(spark, sf)
     return d.select("conv_id", "turn", X.word_limit("answer").alias("ok"))
 
 
 @query("ifc6_pass_rate", f"""WITH {_ANSWERS}, c AS (
-  SELECT 'bullets_3' AS "check", {_BULLET_COUNT} = 3 AS ok FROM ans WHERE k <> 0
-  UNION ALL SELECT 'regex_email', regexp_full_match({strip('answer')}, '[a-z]{{3}}\\d{{2}}@example\\.com') FROM ans WHERE k <> 0
-  UNION ALL SELECT 'python_function', contains(answer, 'def is_palindrome') AND contains(answer, 'return') FROM ans WHERE k <> 0
-  UNION ALL SELECT 'word_limit', len({_WORDS}) BETWEEN 1 AND 40 AND NOT contains(coalesce(({_WORDS})[1], ''), '-') FROM ans WHERE k <> 0
-  UNION ALL SELECT 'json_format', false FROM ans WHERE k <> 0)
+  SELECT 'bullets_3' AS "check", {_BULLET_COUNT} = 3 AS ok FROM ans
+  UNION ALL SELECT 'regex_email', regexp_full_match({strip('answer')}, '[a-z]{{3}}\\d{{2}}@example\\.com') FROM ans
+  UNION ALL SELECT 'python_function', contains(answer, 'def is_palindrome') AND contains(answer, 'return') FROM ans
+  UNION ALL SELECT 'word_limit', len({_WORDS}) BETWEEN 1 AND 40 AND NOT contains(coalesce(({_WORDS})[1], ''), '-') FROM ans
+  UNION ALL SELECT 'json_format', k = 0 FROM ans)
 SELECT "check", CAST(sum(CAST(ok AS INT)) AS BIGINT) AS passed, count(*) AS total, round(avg(CAST(ok AS INT)), 8) AS rate FROM c GROUP BY "check"
 UNION ALL SELECT 'all', CAST(sum(CAST(ok AS INT)) AS BIGINT), count(*), round(avg(CAST(ok AS INT)), 8) FROM c""")
 def ifc6(spark, sf):
-    d = X.run_checks(answers(spark, sf).filter(F.col("k") != 0), "answer", ["conv_id", "turn"])
+    d = X.run_checks(answers(spark, sf), "answer", ["conv_id", "turn"])
     each = E.pass_rate(d)
     whole = E.pass_rate(d, ()).select(F.lit("all").alias("check"), "passed", "total", "rate")
     return each.unionByName(whole).withColumn("rate", F.round("rate", 8))

@@ -119,14 +119,14 @@ def mix1(spark, sf):
     return d.select("source", "weight", F.round("sharp", 8).alias("sharp"), F.round("plain", 8).alias("plain"))
 
 
-MIX_CAPS = {"en": 400, "fr": 120, "de": 60}
-MIX_FRACS = {"en": 0.60, "fr": 0.25, "de": 0.15}
+MIX_CAPS = {"en": 400, "fr": 120, "de": 60, "es": 40}
+MIX_FRACS = {"en": 0.55, "fr": 0.20, "de": 0.15, "es": 0.10}
 
 
 @query("mix2_fraction_mix", f"""
-WITH n AS (SELECT lang, count(*) AS n FROM documents WHERE lang IN ('en', 'fr', 'de') GROUP BY lang),
-q AS (SELECT lang, CAST(floor(sum(least(n, CASE lang WHEN 'en' THEN 400 WHEN 'fr' THEN 120 ELSE 60 END)) OVER ()
-   * CAST(CASE lang WHEN 'en' THEN 0.60 WHEN 'fr' THEN 0.25 ELSE 0.15 END AS DOUBLE)) AS BIGINT) AS k FROM n)
+WITH n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+q AS (SELECT lang, CAST(floor(sum(least(n, CASE lang WHEN 'en' THEN 400 WHEN 'fr' THEN 120 WHEN 'de' THEN 60 ELSE 40 END)) OVER ()
+   * CAST(CASE lang WHEN 'en' THEN 0.55 WHEN 'fr' THEN 0.20 WHEN 'de' THEN 0.15 ELSE 0.10 END AS DOUBLE)) AS BIGINT) AS k FROM n)
 SELECT d.doc_id, d.lang FROM (SELECT doc_id, lang,
    row_number() OVER (PARTITION BY lang ORDER BY {_hash(42, 'doc_id')}, doc_id) AS r FROM documents) d
 JOIN q ON q.lang = d.lang WHERE d.r <= q.k""")
@@ -174,11 +174,11 @@ _CLEAN = """length({c}) >= 16 AND length(prompt) + length(completion) BETWEEN 16
 
 @query("mix_instruction_tables", f"""
 WITH {FIRSTS}, raw AS (
-  SELECT conv_id * 1000 AS id, 'chat' AS source,
+  SELECT conv_id, -1 AS turn, 'chat' AS source,
     CASE WHEN u IS NULL THEN 'User:' || chr(10) || 'Assistant:' || chr(10)
          ELSE 'User: ' || {strip('u')} || chr(10) || 'Assistant:' || chr(10) END AS prompt,
     CASE WHEN a IS NULL THEN '' ELSE chr(10) || {strip('a')} END AS completion FROM firsts
-  UNION ALL SELECT conv_id * 1000 + turn + 1, 'flat',
+  UNION ALL SELECT conv_id, turn, 'flat',
     CASE WHEN role = 'assistant' THEN 'User:' || chr(10) || 'Assistant:' || chr(10)
          ELSE 'User: ' || {strip('text')} || chr(10) || 'Assistant:' || chr(10) END,
     CASE WHEN role = 'assistant' THEN chr(10) || {strip('text')} ELSE chr(10) END FROM conversations),
@@ -186,20 +186,20 @@ ok AS (SELECT * FROM raw WHERE {_CLEAN}),
 n AS (SELECT source, count(*) AS n FROM ok GROUP BY source),
 q AS (SELECT source, CAST(floor(sum(least(n, CASE source WHEN 'chat' THEN 150000 ELSE 80000 END)) OVER ()
   * CAST(CASE source WHEN 'chat' THEN 0.6 ELSE 0.25 END AS DOUBLE)) AS BIGINT) AS k FROM n),
-m AS (SELECT ok.*, md5('123|' || id) AS h FROM (SELECT *, row_number() OVER (PARTITION BY source
-   ORDER BY {_hash(42, 'id')}, id) AS r FROM ok) ok JOIN q USING (source) WHERE ok.r <= q.k)
-SELECT id, prompt, completion FROM (SELECT *, row_number() OVER (
-   PARTITION BY sha1(prompt || '||' || completion) ORDER BY h, id) AS first FROM m) WHERE first = 1""")
+m AS (SELECT ok.*, md5('123|' || conv_id || '|' || turn) AS h FROM (SELECT *, row_number() OVER (PARTITION BY source
+   ORDER BY {_hash(42, "conv_id || '|' || turn")}, conv_id, turn) AS r FROM ok) ok JOIN q USING (source) WHERE ok.r <= q.k)
+SELECT conv_id, turn, prompt, completion FROM (SELECT *, row_number() OVER (
+   PARTITION BY sha1(prompt || '||' || completion) ORDER BY h, conv_id, turn) AS first FROM m) WHERE first = 1""")
 def mix_instruction_tables(spark, sf):
     """The instruction mix end to end: format, clean, quota, shuffle, dedup."""
-    chat = firsts(spark, sf).select((F.col("conv_id") * 1000).alias("id"), F.lit("chat").alias("source"),
+    chat = firsts(spark, sf).select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("chat").alias("source"),
                                     C.chat_pair_or_empty().alias("p"))
-    flat = conversations(spark, sf).select((F.col("conv_id") * 1000 + F.col("turn") + 1).alias("id"),
-                                           F.lit("flat").alias("source"), C.flat_message_pair().alias("p"))
-    d = M.concat_sources(chat, flat).select("id", "source", "p.*").filter(T.clean_pair("prompt", "completion"))
-    d = M.fraction_mix(d, {"chat": 150_000, "flat": 80_000}, {"chat": 0.6, "flat": 0.25}, "id")
-    d = d.withColumn("__o", M.hash_key(123, "id"))
-    return M.dedup_exact(d, ["prompt", "completion"], ["__o", "id"]).select("id", "prompt", "completion")
+    flat = conversations(spark, sf).select("conv_id", "turn", F.lit("flat").alias("source"), C.flat_message_pair().alias("p"))
+    key = ["conv_id", "turn"]
+    d = M.concat_sources(chat, flat).select(*key, "source", "p.*").filter(T.clean_pair("prompt", "completion"))
+    d = M.fraction_mix(d, {"chat": 150_000, "flat": 80_000}, {"chat": 0.6, "flat": 0.25}, key)
+    d = d.withColumn("__o", M.hash_key(123, *key))
+    return M.dedup_exact(d, ["prompt", "completion"], ["__o", *key]).select(*key, "prompt", "completion")
 
 
 # ---- heads and catalogs -----------------------------------------------------------------
@@ -214,8 +214,8 @@ def src9(spark, sf):
 
 
 @query("src10_head_nonblank", f"""
-WITH {lines_cte()} SELECT k, line FROM (SELECT doc_id * 1000000 + line_no - 1 AS k, line FROM dlines
-WHERE {strip('line')} <> '') ORDER BY k LIMIT 512""")
+WITH {lines_cte()} SELECT doc_id, CAST(line_no - 1 AS INT) AS line_no, line FROM dlines
+WHERE {strip('line')} <> '' ORDER BY doc_id, line_no LIMIT 512""")
 def src10(spark, sf):
-    d = clean_lines(documents(spark, sf)).select((F.col("doc_id") * 1_000_000 + F.col("line_no")).alias("k"), "line")
-    return R.head_nonblank(d, 512, "k", "line")
+    d = clean_lines(documents(spark, sf)).select("doc_id", F.col("line_no").cast("int").alias("line_no"), "line")
+    return R.head_nonblank(d, 512, ["doc_id", "line_no"], "line")

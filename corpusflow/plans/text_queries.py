@@ -220,12 +220,12 @@ def flt4(spark, sf):
 
 @query("flt5_pair_present", """
 SELECT conv_id, coalesce(u, '') AS u, coalesce(a, '') AS a FROM (
-  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'system') AS u,
+  SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS u,
          arg_min(text, turn) FILTER (WHERE role = 'assistant') AS a FROM conversations GROUP BY conv_id)
 WHERE coalesce(u, '') <> '' OR coalesce(a, '') <> ''""")
 def flt5(spark, sf):
     first = lambda r: F.coalesce(F.min_by("text", F.when(F.col("role") == r, F.col("turn"))), F.lit(""))
-    d = conversations(spark, sf).groupBy("conv_id").agg(first("system").alias("u"), first("assistant").alias("a"))
+    d = conversations(spark, sf).groupBy("conv_id").agg(first("user").alias("u"), first("assistant").alias("a"))
     return d.filter(T.pair_present("u", "a"))
 
 

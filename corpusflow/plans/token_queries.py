@@ -9,7 +9,7 @@ from ..functions.text import text_or_empty, words
 from ..operators import bpe, diagnostics as D
 from ..operators import packing as P
 from ..operators import tokens as K
-from ..session import materialize, spread
+from ..session import materialize
 from .chat_queries import instructions
 from .registry import documents, query
 from .sql import FIRSTS, NL, ids_cte, joined, lines_cte, strip, vocab_cte, words as sql_words
@@ -19,7 +19,7 @@ SEQ = 128
 
 
 def texts(spark, sf):
-    return spread(documents(spark, sf).select("doc_id", "text"), "doc_id")
+    return documents(spark, sf).select("doc_id", "text")
 
 
 def doc_vocab(spark, sf, size: int = VOCAB, **kw) -> K.Vocab:

@@ -18,9 +18,6 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.filterPushdown": "true",
-    # collect_list over token pieces has many more than 128 keys per task; the
-    # hash path spills by memory pressure instead of switching to sort at once.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
 }
 
 
@@ -41,11 +38,15 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach.
 
-    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset
-    (tests, a laptop) is a local folder made and remembered in the session.
+    The cluster names it in ``spark.checkpoint.dir``. Only when that is unset and the
+    master is local (tests, a laptop) is a local folder made and remembered in the
+    session; on a cluster each executor would write to a disk of its own.
     """
     path = spark.conf.get(CHECKPOINT_CONF, None)
     if not path:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"set {CHECKPOINT_CONF} to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="corpusflow-")
         spark.conf.set(CHECKPOINT_CONF, path)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -90,13 +91,3 @@ def release(df: DataFrame) -> None:
         jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         p.getFileSystem(conf).delete(p, True)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Give every core some rows when the input has fewer splits than there are cores.
-
-    Meant for one small file in front of costly expressions. A large input already has
-    more splits than cores and is left alone, without a shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df

@@ -200,7 +200,7 @@ def source_counts(catalog: dict[str, DataFrame]) -> DataFrame:
                             for s, d in catalog.items()])
 
 
-def head_nonblank(df: DataFrame, n: int, order: str, text: str = "text",
+def head_nonblank(df: DataFrame, n: int, order: str | Sequence[str], text: str = "text",
                   cut_first: bool = False) -> DataFrame:
     """First ``n`` non-blank rows; with ``cut_first`` blanks are dropped after the cut."""
     if cut_first:
