@@ -6,7 +6,7 @@ import os
 import warnings
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.chat import formatter
@@ -71,6 +71,17 @@ def read_jsonl_text(spark: SparkSession, paths: str | list[str], keys: Sequence[
             .filter(F.col("text").isNotNull()).drop("line"))
 
 
+# What Spark says of a folder or file that is not readable as Parquet.
+NOT_PARQUET = ("UNABLE_TO_INFER_SCHEMA", "FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "FAILED_MERGE_SCHEMA",
+               "CANNOT_MERGE_SCHEMAS")
+
+
+def _not_parquet(e: Exception) -> bool:
+    """A format or footer fault; anything else (permissions, network) is not ours to pass over."""
+    said = (e.getCondition() or "") if isinstance(e, PySparkException) else ""
+    return said.startswith(NOT_PARQUET) or "is not a Parquet file" in str(e) or "Could not read footer" in str(e)
+
+
 def _readable_parquet(spark: SparkSession, path: str) -> DataFrame | None:
     """A Parquet folder without its broken files; None when nothing can be read.
 
@@ -80,46 +91,106 @@ def _readable_parquet(spark: SparkSession, path: str) -> DataFrame | None:
         try:
             return (spark.read.option("ignoreCorruptFiles", True).option("mergeSchema", merge)
                     .parquet(path))
-        except Exception as e:  # missing folder, or no readable footer
+        except Exception as e:
             if isinstance(e, AnalysisException) and e.getCondition() == "PATH_NOT_FOUND":
                 return None
+            if not _not_parquet(e):
+                raise
     return None
 
 
-def read_parquet_text(spark: SparkSession, paths: str | list[str],
-                      keys: Sequence[str] = TEXT_KEYS, keep: Sequence[str] = ()) -> DataFrame:
+def _data_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of the Parquet files below a folder, hidden ones left out as Spark does."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+            .select("path").where(F.col("path").endswith(".parquet")))
+
+
+def skipped_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path)`` of the files a lenient read of ``path`` loses, and of files without rows.
+
+    Counting rows per file reads the footers only.
+    """
+    listed = _data_files(spark, path)
+    d = _readable_parquet(spark, path)
+    if d is None:
+        return listed
+    seen = d.select(F.col("_metadata.file_path").alias("path")).distinct()
+    return listed.join(seen, "path", "left_anti")
+
+
+def report_skipped(spark: SparkSession, path: str, strict: bool) -> None:
+    """Warn about each lost file by path; with ``strict`` raise."""
+    lost = [r["path"] for r in skipped_files(spark, path).orderBy("path").toLocalIterator()]
+    for p in lost:
+        warnings.warn(f"no rows read from {p}")
+    if lost and strict:
+        raise ValueError(f"no rows read from {len(lost)} files below {path}: {', '.join(lost[:20])}")
+
+
+def _text_of(d: DataFrame, keys: Sequence[str], keep: Sequence[str], where: str) -> DataFrame | None:
+    names = {c.lower(): c for c in d.columns}
+    col = next((names[k.lower()] for k in keys if k.lower() in names), None)
+    if col is None:
+        warnings.warn(f"no text column {tuple(keys)} in {where}")
+        return None
+    if d.schema[col].dataType.typeName() != "string":
+        warnings.warn(f"column {col} of {where} holds {d.schema[col].dataType.simpleString()}, not text")
+        return None
+    return d.filter(F.col(col).isNotNull()).select(*keep, strip(col).alias("text"))
+
+
+def read_parquet_text(spark: SparkSession, paths: str | list[str], keys: Sequence[str] = TEXT_KEYS,
+                      keep: Sequence[str] = (), strict: bool = False, mixed: bool = False) -> DataFrame:
     """The first of ``keys`` found as a column (any case) of each path, strings only.
 
-    A path is a file or a folder of one schema. Unreadable ones are reported and left
-    out, as are those without a text column.
+    A path is a file or a folder of one schema; with ``mixed`` the files of a folder choose
+    their column each, a plan branch per distinct set of columns. Files that cannot be read
+    are reported by path, with ``strict`` they raise; so are paths without a text column.
     """
     parts = []
     for p in [paths] if isinstance(paths, str) else paths:
+        if mixed:
+            parts += _mixed_text(spark, p, keys, keep, strict)
+            continue
         d = _readable_parquet(spark, p)
         if d is None:
+            if strict:
+                raise ValueError(f"cannot read {p}")
             warnings.warn(f"cannot read {p}")
             continue
-        names = {c.lower(): c for c in d.columns}
-        col = next((names[k.lower()] for k in keys if k.lower() in names), None)
-        if col is None:
-            warnings.warn(f"no text column {tuple(keys)} in {p}")
-            continue
-        if d.schema[col].dataType.typeName() != "string":
-            continue
-        parts.append(d.filter(F.col(col).isNotNull()).select(*keep, strip(col).alias("text")))
+        report_skipped(spark, p, strict)
+        d = _text_of(d, keys, keep, p)
+        if d is not None:
+            parts.append(d)
     if not parts:
         raise ValueError(f"nothing readable in {paths}")
     return concat_sources(*parts)
 
 
+def _mixed_text(spark: SparkSession, path: str, keys: Sequence[str], keep: Sequence[str], strict: bool) -> list[DataFrame]:
+    """One branch per set of columns below ``path``; only names and types of files come to the driver."""
+    groups: dict[tuple, list[str]] = {}
+    for r in _data_files(spark, path).orderBy("path").toLocalIterator():
+        try:
+            kinds = tuple(spark.read.parquet(r["path"]).dtypes)
+        except Exception as e:
+            if not _not_parquet(e):
+                raise
+            if strict:
+                raise ValueError(f"cannot read {r['path']}") from e
+            warnings.warn(f"cannot read {r['path']}")
+            continue
+        groups.setdefault(kinds, []).append(r["path"])
+    found = [_text_of(spark.read.parquet(*files), keys, keep, f"{len(files)} files below {path}") for files in groups.values()]
+    return [d for d in found if d is not None]
+
+
 # ---- files ------------------------------------------------------------------------
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-        return True
-    except AnalysisException:
-        return False
+    """Asked of the path's own file system; nothing is listed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def file_ending(path: Column | str, exts: Sequence[str] = EXTENSIONS) -> Column:
@@ -165,11 +236,11 @@ def read_instructions(spark: SparkSession, path: str, fmt: str = "alpaca",
     return d.select(formatter(fmt)().alias("text")).filter(not_blank("text"))
 
 
-def read_packed(spark: SparkSession, path: str) -> DataFrame:
+def read_packed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
     """A packed dataset: the folder itself, else its ``_parquet`` shards.
 
-    Ids are cast to int whatever integer type was stored. Broken files are skipped;
-    having no rows at all is an error.
+    Ids are cast to int whatever integer type was stored. Broken files are skipped and
+    reported by path, with ``strict`` they raise; having no rows at all is an error.
     """
     for p in (path, f"{path}_parquet"):
         d = _readable_parquet(spark, p)
@@ -177,6 +248,7 @@ def read_packed(spark: SparkSession, path: str) -> DataFrame:
             continue
         d = d.withColumn("input_ids", F.col("input_ids").cast("array<int>"))
         if not d.isEmpty():
+            report_skipped(spark, p, strict)
             return d
     raise ValueError(f"no packed rows in {path}")
 

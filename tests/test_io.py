@@ -1,5 +1,6 @@
 """Readers and writers on edge files; streams equal batches."""
 
+import glob
 import gzip
 import os
 
@@ -135,3 +136,33 @@ def test_streams_equal_batches(spark, folder):
     S.head_split_stream(stream(), f"{folder}/hs", f"{folder}/hs-c", 120, 0.05, "doc_id")
     n = {r.split: r["count"] for r in spark.read.parquet(f"{folder}/hs/rows").groupBy("split").count().collect()}
     assert n == {"validation": 6, "train": 114}
+
+
+def _cut_in_half(path):
+    with open(path, "rb+") as f:
+        f.truncate(os.path.getsize(path) // 2)
+
+
+def test_a_damaged_shard_is_named_and_strict_raises(spark, folder):
+    spark.range(1000).selectExpr("array(id, id + 1) AS input_ids").repartition(4).write.parquet(f"{folder}/pk")
+    bad = sorted(glob.glob(f"{folder}/pk/*.parquet"))[1]
+    _cut_in_half(bad)
+    with pytest.warns(UserWarning, match=os.path.basename(bad)):
+        got = R.read_packed(spark, f"{folder}/pk").count()
+    assert 0 < got < 1000
+    with pytest.raises(ValueError, match=os.path.basename(bad)):
+        R.read_packed(spark, f"{folder}/pk", strict=True)
+    assert [os.path.basename(r.path) for r in R.skipped_files(spark, f"{folder}/pk").collect()] == [os.path.basename(bad)]
+
+
+def test_mixed_schemas_below_one_folder_and_non_text_columns(spark, folder):
+    spark.createDataFrame([(" one ",)], "text string").write.parquet(f"{folder}/m/a")
+    spark.createDataFrame([(7, "two")], "n int, Content string").write.parquet(f"{folder}/m/b")
+    spark.createDataFrame([(7,)], "text int").write.parquet(f"{folder}/m/c")
+    with pytest.warns(UserWarning, match="not text"):
+        d = R.read_parquet_text(spark, f"{folder}/m", mixed=True)
+    assert sorted(r.text for r in d.collect()) == ["one", "two"]
+
+
+def test_path_exists_asks_the_file_system(spark, folder):
+    assert R.path_exists(spark, folder) and not R.path_exists(spark, f"{folder}/none")
