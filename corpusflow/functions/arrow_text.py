@@ -20,7 +20,10 @@ def lengths(col: pa.Array) -> np.ndarray:
 
 
 def offsets(sizes: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    if ends[-1] > np.iinfo(np.int32).max:
+        raise OverflowError("more than 2**31 ids in one batch: lower spark.sql.execution.arrow.maxRecordsPerBatch")
+    return pa.array(ends.astype(np.int32))
 
 
 def split_words(lines: pa.Array) -> tuple[pa.Array, np.ndarray]:

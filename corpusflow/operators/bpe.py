@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -82,8 +83,8 @@ def learn_bpe(counts: DataFrame, n_merges: int, batch: int = 64, every: int = 8,
     """
     spark = counts.sparkSession
     shared_dir(spark)
-    # word types are few next to the corpus; spread them over all cores for the rounds
-    types = (counts.repartition(spark.sparkContext.defaultParallelism)
+    # word types are few next to the corpus; AQE sizes the partitions of the rounds
+    types = (counts.hint("rebalance")
              .select(word_symbols("token").alias("symbols"), "n").checkpoint())
     merges: list[tuple[str, str, int]] = []
     rounds = 0
@@ -108,11 +109,8 @@ class BpeModel:
     """Characters and merges of bounded number with their ids, sent to workers once."""
 
     def __init__(self, spark, chars: list[str], merges: list[tuple[str, str]]):
-        pieces = [WORD_START, *[c for c in chars if c != WORD_START]]
-        for a, b, *_ in merges:
-            if a + b not in pieces:
-                pieces.append(a + b)
-        self.ids = {p: FIRST_PIECE + i for i, p in enumerate(dict.fromkeys(pieces))}
+        pieces = dict.fromkeys([WORD_START, *chars, *[a + b for a, b, *_ in merges]])
+        self.ids = {p: FIRST_PIECE + i for i, p in enumerate(pieces)}
         self.ranks = {(a, b): i for i, (a, b, *_) in enumerate(merges)}
         self.size = FIRST_PIECE + len(self.ids)
         self.data = spark.sparkContext.broadcast((self.ids, self.ranks))
@@ -144,22 +142,36 @@ class BpeModel:
 
 
 def bpe_pieces(word: str, ranks: dict) -> list[str]:
-    """Apply the lowest-ranked merge to all its places until none is left."""
-    parts = [WORD_START, *word]
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(parts):
-            if i + 1 < len(parts) and (parts[i], parts[i + 1]) == best:
-                out.append(parts[i] + parts[i + 1])
-                i += 2
-            else:
-                out.append(parts[i])
-                i += 1
-        parts = out
-    return parts
+    """Apply the lowest-ranked merge to all its places, left to right, until none is left.
+
+    Neighbouring pairs wait in a heap by (rank, place), so the work grows as the length of the
+    word times its logarithm. A merge only makes pairs of its own or later rounds: pairs are
+    taken rank by rank, those of one rank from the left.
+    """
+    parts: list[str | None] = [WORD_START, *word]
+    after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+    heapify(heap)
+    while heap:
+        rank = heap[0][0]
+        round_ = []
+        while heap and heap[0][0] == rank:
+            round_.append(heappop(heap))
+        new = []
+        for _, i, a, b in round_:
+            j = after[i]
+            if parts[i] != a or j >= len(parts) or parts[j] != b:
+                continue
+            parts[i], parts[j] = a + b, None
+            after[i] = after[j]
+            if after[i] < len(parts):
+                before[after[i]] = i
+            new.append(i)
+        for i in new:
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y < len(parts) and parts[x] is not None and parts[y] is not None and (parts[x], parts[y]) in ranks:
+                    heappush(heap, (ranks[parts[x], parts[y]], x, parts[x], parts[y]))
+    return [p for p in parts if p is not None]
 
 
 def piece_ids(pieces: list[str], ids: dict) -> list[int]:

@@ -8,33 +8,30 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .tokens import BOS
 
-# A key above this share of the rows is salted; by counting there can be at most
-# 1 / HOT_SHARE of them, which bounds what is broadcast.
+# A key above this share of the rows is salted, or above one shuffle partition's even share
+# where that is less; by counting there are at most 1 / share of them, which bounds what is broadcast.
 HOT_SHARE = 0.001
-SALTS = 64
-
-# Context counts have one row per vocabulary entry and model. Up to this many rows
-# (tens of MB) they are broadcast; a larger vocabulary takes the salted join.
-BROADCAST_ROWS = 1_000_000
 
 
 def salted_join(left: DataFrame, right: DataFrame, keys: Sequence[str], row_key: Sequence[str],
-                how: str = "left", share: float = HOT_SHARE, salts: int = SALTS) -> DataFrame:
+                how: str = "left", share: float | None = None, salts: int | None = None) -> DataFrame:
     """Equi-join where a key of ``left`` may hold a large part of all rows.
 
     Keys above ``share`` of the left rows (at most ``1/share`` of them) are marked
-    by a broadcast; their rows are spread over ``salts`` partitions and the matching
-    right rows are repeated that often. Everything else joins as usual.
+    by a broadcast; their rows are spread over as many partitions as they hold shares (or
+    ``salts``) and the matching right rows are repeated that often. Everything else joins as usual.
     """
     keys = list(keys)
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    share = share or min(HOT_SHARE, 1.0 / parts)
     counts = left.groupBy(*keys).agg(F.count("*").alias("__c"))
     total = counts.agg(F.sum("__c")).scalar()
-    hot = F.broadcast(counts.filter(F.col("__c") > total * share)
-                      .select(*keys, F.lit(True).alias("__hot")))
-    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*row_key), F.lit(salts))).otherwise(F.lit(0))
-    a = left.join(hot, keys, "left").withColumn("__s", salt.cast("int")).drop("__hot")
-    spread = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    b = right.join(hot, keys, "left").withColumn("__s", F.explode(spread)).drop("__hot")
+    n = F.lit(salts) if salts else F.ceil(F.col("__c") / (total * share))
+    hot = F.broadcast(counts.filter(F.col("__c") > total * share).select(*keys, n.cast("int").alias("__n")))
+    salt = F.when(F.col("__n") > 1, F.pmod(F.xxhash64(*row_key), F.col("__n"))).otherwise(F.lit(0))
+    a = left.join(hot, keys, "left").withColumn("__s", salt.cast("int")).drop("__n")
+    every = F.sequence(F.lit(0), F.coalesce("__n", F.lit(1)) - 1)
+    b = right.join(hot, keys, "left").withColumn("__s", F.explode(every)).drop("__n")
     return a.join(b, [*keys, "__s"], how).drop("__s")
 
 
@@ -75,20 +72,15 @@ def context_counts(bigrams: DataFrame, group: Sequence[str] = ()) -> DataFrame:
 # ---- scoring ----------------------------------------------------------------------
 
 def score_tokens(tokens: DataFrame, bigrams: DataFrame, vocab_size: int, k: float = 1.0,
-                 key: Sequence[str] = ("doc_id",), group: Sequence[str] = (),
-                 groups: int = 1) -> DataFrame:
+                 key: Sequence[str] = ("doc_id",), group: Sequence[str] = ()) -> DataFrame:
     """Add ``logp`` = ln((n(ctx,tok)+k) / (n(ctx)+k*V)).
 
-    ``group`` names the model column and ``groups`` the number of models. Frequent
-    bigrams are salted.
+    ``group`` names the model column. Frequent bigrams and contexts are salted; where the
+    counts are small, AQE turns the joins into broadcasts by their measured size.
     """
     group, row_key = list(group), [*key, "pos"]
     d = salted_join(tokens, bigrams, [*group, "ctx", "tok"], row_key)
-    contexts = context_counts(bigrams, group)
-    if vocab_size * groups <= BROADCAST_ROWS:
-        d = d.join(F.broadcast(contexts), [*group, "ctx"], "left")
-    else:
-        d = salted_join(d, contexts, [*group, "ctx"], row_key)
+    d = salted_join(d, context_counts(bigrams, group), [*group, "ctx"], row_key)
     p = ((F.coalesce("n", F.lit(0)) + F.lit(float(k)))
          / (F.coalesce("ctx_n", F.lit(0)) + F.lit(float(k) * vocab_size)))
     return d.withColumn("logp", F.log(p)).drop("n", "ctx_n")

@@ -70,9 +70,14 @@ def word_counts(df: DataFrame, text: str = "text") -> DataFrame:
 def build_vocab(counts: DataFrame, size: int) -> DataFrame:
     """``token, n, id``: ids 0-2 are special, then by (count desc, token).
 
-    Top-n first, so the ranking window sees at most ``size`` rows.
+    The count at the cut comes first, from a table of counts, so only words at or above it
+    are ordered; top-n follows, so the ranking window sees at most ``size`` rows.
     """
-    top = counts.orderBy(F.desc("n"), "token").limit(max(0, size - len(SPECIALS)))
+    by_count = counts.groupBy("n").agg(F.count("*").alias("c"))
+    run = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    cut = (by_count.withColumn("before", F.coalesce(run, F.lit(0))).filter(F.col("before") < size)
+           .agg(F.min("n")).scalar())
+    top = counts.filter(F.col("n") >= cut).orderBy(F.desc("n"), "token").limit(max(0, size - len(SPECIALS)))
     w = Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), "token")
     return top.select("token", "n",
                       (F.row_number().over(w) + len(SPECIALS) - 1).cast("int").alias("id"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import chat as C
 from ..functions import text as T
@@ -230,7 +230,9 @@ SELECT conv_id, string_agg(done, '' ORDER BY turn) || CASE WHEN max(a) FILTER (W
   ELSE 'User: ' || chr(10) || 'Assistant:' || chr(10) END AS prompt
 FROM r WHERE back <= 8 GROUP BY conv_id""")
 def fmt17_record(spark, sf):
+    # the prompt needs the last eight exchanges: ranked before they are gathered
     ex = V.exchanges(conversations(spark, sf))
+    ex = ex.withColumn("back", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).filter("back <= 8")
     h = ex.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "user", "assistant"))).alias("h"))
     hist = F.transform("h", lambda x: F.struct(x["user"].alias("user"), x["assistant"].alias("assistant")))
     return h.withColumn("history", hist).select("conv_id", V.dialog_prompt("history").alias("prompt"))

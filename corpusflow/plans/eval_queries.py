@@ -89,7 +89,7 @@ def item_scores(spark, sf, keep=None):
     """Score rows: one model per language, every benchmark item (JN3)."""
     v = doc_vocab(spark, sf)
     t = N.with_models(N.transitions(bench_ids(spark, sf, v, keep), ["item_id"]), list(MODELS))
-    d = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["item_id"], group=["model"], groups=len(MODELS))
+    d = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["item_id"], group=["model"])
     d = N.seq_logprob(d, ["model", "item_id"])
     return d.select("model", "item_id", F.round(-F.col("logp"), 6).alias("nll"), "n_tok")
 
@@ -134,7 +134,7 @@ def pair_scores(spark, sf):
     d = K.encode_text(d, v)
     t = N.transitions(d, ["conv_id", "side", "plen"]).filter(F.col("pos") >= F.col("plen"))
     t = N.with_models(t, list(MODELS))
-    sc = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["conv_id", "side"], group=["model"], groups=len(MODELS))
+    sc = N.score_tokens(t, lang_bigrams(spark, sf, v), VOCAB, key=["conv_id", "side"], group=["model"])
     out = N.seq_logprob(sc, ["model", "conv_id", "side"])
     return out.withColumn("logp", F.round("logp", 6))
 

@@ -53,10 +53,18 @@ def src3(spark, sf):
     return R.read_parquet_text(spark, [f"{sf}/documents.parquet", f"{sf}/benchmark.parquet"], ("CONTENT", "TEXT"))
 
 
-@query("src4_scan_files")
+@query("src4_scan_files", """
+SELECT DISTINCT source, e AS ext, e = '.arrow' AS skipped FROM documents, (VALUES ('.parquet'), ('.jsonl'), ('.txt'), ('.arrow')) x(e)""")
 def src4(spark, sf):
-    d = R.scan_files(spark, [sf, f"{sf}/no-such-folder"])
-    return d.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "ext", "length", "skipped")
+    """Folders written from the documents in several formats, found again by path and ending."""
+    root = scratch_path(spark, "src4")
+    d = documents(spark, sf).select("source", "text")
+    d.write.partitionBy("source").parquet(f"{root}/p")
+    d.write.partitionBy("source").option("extension", "jsonl").csv(f"{root}/j")
+    d.write.partitionBy("source").text(f"{root}/t")
+    d.write.partitionBy("source").option("extension", "arrow").csv(f"{root}/a")
+    found = R.scan_files(spark, [root, f"{root}/no-such-folder"])
+    return found.select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), "ext", "skipped").distinct()
 
 
 @query("src5_read_instructions", f"""
@@ -192,11 +200,11 @@ def udf3(spark, sf):
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def doc_stream(spark, sf):
+def doc_stream(spark, sf, max_files=2):
     """The documents as a stream of files."""
     path = scratch_path(spark, "stream-in")
     documents(spark, sf).repartition(4).write.parquet(path)
-    return S.read_stream(spark, path, DOC_SCHEMA, max_files=2)
+    return S.read_stream(spark, path, DOC_SCHEMA, max_files=max_files)
 
 
 def _drain(spark, df, name):
@@ -247,12 +255,12 @@ def str5(spark, sf):
 
 
 @query("str6_stream_head_split", """
-SELECT 'validation' AS split, least(count(*), 9) AS n FROM documents
-UNION ALL SELECT 'train', least(count(*), 900) - 9 FROM documents""")
+SELECT doc_id, CASE WHEN i < 9 THEN 'validation' ELSE 'train' END AS split
+FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) WHERE i < 900""")
 def str6(spark, sf):
     path, chk = scratch_path(spark, "str6"), scratch_path(spark, "str6-checkpoint")
-    S.head_split_stream(doc_stream(spark, sf).select("doc_id"), path, chk, 900, 0.01, "doc_id")
-    return spark.read.parquet(f"{path}/rows").groupBy("split").agg(F.count("*").alias("n"))
+    S.head_split_stream(doc_stream(spark, sf, max_files=100).select("doc_id"), path, chk, 900, 0.01, "doc_id")
+    return spark.read.parquet(f"{path}/rows").select("doc_id", "split")
 
 
 @query("mix_streamed_pretraining", f"""

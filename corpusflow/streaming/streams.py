@@ -76,19 +76,17 @@ def head_split_stream(df: DataFrame, path: str, checkpoint: str, cap: int, ratio
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        n = batch.count()
-        sizes = f"{path}/sizes"
+        sizes, before = f"{path}/sizes", 0
         if batch_id > 0:
             before = (spark.read.parquet(sizes).filter(F.col("batch") < batch_id)
                       .agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-        else:
-            before = 0
-        if before < cap:
-            d = row_index(batch, order, "__i").withColumn("__i", F.col("__i") + before)
-            d = d.filter(F.col("__i") < cap).withColumn(
-                "split", F.when(F.col("__i") < val, "validation").otherwise("train"))
-            d.drop("__i").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
-        (spark.createDataFrame([(n,)], "n bigint")
+        if before >= cap:  # the head is full: later batches are neither counted nor noted
+            return
+        d = row_index(batch, order, "__i").withColumn("__i", F.col("__i") + before)
+        d = d.filter(F.col("__i") < cap).withColumn(
+            "split", F.when(F.col("__i") < val, "validation").otherwise("train"))
+        d.drop("__i").write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        (spark.createDataFrame([(batch.count(),)], "n bigint")
          .coalesce(1).write.mode("overwrite").parquet(f"{sizes}/batch={batch_id}"))
 
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)

@@ -41,8 +41,7 @@ def test_row_index_in_groups_with_a_hot_and_a_null_group(spark):
 
 
 @pytest.mark.parametrize("n", [0, 1, 77, 499, 500, 900])
-def test_first_n_by_blocks(spark, n, monkeypatch):
-    monkeypatch.setattr(I, "SMALL_TOP", -1)
+def test_first_n_by_blocks(spark, n):
     ks = [k * 3 for k in range(500)]
     df = spark.createDataFrame([(k,) for k in random.Random(4).sample(ks, 500)], "k bigint")
     got = sorted(r.k for r in I.first_n(df, n, "k", block=F.shiftright("k", 5), key_bits=48).collect())
@@ -111,3 +110,41 @@ def test_interleave_uses_every_row_and_keeps_shares(spark):
     assert n == {"big": 900, "small": 900}
     head = [r.source for r in d.orderBy("at", "source").limit(100).collect()]
     assert head.count("small") == 50
+
+
+@pytest.mark.parametrize("n", [1, 2, 10, 1000, 20_000])
+def test_null_keys_come_first_for_every_n(spark, n):
+    df = spark.createDataFrame([(None, "a"), (1, "b"), (2, "c"), (-(2 ** 63), "d"), (2 ** 62, "e")], "k bigint, t string")
+    got = [r.t for r in I.first_n(df, n, "k", index="i").orderBy("i").collect()]
+    assert got == ["a", "d", "b", "c", "e"][:n]
+    assert sorted(r.t for r in I.first_n(df, n, "k").collect()) == sorted(got)
+
+
+@pytest.mark.parametrize("n", [10, 20_000])
+def test_text_keys_need_a_block_for_every_n(spark, n):
+    df = spark.createDataFrame([("b",), ("a",), (None,)], "k string")
+    with pytest.raises(TypeError, match="block"):
+        I.first_n(df, n, "k")
+    got = I.first_n(df, n, "k", block=F.ascii(F.substring("k", 1, 1)), index="i").orderBy("i").collect()
+    assert [r.k for r in got] == [None, "a", "b"]
+
+
+def test_a_null_key_loses_no_tokens(spark):
+    from corpusflow.operators import packing as P
+    df = spark.createDataFrame([(None, list(range(10))), (1, list(range(10, 20))), (2, list(range(20, 30)))], "k bigint, ids array<int>")
+    got = P.pack(df, 5, "k").orderBy("seq_id").collect()
+    assert [x for r in got for x in r.input_ids] == list(range(30))
+
+
+def test_tied_first_columns_use_the_next(spark):
+    df = spark.createDataFrame([(k // 5, k % 5) for k in range(50)], "a bigint, b int")
+    assert sorted((r.a, r.b) for r in I.first_n(df, 7, ["a", "b"]).collect()) == [(0, i) for i in range(5)] + [(1, 0), (1, 1)]
+
+
+def test_interleave_cuts_long_repeats(spark, monkeypatch):
+    rows = [(k, "big") for k in range(40)] + [(100, "one")]
+    df = spark.createDataFrame(rows, "k bigint, source string")
+    probs = spark.createDataFrame([("big", 0.5), ("one", 0.5)], "source string, prob double")
+    want = sorted(tuple(r) for r in M.interleave(df, probs, "k").collect())
+    monkeypatch.setattr(M, "REPEATS", 7)
+    assert sorted(tuple(r) for r in M.interleave(df, probs, "k").collect()) == want and len(want) == 80
