@@ -182,7 +182,8 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
                 sig.append(min((zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2))), default=0))
             yield pa.RecordBatch.from_arrays([b.column("text"), b.column("y"), pa.array(sig, pa.int64())], ["text", "y", "sig"])
     kind = rows.schema["y"].dataType.simpleString()
-    signed = rows.repartition(F.xxhash64("text")).mapInArrow(run, f"text string, y {kind}, sig bigint")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    signed = rows.repartition(parts).mapInArrow(run, f"text string, y {kind}, sig bigint")
     return signed.groupBy("sig", "y").agg(F.min("text").alias("text")).select("text", "y")
 
 
