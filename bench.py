@@ -32,6 +32,9 @@ HEADLINE = {
     "ppl": QUERIES["ppl2_weighted"],
     "nucleus": QUERIES["ngm5_nucleus"],
     "stream_pack": QUERIES["str3_stream_pack"],
+    "bpe_encode": QUERIES["tok6_encode_bpe"],
+    "pair_metrics": QUERIES["prf1_pair_metrics"],
+    "first_n": QUERIES["smp2_sample_by_blocks"],
 }
 
 

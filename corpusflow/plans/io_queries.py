@@ -19,13 +19,16 @@ from ..streaming import streams as S
 from .chat_queries import A, _INSTR, instructions
 from .mix_queries import _SPEC, _lang_spec
 from .registry import conversations, documents, query
-from .sql import FIRSTS, lines_cte, strip
+from .sql import ids_cte, FIRSTS, lines_cte, strip
 from .text_queries import _BUCKET_SQL, _PATH_SQL, _doc_path
 from .token_queries import _PACKED, SEQ, VOCAB, doc_vocab, packed_docs
 
 
 # ---- sources ---------------------------------------------------------------------
 
+_IDS_LANG = ids_cte(VOCAB, cols="lang")
+
+
 @query("src1_read_lines", f"""
 WITH {lines_cte()} SELECT {strip('line')} AS line, count(*) AS n FROM dlines WHERE {strip('line')} <> '' GROUP BY 1""")
 def src1(spark, sf):
@@ -200,10 +203,10 @@ def udf3(spark, sf):
 DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
 
-def doc_stream(spark, sf, max_files=2):
+def doc_stream(spark, sf, max_files=2, files=4):
     """The documents as a stream of files."""
     path = scratch_path(spark, "stream-in")
-    documents(spark, sf).repartition(4).write.parquet(path)
+    documents(spark, sf).repartition(files).write.parquet(path)
     return S.read_stream(spark, path, DOC_SCHEMA, max_files=max_files)
 
 
@@ -227,18 +230,19 @@ def str2(spark, sf):
     return _drain(spark, d, "str2")
 
 
-def _stream_pack(spark, sf, name):
-    d = K.encode_lines(doc_stream(spark, sf), doc_vocab(spark, sf)).withColumn("lane", F.col("lang"))
+def _stream_pack(spark, sf, name, files=4):
+    d = K.encode_lines(doc_stream(spark, sf, files=files), doc_vocab(spark, sf)).withColumn("lane", F.col("lang"))
     return _drain(spark, S.pack_stream(d.select("lane", "doc_id", "ids"), SEQ, "doc_id"), name)
 
 
 @query("str3_stream_pack", f"""
-WITH {_PACKED}, t AS (SELECT lang, count(*) AS n FROM ids JOIN documents USING (doc_id) GROUP BY lang)
-SELECT lang AS lane, n // {SEQ} AS sequences, (n // {SEQ}) * {SEQ} AS tokens FROM t""")
+WITH {_IDS_LANG}, p AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no, j) - 1 AS pos FROM ids)
+SELECT lang AS lane, pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
+FROM p GROUP BY 1, 2 HAVING count(*) = {SEQ}""")
 def str3(spark, sf):
-    d = _stream_pack(spark, sf, "str3")
-    return d.groupBy("lane").agg(F.count("*").alias("sequences"),
-                                 F.sum(F.size("input_ids").cast("bigint")).alias("tokens"))
+    """One file, so a lane's documents arrive together and its content is exact."""
+    d = _stream_pack(spark, sf, "str3", files=1)
+    return d.select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
 @query("str4_stream_dedup", "SELECT DISTINCT text FROM documents")
