@@ -32,7 +32,17 @@ def op1_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, bits=3)
 
 
-@query("op2_phrase_dedup")
+OP2_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+'), []) AS w FROM documents),
+g AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d WHERE len(w) >= 35)),
+h AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS p FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+s AS (SELECT r, string_agg(x, ' ' ORDER BY p) AS s, count(*) AS c
+      FROM (SELECT r, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) y ANTI JOIN h USING (r, p) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(c, 0))::BIGINT AS n_removed, sha256(coalesce(s, '')) AS kept_sha256
+FROM d LEFT JOIN s USING (r)"""
+
+
+@query("op2_phrase_dedup", OP2_SQL)
 def op2_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = phrases.dedup_phrases(table(spark, sf_dir, "documents"), length=35)
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
@@ -168,7 +178,20 @@ def op9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-@query("op10_suffix_dedup")
+OP10_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+g AS (SELECT r, i, md5(substr(x, 2 * i + 1, 400)) AS k FROM (SELECT r, x, unnest(range(0, n - 199)) AS i FROM d WHERE n >= 200)),
+w AS (SELECT r, i, i > lag(i) OVER (PARTITION BY r ORDER BY i) + 200 AS gap FROM g WHERE k IN (SELECT k FROM g GROUP BY k HAVING count(*) > 1)),
+m AS (SELECT r, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(coalesce(gap, false)::INT) OVER (PARTITION BY r ORDER BY i) AS run FROM w) GROUP BY r, run),
+p AS (SELECT *, coalesce(lag(e) OVER (PARTITION BY r ORDER BY s), 0) AS f FROM m),
+a AS (SELECT p.r, count(*) AS k, sum(e - s) AS c, string_agg(substr(x, 2 * f + 1, 2 * (s - f)), '' ORDER BY s) AS head, max(e) AS last
+      FROM p JOIN d USING (r) GROUP BY p.r)
+SELECT doc_id, n AS n_bytes, coalesce(c, 0)::BIGINT AS n_removed, coalesce(k, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN a USING (r)"""
+
+
+@query("op10_suffix_dedup", OP10_SQL)
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup_substrings(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

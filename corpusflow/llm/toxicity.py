@@ -149,7 +149,7 @@ def _entries(counts: Iterable[tuple[str, int, int]], n_bad: int, n_good: int, od
         if any(w[:k] in out for k in range(1, len(w))) or weight(w) < odds:
             continue
         while True:
-            keeps = [x for x in longer.get(w, ()) if c[x][0] >= 0.97 * c[w][0]]
+            keeps = [x for x in longer.get(w, ()) if c[x][0] >= 0.9 * c[w][0]]
             if not keeps:
                 break
             w = max(keeps, key=lambda x: c[x])
