@@ -10,8 +10,8 @@
    once after all is dropped.
 
 A gram with more than ``HOT`` distinct contexts is not brought into one task: its windows are
-counted by digest, combined on the map side, and its places are dealt over several shards
-that each hold its recurring windows.
+counted by digest, combined on the map side, and its places are dealt over several shards;
+each place brings its own first and last recurring window along as patterns.
 """
 
 from __future__ import annotations
@@ -37,7 +37,7 @@ def _cut(length: int, reach: int):
         starts, ends, _ = arrays.word_codes(data)
         for p in pos:
             a, b = max(0, p - reach), min(len(starts), p + length)
-            yield tuple(b" ".join(data[starts[i]:ends[i]].tobytes() for i in range(x, y)) for x, y in ((a, p), (p, b)))
+            yield data[starts[a]:starts[p]].tobytes(), data[starts[p]:ends[b - 1]].tobytes()
     return cut
 
 
@@ -65,17 +65,16 @@ def _nominate(grams: np.ndarray, words: list[list[bytes]], base: np.ndarray, len
 
     The same place before the anchor is asked for: a window may hold its gram twice.
     """
-    parts, begins, at = [np.full(length, arrays.PAD)], [], length
-    for w in words:
-        codes = arrays.word_codes(np.frombuffer(b" ".join(w), np.uint8))[2]
-        begins.append(at)
-        parts += [codes, np.full(length, arrays.PAD)]
-        at += len(codes) + length
-    h = arrays.grams(np.concatenate(parts), length)
+    count = np.array([len(w) for w in words])
+    codes = arrays.word_codes(np.frombuffer(b" ".join(x for w in words for x in w), np.uint8))[2]
+    begins = length + np.cumsum(count + length) - (count + length)
+    u = np.full(int((count + length).sum()) + length, arrays.PAD)
+    u[np.arange(len(codes)) + np.repeat(begins - (np.cumsum(count) - count), count)] = codes
+    h = arrays.grams(u, length)
     size = np.array([max(0, len(w) - length + 1) for w in words]) * ~skip
     row = np.repeat(np.arange(len(words)), size)
     start = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-    keys = h[np.array(begins)[row] + start], base[row] - start, grams[row]
+    keys = h[begins[row] + start], base[row] - start, grams[row]
     order = np.lexsort(keys)
     same = np.logical_and.reduce([k[order][1:] == k[order][:-1] for k in keys])
     twice = np.zeros(len(row), bool)
@@ -89,7 +88,7 @@ def _nominate(grams: np.ndarray, words: list[list[bytes]], base: np.ndarray, len
 
 
 def _locate(rows: DataFrame, length: int) -> DataFrame:
-    """Places, and windows confirmed elsewhere (``offsets`` set), to ``(gram, ctx, s, e)``."""
+    """Places to ``(gram, ctx, s, e)``; ``offsets`` are windows of a place that were confirmed elsewhere."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in repeats.sorted_runs(batches, ["gram", "salt"], SHARD_ROWS):
             gram, n, offsets = t["gram"].to_numpy(), t["n"].to_numpy(), t["offsets"].to_pylist()
@@ -106,21 +105,22 @@ def _locate(rows: DataFrame, length: int) -> DataFrame:
             if not wanted:
                 continue
             number: dict[bytes, int] = {}
-            ids = [[number.setdefault(w, len(number)) for w in x] for x in words]
+            asked = {r for r, _ in wanted}  # a place without a nominated window has no occurrence
+            ids = {r: tuple([number.setdefault(w, len(number)) for w in words[r]]) for r in asked}
             auto = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+            known: dict[tuple, int] = {}
             for k, (r, s) in enumerate(wanted):
-                key = tuple(ids[r][s:s + length])
-                if key not in auto:
-                    auto.add_word(key, k)
+                known.setdefault(ids[r][s:s + length], k)
+            for key, k in known.items():
+                auto.add_word(key, k)
             auto.make_automaton()
             times: dict[tuple[int, int, int], int] = {}
             matches = []
-            for r, o in enumerate(offsets):
-                if o is None:
-                    for end, k in auto.iter(tuple(ids[r])):
-                        same = k, gram[r], base[r] - end
-                        matches.append((r, end, same))
-                        times[same] = times.get(same, 0) + int(n[r])
+            for r in sorted(asked):
+                for end, k in auto.iter(ids[r]):
+                    same = k, gram[r], base[r] - end
+                    matches.append((r, end, same))
+                    times[same] = times.get(same, 0) + int(n[r])
             span: dict[int, tuple[int, int]] = {}
             for r, end, same in matches:
                 if same[0] < sure or times[same] > 1:
@@ -153,17 +153,15 @@ def dedup_phrases(docs: DataFrame, length: int = 35, id_col: str = "doc_id", tex
     cut = _cut(length, cand.reach)
     few = cand.with_text(cand.distinct.join(hot, "gram", "left_anti"), cut)
     many = materialize(cand.with_text(cand.distinct.join(hot, "gram", "left_semi"), cut), "many")
-    again = (_windows(many, length, cand.reach).groupBy("gram", "o", "h")
-             .agg(F.sum("n").alias("k"), F.min("ctx").alias("ctx")).where("k > 1"))
-    chosen = again.groupBy("gram", "ctx").agg(F.collect_list("o").alias("offsets"))
+    windows = _windows(many, length, cand.reach)
+    again = windows.groupBy("gram", "o", "h").agg(F.sum("n").alias("k")).where("k > 1").drop("k").repartition("h")
+    own = (windows.join(again, ["gram", "o", "h"]).groupBy("gram", "ctx")
+           .agg(F.array_distinct(F.array(F.min("o"), F.max("o"))).alias("offsets")))
     shards = hot.select("gram", F.ceil(F.col("m") / SPREAD).cast("int").alias("r"))
-    dealt = many.join(shards, "gram")
+    dealt = many.join(shards, "gram").join(own, ["gram", "ctx"])
     cols = ["gram", "ctx", "n", "salt", "hot", "offsets", "left", "right"]
-    none, true, zero = F.lit(None).cast("array<int>"), F.lit(True), F.lit(0)
-    rows = (few.withColumns({"salt": zero, "hot": F.lit(False), "offsets": none}).select(cols)
-            .unionByName(dealt.withColumns({"salt": F.pmod(F.hash("ctx"), F.col("r")), "hot": true, "offsets": none}).select(cols))
-            .unionByName(dealt.join(chosen, ["gram", "ctx"]).withColumns(
-                {"salt": F.explode(F.sequence(zero, F.col("r") - 1)), "hot": true}).select(cols)))
+    rows = (few.withColumns({"salt": F.lit(0), "hot": F.lit(False), "offsets": F.lit(None).cast("array<int>")}).select(cols)
+            .unionByName(dealt.withColumns({"salt": F.pmod(F.hash("ctx"), F.col("r")), "hot": F.lit(True)}).select(cols)))
     settled = materialize(_locate(rows, length), "settled")
     release(many)
 
