@@ -15,7 +15,7 @@ from ..session import materialize
 
 def _least(edges: DataFrame) -> DataFrame:
     """Least neighbour of each vertex. Dealt anew, so that the join with the edges is one AQE can split."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).repartition("m")
+    return edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")).repartition(F.xxhash64("u"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
