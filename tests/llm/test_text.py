@@ -166,5 +166,34 @@ def test_trained_threshold_meets_the_recall(spark):
     assert (net.probability(x[y > 0]) >= net.threshold).mean() >= 0.98
 
 
+def test_windows_cover_the_whole_of_a_run():
+    r = random.Random(12)
+    text = "é " + "".join(r.choice("abcXYZ019/_.") for _ in range(300)) + " end"
+    for s, e in [(2, 12), (2, 42), (2, 43), (2, 302), (0, 1), (290, 302), (2, 63)]:
+        x, of = secrets.windows(text, [(0, 1), (s, e)])
+        x = x[of == 1]
+        starts = [*range(s, e - secrets.INSIDE, secrets.STEP), max(s, e - secrets.INSIDE)]
+        assert (x == secrets.encode([secrets.window(text, a, min(e, a + secrets.INSIDE)) for a in starts])).all(), (s, e)
+
+
+def test_candidates_are_all_runs_of_key_characters():
+    text = "a fewletters 20240131 short 0 " + "x" * 50 + "/é password=abcdefgh1"
+    assert [text[s:e] for s, e in secrets.candidates(text, secrets.base_spans(text))] == ["fewletters", "20240131", "x" * 50 + "/"]
+
+
+def test_a_key_behind_a_path_is_found(spark):
+    r = random.Random(13)
+    key = lambda: "".join(r.choice("0123456789abcdef") for _ in range(24))
+    word = lambda: "".join(r.choice("ghijklmnoprstuvwyz") for _ in range(8))
+    path = lambda: "/".join(word() for _ in range(6))
+    rows = [(i, f"word token={key()} end") for i in range(300)] + [(300 + i, f"see {path()}/{i % 10} and {word()}{word()} there") for i in range(300)]
+    net = secrets.train(secrets.findings(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text"))
+    late = [f"see {path()}/{key()} there" for _ in range(50)]
+    none = [f"see {path()}/{i % 10} there" for i in range(50)]
+    hit = lambda texts: sum(net.passes(t, secrets.candidates(t, [])[:1])[0] for t in texts)
+    assert all(len(secrets.candidates(t, [])) == 1 for t in late)
+    assert hit(late) >= 25 and hit(none) <= 5
+
+
 def test_masked_joins_overlaps():
     assert secrets.masked("abcdefghij", [(1, 0, 4), (7, 1, 9)], "#") == "a#efg#j"
