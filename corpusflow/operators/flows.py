@@ -13,6 +13,7 @@ from . import packing as P
 from . import tokens as K
 
 SPOT = 512  # units of the emission order per block; about one emission each
+COPIES = 1 << 16  # copies of one text that are numbered in one piece
 POS_BITS = 48  # places of emissions stay below 2**48
 
 
@@ -57,10 +58,10 @@ def packed_mixture(spark: SparkSession, manifest: str, vocab: K.Vocab, seq_len:
 # ---- corpus build --------------------------------------------------------------------
 
 def build_corpus(spark: SparkSession, roots: list[str], out: str, cap: int, seed: int = 42) -> DataFrame:
-    """Scan, route by path, read by type, keep ``cap`` rows per bucket, one folder per bucket, manifest.
+    """Scan, route by path, read by type, keep ``cap`` rows per bucket (0: all), one folder per bucket, manifest.
 
-    Returns the manifest: ``source, data_files, newline_separated, n``. Which rows a cap keeps follows from
-    the hash of their text, so it does not depend on the order of files.
+    Returns the manifest: ``source, data_files, newline_separated, n``. Which rows a cap keeps follows from the
+    hash of their text and, of equal texts in a bucket, their number, so it depends on no order or layout of files.
     """
     parts = []
     for root in roots:  # a few roots with a handful of endings; the files themselves stay a glob
@@ -76,12 +77,10 @@ def build_corpus(spark: SparkSession, roots: list[str], out: str, cap: int, seed
             parts.append(d.select(F.col("_metadata.file_path").alias("path"), text.alias("text")))
     d = M.concat_sources(*parts).filter(not_blank("text"))
     d = d.select(classify_bucket(F.regexp_replace("path", "^[a-z]+:/+", "/")).alias("bucket"), "text")
-    # equal texts are the same row to a cap: numbered, so that each has a key of its own
-    d = d.withColumn("copy", F.monotonically_increasing_id())
     if cap:
-        d = M.sample_n(d, spark.createDataFrame([(b, cap) for b in [*dict(M.MIXTURE_WEIGHTS), "misc"]], "bucket string, k bigint"),
-                       seed, ["text", "copy"], ["bucket"])
-    W.write_buckets(d.drop("copy"), out)
+        d = M.sample_n(_numbered(d), spark.createDataFrame([(b, cap) for b in [*dict(M.MIXTURE_WEIGHTS), "misc"]], "bucket string, k bigint"),
+                       seed, ["text", "copy"], ["bucket"]).drop("copy")
+    W.write_buckets(d, out)
     n = spark.read.parquet(out).groupBy("bucket").agg(F.count("*").alias("n"))
     manifest = n.select(F.col("bucket").alias("source"), F.concat(F.lit(f"{out}/bucket="), "bucket", F.lit("/*.parquet")).alias("data_files"),
                         F.lit(False).alias("newline_separated"), "n")
@@ -89,6 +88,17 @@ def build_corpus(spark: SparkSession, roots: list[str], out: str, cap: int, seed
     return spark.read.schema(manifest.schema).json(f"{out}.manifest")
 
 
+def _numbered(d: DataFrame) -> DataFrame:
+    """``bucket, text, copy``: equal texts of a bucket are numbered from 0, so that each has a key of its own.
+
+    They are counted, which is combined on the map side, and told apart again in blocks of numbers.
+    """
+    n = d.groupBy("bucket", "text").agg(F.count("*").alias("n"))
+    n = n.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COPIES).cast("bigint"))))
+    last = F.least(F.col("first") + COPIES, F.col("n")) - 1
+    return n.select("bucket", "text", F.explode(F.sequence("first", last)).alias("copy"))
+
+
 def _text_column(d: DataFrame) -> str:
     names = {c.lower(): c for c in d.columns}
     found = next((names[k] for k in R.TEXT_KEYS if k in names), None)

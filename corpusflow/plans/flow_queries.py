@@ -93,12 +93,33 @@ SELECT source, least(n, 60) AS n, false AS newline_separated, true AS found FROM
   SELECT {_BUCKET_SQL} AS source, count(*) AS n FROM (SELECT {_PATH_SQL} AS path FROM documents WHERE trim(text) <> '') GROUP BY 1)""")
 def flow_build_corpus(spark, sf):
     """Files of two types to capped buckets and a manifest whose files are there."""
+    m, back = _built_corpus(spark, sf, 60)
+    back = back.groupBy("bucket").agg(F.count("*").alias("k"))
+    return m.join(back, (F.col("source") == F.col("bucket")) & (F.col("n") == F.col("k")), "left").select(
+        "source", "n", "newline_separated", F.col("k").isNotNull().alias("found"))
+
+
+_PART_SQL = ", ".join(f"sum(CAST('0x' || substr(md5(text), {i}, 8) AS BIGINT))::BIGINT AS digest_{k}" for k, i in enumerate((1, 9)))
+
+
+@query("flow_build_corpus_whole", f"""
+SELECT source, count(*) AS n, count(*) AS n_read, {_PART_SQL} FROM (
+  SELECT {_BUCKET_SQL} AS source, text FROM (SELECT {_PATH_SQL} AS path, text FROM documents WHERE trim(text) <> '')) GROUP BY 1""")
+def flow_build_corpus_whole(spark, sf):
+    """Files of two types to whole buckets: rows by the manifest and as read back, with sums of digests of their texts."""
+    m, back = _built_corpus(spark, sf, 0)
+    line = F.col("text").startswith('{"text":')  # half of the documents are lines of text files, in JSON
+    back = back.withColumn("text", F.when(line, F.from_json("text", "text string")["text"]).otherwise(F.col("text")))
+    part = lambda k, i: F.sum(F.conv(F.substring(F.md5("text"), i, 8), 16, 10).cast("bigint")).alias(f"digest_{k}")
+    back = back.groupBy("bucket").agg(F.count("*").alias("n_read"), part(0, 1), part(1, 9))
+    return m.join(back, F.col("source") == F.col("bucket"), "left").select("source", "n", "n_read", "digest_0", "digest_1")
+
+
+def _built_corpus(spark, sf, cap):
+    """Manifest and rows of the corpus built from documents written as Parquet and as text files of JSON lines."""
     root, out = scratch_path(spark, "corpus-in"), scratch_path(spark, "corpus-out")
     d = documents(spark, sf).select(_doc_path().alias("path"), F.to_json(F.struct("text")).alias("json"), "text", "doc_id")
     d = d.withColumn("folder", F.regexp_replace(F.regexp_replace("path", "[^a-zA-Z0-9_-]+", "-"), "^-", ""))
     d.where("doc_id % 2 = 0").select("folder", "text").write.partitionBy("folder").parquet(f"{root}/a")
     d.where("doc_id % 2 = 1").select("folder", F.col("json").alias("value")).write.partitionBy("folder").text(f"{root}/b")
-    m = flows.build_corpus(spark, [f"{root}/a", f"{root}/b", f"{root}/none"], out, 60)
-    back = spark.read.parquet(out).groupBy("bucket").agg(F.count("*").alias("k"))
-    return m.join(back, (F.col("source") == F.col("bucket")) & (F.col("n") == F.col("k")), "left").select(
-        "source", "n", "newline_separated", F.col("k").isNotNull().alias("found"))
+    return flows.build_corpus(spark, [f"{root}/a", f"{root}/b", f"{root}/none"], out, cap), spark.read.parquet(out)
