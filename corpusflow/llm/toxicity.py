@@ -2,7 +2,7 @@
 
 *Folding.* Letters that look like Latin ones become those, then everything is lower case, digit
 and sign substitutions are undone, and i, l, 1 and | fall together, in texts and in the lexicon
-alike. An entry matches at the start of a word.
+alike. An entry of four letters or more matches at the start of a word, a shorter one is a whole word.
 
 *Lexicon.* Learned from labelled texts, one of each group of near copies: word beginnings that are
 far more frequent in toxic than in other texts, beyond chance, each with its log-odds as weight. A
@@ -49,7 +49,7 @@ _ASCII = bytes(_ASCII)
 # lead bytes of the UTF-8 forms of look-alikes
 _LEADS = sorted({chr(c).encode()[:1] for c in [*LOOK_ALIKE, *_WIDE]})
 
-LONGEST = 14  # characters of an entry at most
+SHORT, LONGEST = 4, 14  # characters of an entry that is a beginning; shorter words are entries with their end
 
 
 def fold(text: str) -> str:
@@ -83,7 +83,7 @@ def hits(folded: str, auto, exceptions=frozenset()) -> tuple[float, int]:
     total, n = 0.0, 0
     if auto is None:
         return total, n
-    text = " " + folded
+    text = " " + folded + " "
     for end, (size, weight) in auto.iter(text):
         if exceptions:
             word, before, after = around(text, end - size + 1)
@@ -103,6 +103,13 @@ def around(text: str, start: int) -> tuple[str, str, str]:
     return text[start:end], before[-1] if before else "", after[0] if after else ""
 
 
+def beginnings_of(word: str) -> list[str]:
+    """What may become an entry: the beginnings of a word, or a short word with the blank that ends it."""
+    if len(word) < SHORT:
+        return [word + " "]
+    return [word[:k] for k in range(SHORT, min(len(word), LONGEST) + 1)]
+
+
 def features(total: float, words: int) -> tuple[float, float, float]:
     return 1.0, math.log1p(total), math.log1p(100.0 * total / (words + 20.0))
 
@@ -188,11 +195,10 @@ def _one_of_each(rows: DataFrame) -> DataFrame:
 
 
 def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: float = 30.0, odds: float = 2.5,
-          most_entries: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
+          id_col: str = "doc_id", text_col: str = "text") -> Lexicon:
     """Lexicon and fit from ``labels`` (id, toxic). Without both labels everything scores low.
 
-    Bounds: ``per_class`` texts of each label and ``most_entries`` candidate beginnings, those in
-    most toxic texts.
+    Bound: ``per_class`` texts of each label, which bounds what the test against chance lets through.
     """
     rows = materialize(_one_of_each(sample(docs, labels, per_class, id_col, text_col)), "labelled")
     seen = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -204,8 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: f
         for b in batches:
             bad, good = Counter(), Counter()
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                words = set(fold(text).split())
-                (bad if y else good).update({w[:k] for w in words for k in range(4, min(len(w), LONGEST) + 1)})
+                (bad if y else good).update({x for w in set(fold(text).split()) for x in beginnings_of(w)})
             names = list(bad.keys() | good.keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names, pa.string()), pa.array([bad[w] for w in names], pa.int64()),
@@ -215,8 +220,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: f
     counts = (rows.mapInArrow(beginnings, "w string, a bigint, b bigint").groupBy("w")
               .agg(F.sum("a").alias("a"), F.sum("b").alias("b")).where("a > 0")
               .where((F.ln((F.col("a") + 0.5) / (n_bad + 1)) - F.ln((F.col("b") + 0.5) / (n_good + 1)) >= odds)
-                     & (_surprise(F.col("a"), F.col("b"), share, F.ln) >= surprise))
-              .orderBy(F.desc("a"), "w").limit(most_entries))
+                     & (_surprise(F.col("a"), F.col("b"), share, F.ln) >= surprise)))
     lex = Lexicon(_entries([tuple(r) for r in counts.collect()], n_bad, n_good, odds))
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +228,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: f
         for b in batches:
             out: dict[tuple[str, str], list[int]] = {}
             for text, y in zip(b.column("text").to_pylist(), b.column("y").to_pylist()):
-                t = " " + fold(text)
+                t = " " + fold(text) + " "
                 for end, (size, _) in auto.iter(t) if auto else ():
                     word, before, after = around(t, end - size + 1)
                     for p in ((before, word), (word, after)):
@@ -235,8 +239,7 @@ def learn(docs: DataFrame, labels: DataFrame, per_class: int = 8000, surprise: f
                 ["p", "q", "good", "bad"])
 
     found = (rows.mapInArrow(pairs, "p string, q string, good bigint, bad bigint").groupBy("p", "q")
-             .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") >= 4) & (F.col("bad") == 0))
-             .orderBy(F.desc("good"), "p", "q").limit(most_entries))
+             .agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).where((F.col("good") >= 4) & (F.col("bad") == 0)))
     lex.exceptions = frozenset((r["p"], r["q"]) for r in found.collect() if r["p"] and r["q"])
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,6 +62,31 @@ def test_toxicity_without_labels_and_without_rows(spark):
     assert toxicity.toxicity(docs.where("false"), labels).count() == 0
 
 
+def test_short_words_are_learned_and_match_whole(spark):
+    r = random.Random(6)
+    clean = ["".join(r.choice("abcdefgh") for _ in range(5)) for _ in range(300)] + ["zoqable", "azoq"]
+    rows = []
+    for i in range(400):
+        words = [r.choice(clean) for _ in range(40)]
+        words[7] = "Zoq" if i % 4 == 0 else "zoqable"
+        rows.append((i, " ".join(words if i % 8 else words[:7] + words[8:] + words[7:8]), int(i % 4 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = toxicity.toxicity(docs.drop("toxic"), docs.select("doc_id", "toxic")).collect()
+    assert {r["doc_id"] for r in got if r["predicted"]} == {i for i, _, y in rows if y}
+
+
+def test_rare_entries_are_not_cut(spark):
+    """More significant beginnings than the 20,000 of before: the rarer toxic words still count."""
+    r = random.Random(7)
+    name = lambda i: "".join(chr(98 + (i * 7919 + 13 * i * i) // 24 ** k % 24) for k in range(6)) + f"{i % 7}qqqqqq"
+    common = [name(i) for i in range(2600)]
+    rows = [(i, " ".join([*common, f"u{i}"] if i < 60 else ["rareword", f"v{i}", *r.sample(["fee", "fie", "foe"], 3)]), 1) for i in range(90)]
+    rows += [(100 + i, " ".join(f"clean{r.randrange(50)}" for _ in range(20)), 0) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    lex = toxicity.learn(docs, docs.select("doc_id", "toxic"))
+    assert any(w.startswith(toxicity.fold("rare").strip()) for w in lex.weights)
+
+
 def test_exception_phrase_is_not_counted():
     lex = toxicity.Lexicon({"bad": 3.0}, frozenset([("not", "bad")]))
     assert toxicity.hits("so not bad ", lex.automaton(), lex.exceptions) == (0.0, 0)
