@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import public_tokenizers
 
-from . import decontaminate, mixture, phrases, secrets, simhash, suffixes, token_counts, topk, toxicity, warc
+from . import (alignment, best_fit, decontaminate, mixture, phrases, repair, secrets, simhash, suffixes, token_counts, topk,
+               toxicity, warc)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -195,3 +196,79 @@ FROM d LEFT JOIN a USING (r)"""
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffixes.dedup_substrings(table(spark, sf_dir, "documents"), length=200)
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                               public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return found.withColumnRenamed("groups", "groups_sha256")
+
+
+# crc32 by its bits; the edits by the least (cost, audit) in front of each row and state, where the audit fixes the rows
+OP12_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         ((4294967295 - list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(
+           coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda x: ascii(x)::BIGINT)),
+           lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+             lambda x, y: xor(x >> 1, (x & 1) * 3988292384::BIGINT)))) % 20)::INT AS k
+  FROM conversations),
+d AS (
+  SELECT conv_id, turn, CASE k WHEN 4 THEN 'user' ELSE role END AS role,
+         CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+  FROM c WHERE k <> 0),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), copy) AS i,
+         row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) > 1 AS seen
+  FROM d),
+f AS (
+  SELECT *, left(role, 1) AS h, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen THEN 'duplicate'
+         WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault,
+         lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+  FROM o),
+n AS (
+  SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+         count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (before IS NOT NULL AND before || h NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM f GROUP BY conv_id),
+-- moves by up to three inserts: s (nothing), S (system), U (user), A (assistant)
+ins AS (SELECT * FROM (VALUES ('s', 'U', 1, ['user:']), ('s', 'A', 2, ['user:', 'assistant:']), ('s', 'U', 3, ['user:', 'assistant:', 'user:']),
+          ('S', 'U', 1, ['user:']), ('S', 'A', 2, ['user:', 'assistant:']), ('U', 'A', 1, ['assistant:']), ('U', 'U', 2, ['assistant:', 'user:']),
+          ('A', 'U', 1, ['user:']), ('A', 'A', 2, ['user:', 'assistant:']), ('s', 's', 0, []::VARCHAR[]), ('S', 'S', 0, []::VARCHAR[]),
+          ('U', 'U', 0, []::VARCHAR[]), ('A', 'A', 0, []::VARCHAR[])) v(a, b, m, more)),
+p AS (
+  SELECT conv_id, 0::BIGINT AS i, 's' AS st, 0::BIGINT AS cost, '' AS audit, []::VARCHAR[] AS out FROM n
+  UNION ALL
+  SELECT conv_id, i, st, x.cost, x.audit, x.out FROM (
+    SELECT conv_id, i, st, min(struct_pack(cost := cost, audit := audit, out := out)) AS x FROM (
+      SELECT p.conv_id, f.i, e.st, p.cost + 3 * ins.m + e.c + CASE WHEN f.fault = 'truncated' AND e.e <> 'D' THEN 3 ELSE 0 END AS cost,
+             p.audit || repeat('I', ins.m) || e.e AS audit, p.out || ins.more || e.o AS out
+      FROM p JOIN f ON f.conv_id IS NOT DISTINCT FROM p.conv_id AND f.i = p.i + 1 JOIN ins ON ins.a = p.st,
+      LATERAL (SELECT * FROM (VALUES
+        ('D', 4, ins.b, []::VARCHAR[], true),
+        ('K', 0, CASE f.h WHEN 's' THEN 'S' WHEN 'u' THEN 'U' ELSE 'A' END, [f.role || ':' || f.text],
+         f.fault NOT IN ('blank', 'duplicate') AND ((f.h = 's' AND ins.b = 's') OR (f.h = 'u' AND ins.b <> 'U') OR (f.h = 'a' AND ins.b = 'U'))),
+        ('R', 3, CASE ins.b WHEN 'U' THEN 'A' ELSE 'U' END, [CASE ins.b WHEN 'U' THEN 'assistant:' ELSE 'user:' END || f.text],
+         f.fault NOT IN ('blank', 'duplicate'))) w(e, c, st, o, ok) WHERE ok) e)
+    GROUP BY conv_id, i, st)),
+z AS (
+  SELECT p.conv_id, min(struct_pack(cost := cost + 3 * ins.m, audit := audit || repeat('I', ins.m), out := out || ins.more)) AS x
+  FROM p JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id AND n.n = p.i JOIN ins ON ins.a = p.st AND ins.b IN ('s', 'A') GROUP BY p.conv_id)
+SELECT a.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+       coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(x.cost, 0)::BIGINT AS cost,
+       coalesce(x.audit, '') AS audit, sha256(coalesce(array_to_string(x.out, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM a.conv_id
+LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM a.conv_id"""
+
+
+@query("op12_conversation_repair", OP12_SQL)
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
+@query("op13_best_fit_packing")
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=2048)
