@@ -15,8 +15,11 @@ comes back to a block is bounded by the block. Measures then join the documents
 from __future__ import annotations
 
 import hashlib
+import os
 import re
+from array import array
 from collections.abc import Iterator
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +48,7 @@ class Aligner:
     """Encodes and aligns chunks of texts; built once per task from the contents of both files."""
 
     def __init__(self, a_json: str, b_model: bytes):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a = tokenizers.Tokenizer.from_str(a_json)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_proto=b_model)
@@ -74,21 +78,20 @@ class Aligner:
     def align(self, chunk: str, a: list[int], b: list[int]) -> tuple[int, int, int, str, list[int]] | None:
         """(n_a, n_b, n_groups, groups, linked pairs) of one chunk; None where the bytes differ."""
         x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        want = (" " + chunk).encode()
+        want = b" " + chunk.encode()
         if b"".join(x) != want or b"".join(y) != want:
             return None
+        x, y = list(accumulate(map(len, x))), list(accumulate(map(len, y)))  # where tokens end
+        if x == y:
+            return (len(a), len(b), len(a), ";".join([f"{p}|{q}" for p, q in zip(a, b)]),
+                    [q << _BITS | p for p, q in zip(a, b)])
         groups, pairs = [], []
-        i = j = done_a = done_b = at_a = at_b = 0
-        while i < len(a):
-            at_a += len(x[i])
-            i += 1
-            while at_b < at_a:
-                at_b += len(y[j])
-                j += 1
-            if at_a == at_b:
-                groups.append(",".join(map(str, a[done_a:i])) + "|" + ",".join(map(str, b[done_b:j])))
-                pairs.append(b[j - 1] << _BITS | a[i - 1])
-                done_a, done_b = i, j
+        i = j = 0
+        for end in sorted({*x}.intersection(y)):
+            k, m = x.index(end, i) + 1, y.index(end, j) + 1
+            groups.append(",".join(map(str, a[i:k])) + "|" + ",".join(map(str, b[j:m])))
+            pairs.append(b[m - 1] << _BITS | a[k - 1])
+            i, j = k, m
         return len(a), len(b), len(groups), ";".join(groups), pairs
 
 
@@ -100,7 +103,7 @@ class Block:
         self.digests: list[bytes] = []
         self.weights: list[int] = []
         self.groups: list[str] = []
-        self.entries: list[list[int]] = []
+        self.entries: list[array] = []
 
 
 class Task:
@@ -112,25 +115,23 @@ class Task:
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.sizes: list[tuple[int, int, int]] = []  # (n_a, n_b, n_groups) of each chunk
-        self.text: list[str | None] = []             # None: the bytes differ
-        self.pairs: list[int] = []
-        self.ends: list[int] = []
+        self.sizes = array("q")           # n_a, n_b, n_groups of each chunk
+        self.text: list[str | None] = []  # None: the bytes differ
+        self.pairs, self.ends = array("q"), array("q")
 
     def add(self, block: Block, digest: bytes, text: str, weight: int) -> None:
         parts = self.aligner.chunks(text)
         found = list(map(self.number.get, parts))
         if None in found:
-            new = list(dict.fromkeys(c for c, k in zip(parts, found) if k is None))
-            numbers = {}
+            new = list({c for c, k in zip(parts, found) if k is None})
+            numbers = dict(zip(new, range(len(self.text), len(self.text) + len(new))))
             for c, (a, b) in zip(new, self.aligner.encode(new)):
-                one = self.aligner.align(c, a, b) or (0, 0, 0, None, [])
-                numbers[c] = len(self.text)
-                self.sizes.append(one[:3])
-                self.text.append(one[3])
-                self.pairs += one[4]
+                n_a, n_b, n_groups, groups, pairs = self.aligner.align(c, a, b) or (0, 0, 0, None, [])
+                self.sizes.extend((n_a, n_b, n_groups))
+                self.text.append(groups)
+                self.pairs.extend(pairs)
                 self.ends.append(len(self.pairs))
-            self.number.update((c, k) for c, k in numbers.items() if len(c) <= SHORT)
+            self.number.update(numbers if max(map(len, new)) <= SHORT else {c: k for c, k in numbers.items() if len(c) <= SHORT})
             found = [numbers[c] if k is None else k for c, k in zip(parts, found)]
         groups = list(map(self.text.__getitem__, found))
         if None in groups:
@@ -139,15 +140,14 @@ class Task:
         block.digests.append(digest)
         block.weights.append(weight)
         block.groups.append(hashlib.sha256(joined.encode()).hexdigest() if joined and self.digest else joined)
-        block.entries.append(found)
+        block.entries.append(array("i", found))
         block.size += len(text) + 1
 
     def row(self, block: Block) -> dict:
         """The block as one row."""
         n = np.fromiter(map(len, block.entries), np.int64, len(block.entries))
-        entry = np.fromiter((e for es in block.entries for e in es), np.int64, int(n.sum()))
-        sizes = np.array(self.sizes, np.int64).reshape(-1, 3)
-        ends = np.array(self.ends, np.int64)
+        entry = np.fromiter(chain.from_iterable(block.entries), np.int64, int(n.sum()))
+        sizes, ends = np.array(self.sizes, np.int64).reshape(-1, 3), np.array(self.ends, np.int64)
         starts = np.r_[0, ends[:-1]][:len(ends)]
         of_text = np.repeat(np.arange(len(n)), n)
         sums = [np.bincount(of_text, sizes[entry, k], len(n)).astype(np.int64) for k in range(3)]
