@@ -15,8 +15,10 @@ pieces is met, nothing is won, or after ``rounds`` exchanges. Only row counts re
 
 from __future__ import annotations
 
+import os
 import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ from . import repeats
 
 TOKENS = 1 << 22   # tokens of a partition
 PIECES = 1 << 17   # pieces of a partition at most, on average
-MEMO = 400_000     # remembered words of a task; forgotten when full, which changes no id
+MEMO = 1_000_000   # remembered words of a task, about 150 bytes each; forgotten when full, which changes no id
+LONG = 64          # only words up to so many characters are remembered
 _TAIL = ".,;:!?"
 
 
@@ -42,47 +45,55 @@ class Encoder:
     """
 
     def __init__(self, source: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.lib = tokenizers.Tokenizer.from_str(source)
         probe = "Ab  cd\nÉfg, 12 x's\n\nü "
-        alone = [i for w in probe.split() for i in self._library([w])[0]]
+        alone = b"".join(self._library(probe.split()))
         spaced = any(c.isspace() for t in self.lib.get_added_tokens_decoder().values() for c in t.content)
         self.by_word = not spaced and alone == self._library([probe])[0]
         self.folds = self.by_word and self._library(["ABCxyz"]) == self._library(["abcxyz"])
         self.forget()
 
-    def _library(self, parts: list[str]) -> list[list[int]]:
-        return [x.ids for x in self.lib.encode_batch_fast(parts, add_special_tokens=False)]
+    def _library(self, parts: list[str]) -> list[bytes]:
+        """Ids as little-endian 32-bit numbers."""
+        return [array("I", x.ids).tobytes() for x in self.lib.encode_batch_fast(parts, add_special_tokens=False)]
 
     def forget(self) -> None:
-        self.words: dict[str, tuple[int, ...]] = {"": ()}
-        self.cores: dict[str, tuple[int, ...]] = {"": ()}
+        self.words: dict[str, bytes] = {"": b""}
+        self.cores: dict[str, bytes] = {"": b""}
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> bytes:
         if not self.by_word:
             return self._library([text])[0]
         words = text.replace("\n", " ").split(" ")
         ids = list(map(self.words.get, words))
         if None in ids:
-            new = self._new(list(dict.fromkeys(w for w, x in zip(words, ids) if x is None)))
+            new = self._new(list({w for w, x in zip(words, ids) if x is None}))
             if len(self.words) > MEMO:
                 self.forget()
-            self.words.update((w, x) for w, x in new.items() if len(w) <= 64)
+            self.words.update(new if max(map(len, new)) <= LONG else {w: x for w, x in new.items() if len(w) <= LONG})
             ids = [new[w] if x is None else x for w, x in zip(words, ids)]
-        return [i for x in ids for i in x]
+        return b"".join(ids)
 
-    def _new(self, words: list[str]) -> dict[str, tuple[int, ...]]:
+    def _new(self, words: list[str]) -> dict[str, bytes]:
         """A letter before closing marks ends a word of the pattern, so both sides are looked up alone."""
-        sides = []
+        cores, tails = [], []
         for w in words:
             core = w.rstrip(_TAIL)
-            tail = w[len(core):]
-            if not core or not unicodedata.normalize("NFC", core[-1]).lower().isalpha():  # may end in a mark once normalised
-                core, tail = w, ""
-            sides.append((core.lower() if self.folds and core.isascii() and "<" not in core else core, tail))
-        asked = [p for p in dict.fromkeys(p for s in sides for p in s) if p not in self.cores]
-        got = dict(zip(asked, map(tuple, self._library(asked))))
-        self.cores.update((p, x) for p, x in got.items() if len(p) <= 64)
-        return {w: self.cores.get(c, got.get(c, ())) + self.cores.get(t, got.get(t, ())) for w, (c, t) in zip(words, sides)}
+            if len(core) == len(w):
+                tails.append("")
+            elif not core or not unicodedata.normalize("NFC", core[-1]).lower().isalpha():  # may end in a mark once normalised
+                core = w
+                tails.append("")
+            else:
+                tails.append(w[len(core):])
+            cores.append(core.lower() if self.folds and core.isascii() and "<" not in core else core)
+        asked = list({*cores, *tails}.difference(self.cores))
+        got = dict(zip(asked, self._library(asked)))
+        self.cores.update(got if not got or max(map(len, got)) <= LONG else {p: x for p, x in got.items() if len(p) <= LONG})
+        known = self.cores
+        return {w: (known[c] if c in known else got[c]) + (known[t] if t in known else got[t])
+                for w, c, t in zip(words, cores, tails)}
 
 
 def token_pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_col: str = "doc_id",
@@ -92,14 +103,12 @@ def token_pieces(docs: DataFrame, path: str, size: int = 2048, end: int = 0, id_
         source = f.read()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = None
+        encoder, last = None, int(end).to_bytes(4, "little")
         for b in batches:
             encoder = encoder or Encoder(source)
             row, piece, start, length, crc, kept = [], [], [], [], [], []
             for r, t in enumerate(b.column("text")):
-                ids = encoder.encode(t.as_py())
-                ids.append(end)
-                raw = np.array(ids, "<u4")
+                raw = np.frombuffer(encoder.encode(t.as_py()) + last, "<u4")
                 for k, s in enumerate(range(0, len(raw), size)):
                     part = raw[s:s + size]
                     row.append(r)
