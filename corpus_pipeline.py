@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from corpusflow.llm import decontaminate, mixture, near_copies, secrets, toxicity
+from corpusflow.llm import decontaminate, mixture, secrets, simhash, toxicity
 from corpusflow.session import materialize
 
 
@@ -33,8 +33,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a near copy of smaller doc_id go: four fifths of the five-word shingles of both are shared."""
-    return _plain(docs, near_copies.keep_one)
+    """One document of each SimHash class stays, the least doc_id: 3-word shingles, links at 3 or fewer differing bits."""
+    return _plain(docs, lambda d: simhash.keep_one(d, shingle=3, bits=3))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("toxicity", drop_toxic),
-    ("near-dedup", drop_near_copies),
+    ("SimHash near-dedup", drop_near_copies),
     ("benchmark decontamination", drop_contaminated),
     ("secret scans", redact_secrets),
     ("mixing to target weights", mix_sources),
@@ -69,5 +69,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), name.lower().replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
