@@ -166,6 +166,17 @@ def test_better_documents_come_first(spark):
 
 # pipeline
 
+def test_pipeline_keeps_the_least_document_of_each_simhash_class(spark, sf):
+    docs = cases.table(spark, cases.texts(11) + ["one two three four five six"] * 3).where("doc_id is not null")
+    rows = cases.pairs(docs)
+    first = {}
+    for (i, t), c in zip(rows, cases.classes([cases.fingerprint(t) for _, t in rows])):
+        first[c] = min(first.get(c, (i, t or "")), (i, t or ""), key=lambda x: x[0])
+    kept = corpus_pipeline.drop_near_copies(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(i for i, _ in cases.pairs(kept)) == sorted(i for i, _ in first.values())
+
+
 def test_pipeline_applies_every_stage(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     step, seen = docs, [docs.count()]
