@@ -1,16 +1,24 @@
-"""Byte-pair merges: learned on word types with Spark, applied in Arrow batches."""
+"""Byte-pair merges: learned on word types with Spark, applied in Arrow batches.
+
+Word types are kept in blocks, one row each: the symbols of its types, and an inverted index from adjacent pair to
+the types that hold it. A round sends the chosen merges to all blocks; a block looks them up, rewrites only the
+types found, and reports by how much each pair's count changed. The counts are the sum of all such changes, so
+nothing is counted again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import lru_cache
-from heapq import heapify, heappop, heappush
+from heapq import heapify, heappop, heappush, nsmallest
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..functions.arrow_text import WordIds
-from ..session import shared_dir
+from ..session import materialize, release
 from .tokens import SPECIALS
 
 # Word-start mark and the layout of ids (specials, bytes, pieces).
@@ -18,35 +26,160 @@ WORD_START = "▁"
 FIRST_BYTE = len(SPECIALS)
 FIRST_PIECE = FIRST_BYTE + 256
 
-# Words hold no white space, so a newline can mark symbols. Each symbol is written
-# between two of them; the text "mark a mark mark b mark" then only matches whole
-# symbols, and a merge is a plain string replacement.
-SEP = "\n"
+BLOCK = 20_000          # word types of one block, about
+ALPHABET = 1_114_112    # code points there are
+_STATE = ("block bigint, flat array<int>, first array<int>, size array<int>, n array<bigint>, "
+          "keys array<bigint>, cuts array<int>, held array<int>, new_keys array<bigint>, new_held array<int>")
+_CHANGE = "pair bigint, change bigint"
+
+
+def alphabet(counts: DataFrame) -> DataFrame:
+    """``(piece, n)`` of the single characters of word types ``token, n``, the word mark included."""
+    ch = F.explode(F.split(F.concat(F.lit(WORD_START), "token"), "")).alias("piece")
+    return counts.select("n", ch).where("piece <> ''").groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+class Block:
+    """Some word types as symbol numbers, with the index from pair to type.
+
+    ``keys`` are the sorted pairs of the index, ``held[cuts[k]:cuts[k + 1]]`` the types that hold the k-th. Pairs that
+    appear later are appended to ``new_keys`` and ``new_held``; types that lost a pair stay listed and are
+    found unchanged. Merging never makes a type longer, so it is rewritten where it stands.
+    """
+
+    ARRAYS = {"flat": np.int32, "first": np.int32, "size": np.int32, "n": np.int64, "keys": np.int64, "cuts": np.int32,
+              "held": np.int32, "new_keys": np.int64, "new_held": np.int32}
+
+    def __init__(self, **arrays: np.ndarray):
+        for k, kind in self.ARRAYS.items():
+            setattr(self, k, np.array(arrays[k], kind))
+
+    @classmethod
+    def of(cls, words: list[list[int]], n: list[int]) -> tuple[Block, np.ndarray, np.ndarray]:
+        """The block of fresh types, and its pairs with their counts."""
+        size = np.array([len(w) for w in words], np.int64)
+        flat = np.array([x for w in words for x in w], np.int64)
+        first = np.cumsum(size) - size
+        inside = np.ones(len(flat), bool)
+        inside[first + size - 1] = False  # the last symbol of a type begins no pair
+        at = np.flatnonzero(inside)
+        pair = flat[at] << 32 | flat[at + 1]
+        of = np.repeat(np.arange(len(words)), size)[at]
+        keys, back = np.unique(pair, return_inverse=True)
+        count = np.zeros(len(keys), np.int64)
+        np.add.at(count, back, np.array(n, np.int64)[of])
+        order = np.argsort(back, kind="stable")
+        cuts = np.r_[0, np.cumsum(np.bincount(back, minlength=len(keys)))]
+        none = np.zeros(0)
+        return cls(flat=flat, first=first, size=size, n=n, keys=keys, cuts=cuts, held=of[order], new_keys=none, new_held=none), keys, count
+
+    def holders(self, pairs: np.ndarray) -> np.ndarray:
+        """Types that hold one of ``pairs``, or held it once."""
+        at = np.searchsorted(self.keys, pairs)
+        hit = at[(at < len(self.keys)) & (self.keys[np.minimum(at, len(self.keys) - 1)] == pairs)] if len(self.keys) else at[:0]
+        parts = [self.held[self.cuts[k]:self.cuts[k + 1]] for k in hit]
+        return np.unique(np.concatenate([*parts, self.new_held[np.isin(self.new_keys, pairs)], np.zeros(0, np.int32)])).astype(np.int64)
+
+    def _places(self, types: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the symbols of ``types`` stand in ``flat``, and the place of each one's type in ``types``."""
+        of = np.repeat(np.arange(len(types)), size)
+        return np.arange(len(of)) + (self.first[types] - (np.cumsum(size) - size))[of], of
+
+    def merge(self, merges: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+        """Apply merges (a, b, new) in order; returns the pairs whose count changed, and by how much."""
+        types = self.holders(np.array([a << 32 | b for a, b, _ in merges], np.int64))
+        size = self.size[types].astype(np.int64)
+        places, of = self._places(types, size)
+        x = self.flat[places].astype(np.int64)
+        old, old_of = _pairs(x, of)
+        for a, b, ab in merges:
+            x, of = merged(x, of, a, b, ab)
+        new, new_of = _pairs(x, of)
+        less = np.bincount(of, minlength=len(types))
+        changed = less != size
+        places, _ = self._places(types[changed], less[changed])
+        self.flat[places] = x[changed[of]]
+        self.size[types] = less
+        old, old_of = old[changed[old_of]], old_of[changed[old_of]]
+        new, new_of = new[changed[new_of]], new_of[changed[new_of]]
+        keys, at = np.unique(np.r_[old, new], return_inverse=True)
+        change = np.zeros(len(keys), np.int64)
+        n = self.n[types]
+        np.subtract.at(change, at[:len(old)], n[old_of])
+        np.add.at(change, at[len(old):], n[new_of])
+        # pairs that a type did not hold before, as (pair, type) in one number
+        held = np.setdiff1d(at[len(old):] * len(types) + new_of, at[:len(old)] * len(types) + old_of)
+        if len(held):
+            self.new_keys = np.r_[self.new_keys, keys[held // len(types)]]
+            self.new_held = np.r_[self.new_held, types[held % len(types)].astype(np.int32)]
+        return keys[change != 0], change[change != 0]
+
 
+def _pairs(x: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Adjacent symbols inside each type, and the type."""
+    inside = np.flatnonzero(of[1:] == of[:-1])
+    return x[inside] << 32 | x[inside + 1], of[inside]
 
-def _wrapped(symbol: str) -> str:
-    return SEP + symbol + SEP
 
+def merged(x: np.ndarray, of: np.ndarray, a: int, b: int, ab: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every adjacent ``a b`` inside a type joined, left to right."""
+    at = np.flatnonzero((x[:-1] == a) & (x[1:] == b) & (of[1:] == of[:-1]))
+    if a == b and len(at):  # in a run of equal symbols every other place
+        begins = np.flatnonzero(np.r_[True, np.diff(at) > 1])
+        at = at[(np.arange(len(at)) - np.repeat(begins, np.diff(np.r_[begins, len(at)]))) % 2 == 0]
+    x = x.copy()
+    x[at] = ab
+    keep = np.ones(len(x), bool)
+    keep[at + 1] = False
+    return x[keep], of[keep]
 
-def _merge(symbols: Column, a: str, b: str) -> Column:
-    """Join every adjacent ``a b``, left to right."""
-    return F.replace(symbols, F.lit(_wrapped(a) + _wrapped(b)), F.lit(_wrapped(a + b)))
 
+def _rows(number: int, block: Block, pairs: np.ndarray, changes: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """A block's row, then its changes."""
+    cols = [pa.array([number], pa.int64())]
+    for k in Block.ARRAYS:
+        v = pa.array(getattr(block, k))
+        cols.append(pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v))
+    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64())], names)
+    empty = [pa.nulls(len(pairs), c.type) for c in cols]
+    if len(pairs):
+        yield pa.RecordBatch.from_arrays([*empty, pa.array(pairs, pa.int64()), pa.array(changes, pa.int64())], names)
 
-def word_symbols(word: Column | str) -> Column:
-    w = F.col(word) if isinstance(word, str) else word
-    chars = F.filter(F.split(w, ""), lambda ch: ch != "")
-    return F.concat(F.lit(SEP), F.concat_ws(SEP + SEP, F.lit(WORD_START), chars), F.lit(SEP))
 
+_NAMES = ["block", *Block.ARRAYS, "pair", "change"]
 
-def pair_counts(types: DataFrame) -> DataFrame:
-    """Weighted counts of adjacent symbols: ``a, b, n`` (summed before the shuffle)."""
-    s = F.split(F.btrim("symbols", F.lit(SEP)), SEP + SEP)
-    d = types.select("n", s.alias("s")).filter(F.size("s") > 1)
-    rest = F.size("s") - 1
-    pairs = F.arrays_zip(F.slice("s", 1, rest).alias("a"), F.slice("s", F.lit(2), rest).alias("b"))
-    return (d.select("n", F.explode(pairs).alias("p"))
-            .groupBy("p.a", "p.b").agg(F.sum("n").alias("n")))
+
+def _first_blocks(types: DataFrame, ids: dict[str, int], size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, words, n = TaskContext.get().partitionId() << 32, [], []
+        mark = ids[WORD_START]
+        for b in batches:
+            for w, c in zip(b.column("token").to_pylist(), b.column("n").to_pylist()):
+                words.append([mark, *[ids[ch] for ch in w]])
+                n.append(c)
+                if len(words) == size:
+                    yield from _rows(number, *Block.of(words, n), _NAMES)
+                    number, words, n = number + 1, [], []
+        if words:
+            yield from _rows(number, *Block.of(words, n), _NAMES)
+    return types.select("token", "n").mapInArrow(run, f"{_STATE}, {_CHANGE}")
+
+
+def _next_blocks(state: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in range(b.num_rows):
+                block = Block(**{k: b.column(k)[r].values.to_numpy(zero_copy_only=False) for k in Block.ARRAYS})
+                pairs, change = block.merge(merges)
+                yield from _rows(b.column("block")[r].as_py(), block, pairs, change, _NAMES)
+    return state.mapInArrow(run, f"{_STATE}, {_CHANGE}")
+
+
+def _sum(changes: list[DataFrame]) -> DataFrame:
+    all_ = changes[0]
+    for c in changes[1:]:
+        all_ = all_.unionByName(c)
+    return all_.groupBy("pair").agg(F.sum("change").alias("change")).where("change <> 0")
 
 
 def _safe_batch(top: list) -> list:
@@ -73,38 +206,89 @@ def _safe_batch(top: list) -> list:
     return sure or batch[:1]
 
 
+def _top(counts: DataFrame, symbols: list[str], n: int) -> list[Row]:
+    """The best ``n`` pairs as ``a, b, n``: each task sends its own best ``n``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: list[tuple[int, str, str]] = []
+        for b in batches:
+            pair, count = b.column("pair").to_numpy(), b.column("change").to_numpy()
+            if len(count) > n:  # ties with the n-th stay
+                least = np.partition(count, len(count) - n)[len(count) - n]
+                pair, count = pair[count >= least], count[count >= least]
+            best += [(-c, symbols[p >> 32], symbols[p & 0xFFFFFFFF]) for p, c in zip(pair.tolist(), count.tolist())]
+            best = nsmallest(n, best)
+        yield pa.RecordBatch.from_pydict({"a": pa.array([x[1] for x in best], pa.string()), "b": pa.array([x[2] for x in best], pa.string()),
+                                          "n": pa.array([-x[0] for x in best], pa.int64())})
+    found = counts.mapInArrow(run, "a string, b string, n bigint").collect()
+    return nsmallest(n, found, key=lambda r: (-r.n, r.a, r.b))
+
+
 def learn_bpe(counts: DataFrame, n_merges: int, batch: int = 64, every: int = 8,
-              min_count: int = 1) -> list[tuple[str, str, int]]:
+              min_count: int = 1, block: int = BLOCK) -> list[tuple[str, str, int]]:
     """Merges ``(a, b, count)`` by (count desc, a, b), from word types ``token, n``.
 
-    The driver only sees the ``batch`` best pairs of a round. Word types are
-    rewritten on the executors; their lineage is cut every few rounds with a
-    reliable checkpoint.
+    The driver sees the alphabet and the ``batch`` best pairs of a round. Blocks of ``block`` types and the changes
+    of pair counts are written every round, so a lost executor costs one round; every ``every`` rounds the changes
+    are added up into one table.
     """
     spark = counts.sparkSession
-    shared_dir(spark)
-    # word types are few next to the corpus; AQE sizes the partitions of the rounds
-    types = (counts.hint("rebalance")
-             .select(word_symbols("token").alias("symbols"), "n").checkpoint())
+    types = materialize(counts.select("token", "n"), "word-types")  # few next to the corpus
+    symbols = sorted(r["piece"] for r in alphabet(types).limit(ALPHABET + 1).collect())
+    ids = {x: i for i, x in enumerate(symbols)}
+    ids.setdefault(WORD_START, len(ids))
+    parts = max(1, -(-types.count() // block))  # one block a task and file, so rounds run on all cores
+    state = materialize(_first_blocks(types.repartition(parts, "token"), ids, 2 * block), "blocks")
+    release(types)
+    changes = [state.where("pair is not null").select("pair", "change")]
+    kept = [state]
     merges: list[tuple[str, str, int]] = []
-    rounds = 0
     while len(merges) < n_merges:
-        top = (pair_counts(types).filter(F.col("n") >= min_count)
-               .orderBy(F.desc("n"), "a", "b").limit(batch + 1).collect())
+        top = _top(_sum(changes).where(F.col("change") >= min_count), list(ids), batch + 1)
         if not top:
             break
-        chosen = _safe_batch(top)[:n_merges - len(merges)]
-        col = F.col("symbols")
-        for r in chosen:
+        step = []
+        for r in _safe_batch(top)[:n_merges - len(merges)]:
             merges.append((r.a, r.b, r.n))
-            col = _merge(col, r.a, r.b)
-        types = types.select(col.alias("symbols"), "n")
-        rounds += 1
-        if rounds % every == 0:
-            types = types.checkpoint()
+            step.append((ids[r.a], ids[r.b], ids.setdefault(r.a + r.b, len(ids))))
+        if len(merges) == n_merges:
+            break
+        state = materialize(_next_blocks(state.where("block is not null").drop("pair", "change"), step), "blocks")
+        changes.append(state.where("pair is not null").select("pair", "change"))
+        kept.append(state)
+        if len(changes) > every:
+            changes = [materialize(_sum(changes), "pair-counts")]
+            for old in kept[:-1]:
+                release(old)
+            kept = [changes[0], state]
+    for old in kept:
+        release(old)
     return merges
 
 
+def distinct_lookup(splitter: Callable[[], Callable[[str], list[int]]]) -> WordIds:
+    """Ids of flat words by a function of one word. A batch is dictionary-encoded, so a distinct word is split
+    once, with a bounded memo across the batches of a worker."""
+    memo: dict = {}
+
+    def lookup(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not memo:
+            split = splitter()
+            memo["one"] = lru_cache(maxsize=200_000)(lambda w: np.array(split(w), np.int32))
+        coded = words.dictionary_encode()
+        table = [memo["one"](w) for w in coded.dictionary.to_pylist()]
+        if not table:
+            return np.empty(0, np.int32), np.empty(0, np.int64)
+        size = np.array([len(t) for t in table], np.int64)
+        pool, first = np.concatenate(table), np.cumsum(size) - size
+        at = coded.indices.to_numpy(zero_copy_only=False)
+        width = size[at]
+        # place of each id: start of its word in the pool plus its place in the word
+        inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
+        return pool[np.repeat(first[at], width) + inner], width
+
+    return lookup
+
+
 class BpeModel:
     """Characters and merges of bounded number with their ids, sent to workers once."""
 
@@ -116,29 +300,12 @@ class BpeModel:
         self.data = spark.sparkContext.broadcast((self.ids, self.ranks))
 
     def word_ids(self) -> WordIds:
-        """Ids of flat words. A batch is dictionary-encoded, so a distinct word is split
-        once, with a bounded memo across the batches of a worker."""
         data = self.data
-        memo: dict = {}
-
-        def lookup(words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-            if not memo:
-                ids, ranks = data.value
-                memo["one"] = lru_cache(maxsize=200_000)(
-                    lambda w: np.array(piece_ids(bpe_pieces(w, ranks), ids), np.int32))
-            coded = words.dictionary_encode()
-            table = [memo["one"](w) for w in coded.dictionary.to_pylist()]
-            if not table:
-                return np.empty(0, np.int32), np.empty(0, np.int64)
-            size = np.array([len(t) for t in table], np.int64)
-            pool, first = np.concatenate(table), np.cumsum(size) - size
-            at = coded.indices.to_numpy(zero_copy_only=False)
-            width = size[at]
-            # place of each id: start of its word in the pool plus its place in the word
-            inner = np.arange(int(width.sum())) - np.repeat(np.cumsum(width) - width, width)
-            return pool[np.repeat(first[at], width) + inner], width
-
-        return lookup
+
+        def splitter():
+            ids, ranks = data.value
+            return lambda word: piece_ids(bpe_pieces(word, ranks), ids)
+        return distinct_lookup(splitter)
 
 
 def bpe_pieces(word: str, ranks: dict) -> list[str]:

@@ -13,13 +13,14 @@ from ..operators import mixing as M
 from ..operators import tokens as K
 from ..operators.index import int_div
 from ..session import scratch_path
+from ..sources import arrow_files
 from ..sources import readers as R
 from ..sources import writers as W
 from ..streaming import streams as S
 from .chat_queries import A, _INSTR, instructions
 from .mix_queries import _SPEC, _lang_spec
 from .registry import conversations, documents, query
-from .sql import ids_cte, FIRSTS, lines_cte, strip
+from .sql import ids_cte, FIRSTS, joined, lines_cte, strip
 from .text_queries import _BUCKET_SQL, _PATH_SQL, _doc_path
 from .token_queries import _PACKED, SEQ, VOCAB, doc_vocab, packed_docs
 
@@ -97,6 +98,25 @@ def src6(spark, sf):
     return R.read_packed(spark, path).select("seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
+@query("src6_read_arrow", "SELECT doc_id, text, lang, CAST(n_chars AS INT) AS n_chars FROM documents")
+def src6_arrow(spark, sf):
+    """Documents written as Arrow files with footers and as streams, four of their columns read back; one count is narrowed."""
+    path = scratch_path(spark, "arrow")
+    d = documents(spark, sf).withColumn("padding", F.repeat("source", 3))
+    arrow_files.write_arrow(d.where("doc_id % 2 = 0").repartition(3), f"{path}/files", rows=64)
+    arrow_files.write_arrow(d.where("doc_id % 2 = 1").repartition(2), f"{path}/deep/er/streams", rows=50, stream=True)
+    return arrow_files.read_arrow(spark, path, "doc_id bigint, text string, lang string, n_chars int", strict=True)
+
+
+@query("src6_packed_arrow", f"WITH {_PACKED} SELECT {joined('input_ids')} AS input_ids FROM packed")
+def src6_packed_arrow(spark, sf):
+    """Packed sequences of 64-bit ids in Arrow files, read back as a packed dataset."""
+    path = scratch_path(spark, "packed-arrow")
+    ids = packed_docs(spark, sf).withColumn("input_ids", F.col("input_ids").cast("array<bigint>"))
+    arrow_files.write_arrow(ids, f"{path}/data", rows=100)
+    return R.read_packed(spark, path).select(F.array_join("input_ids", ",").alias("input_ids"))
+
+
 @query("src7_resolve_dataset", "SELECT doc_id, text FROM documents")
 def src7(spark, sf):
     base = scratch_path(spark, "base")

@@ -9,10 +9,11 @@ from ..functions.text import text_or_empty, words
 from ..operators import bpe, diagnostics as D
 from ..operators import packing as P
 from ..operators import tokens as K
+from ..operators import unigram
 from ..session import materialize
 from .chat_queries import instructions
 from .registry import documents, query
-from .sql import FIRSTS, NL, ids_cte, joined, lines_cte, strip, vocab_cte, words as sql_words
+from .sql import FIRSTS, NL, ids_cte, joined, lines_cte, strip, tokens_cte, vocab_cte, words as sql_words
 
 VOCAB = 4000
 SEQ = 128
@@ -75,7 +76,24 @@ def tok4(spark, sf):
 MERGES = 40
 
 
-@query("tok5_learn_bpe")
+def _merges_sql() -> str:
+    """One step per merge: ``p1 … pk`` the best pair of each, ``t0 … tk`` word types with their symbols between line breaks."""
+    both = f"{NL} || {NL}"
+    steps = [f"""t0 AS (SELECT token, n, {NL} || array_to_string(list_prepend('{bpe.WORD_START}',
+    list_filter(string_split(token, ''), lambda c: c <> '')), {both}) || {NL} AS sy
+  FROM (SELECT token, count(*) AS n FROM (SELECT unnest({sql_words('text')}) AS token FROM documents) GROUP BY token))"""]
+    for k in range(1, MERGES + 1):
+        steps.append(f"""p{k} AS MATERIALIZED (SELECT a, b, sum(n)::BIGINT AS n FROM (SELECT n, unnest(s[:-2]) AS a, unnest(s[2:]) AS b
+  FROM (SELECT n, string_split(trim(sy, {NL}), {both}) AS s FROM t{k - 1}) x) y GROUP BY a, b ORDER BY n DESC, a, b LIMIT 1),
+t{k} AS MATERIALIZED (SELECT token, t.n, replace(sy, {NL} || a || {both} || b || {NL}, {NL} || a || b || {NL}) AS sy FROM t{k - 1} t, p{k})""")
+    return ",\n".join(steps)
+
+
+_MERGES = _merges_sql()
+_MERGE_ROWS = " UNION ALL ".join(f"SELECT {k - 1} AS rank, a, b, n FROM p{k}" for k in range(1, MERGES + 1))
+
+
+@query("tok5_learn_bpe", f"WITH {_MERGES} {_MERGE_ROWS}")
 def tok5(spark, sf):
     got = bpe.learn_bpe(K.word_counts(texts(spark, sf)), MERGES)
     return spark.createDataFrame([(i, a, b, n) for i, (a, b, n) in enumerate(got)],
@@ -113,12 +131,49 @@ def bpe_model(spark, sf):
     return bpe.BpeModel(spark, chars, bpe.learn_bpe(K.word_counts(d), MERGES))
 
 
-@query("tok6_encode_bpe")
+# ids of each word type: pieces in order of mark, characters, merges; bytes for what is no piece
+_BPE_WORDS = f"""{_MERGES}, m AS ({_MERGE_ROWS}),
+ch AS (SELECT ch, count(*) AS n FROM (SELECT unnest(string_split(text, '')) AS ch FROM documents) WHERE ch NOT IN ('', ' ', chr(10)) GROUP BY ch),
+cr AS (SELECT ch, n, sum(n) OVER () AS total, coalesce(sum(n) OVER (ORDER BY n DESC, ch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM ch),
+pl AS (SELECT '{bpe.WORD_START}' AS p, 0 AS k UNION ALL
+  SELECT ch, row_number() OVER (ORDER BY n DESC, ch) FROM cr WHERE before = 0 OR before < 0.9995 * total UNION ALL SELECT a || b, 10000000 + rank FROM m),
+pid AS (SELECT p, row_number() OVER (ORDER BY min(k)) - 1 + {bpe.FIRST_PIECE} AS id FROM pl GROUP BY p),
+ps AS (SELECT token, unnest(s) AS p, unnest(range(1, len(s) + 1)) AS i FROM (SELECT token, string_split(trim(sy, {NL}), {NL} || {NL}) AS s FROM t{MERGES})),
+px AS (SELECT token, i, id, hex(encode(ps.p)) AS h FROM ps LEFT JOIN pid USING (p)),
+wid AS (SELECT token, string_agg(CASE WHEN id IS NOT NULL THEN CAST(id AS VARCHAR) ELSE array_to_string(list_transform(range(0, length(h) // 2),
+    lambda q: CAST('0x' || substr(h, 2 * q + 1, 2) AS INT) + {bpe.FIRST_BYTE}), ',') END, ',' ORDER BY i) AS ids FROM px GROUP BY token)"""
+
+
+@query("tok6_encode_bpe", f"""
+WITH {_BPE_WORDS}, w AS (SELECT doc_id, j, ws[j] AS token FROM (SELECT doc_id, {sql_words('text')} AS ws FROM documents) d, unnest(range(1, len(ws) + 1)) u(j))
+SELECT doc_id, string_agg(ids, ',' ORDER BY j) AS ids FROM w JOIN wid USING (token) GROUP BY doc_id""")
 def tok6_bpe(spark, sf):
     d = K.encode_text(texts(spark, sf), bpe_model(spark, sf))
     return d.select("doc_id", _str("ids").alias("ids"))
 
 
+# ---- likelihood pieces ---------------------------------------------------------------
+
+PIECES = 1000
+
+
+def unigram_model(spark, sf) -> unigram.Unigram:
+    return unigram.learn_unigram(K.word_counts(texts(spark, sf)), PIECES)
+
+
+@query("tok5_learn_unigram")
+def tok5_unigram(spark, sf):
+    """Pieces and scores from all documents; the likelihood after each round is tested against brute force."""
+    d = unigram.pieces_table(spark, unigram_model(spark, sf))
+    return d.select("id", "piece", F.round("score", 9).alias("score"))
+
+
+@query("tok6_encode_unigram")
+def tok6_unigram(spark, sf):
+    d = K.encode_text(texts(spark, sf), unigram.UnigramModel(spark, unigram_model(spark, sf)))
+    return d.select("doc_id", _str("ids").alias("ids"))
+
+
 _IDS = ids_cte(VOCAB)
 
 
@@ -211,7 +266,12 @@ def pck1(spark, sf):
     return packed_docs(spark, sf).select("seq_id", _str("input_ids").alias("input_ids"))
 
 
-@query("pck1_pack_bpe")
+@query("pck1_pack_bpe", f"""
+WITH {_BPE_WORDS}, {tokens_cte()},
+li AS (SELECT doc_id, line_no, j, CASE WHEN tok = {NL} THEN '2' ELSE ids END AS ids FROM toks LEFT JOIN wid ON tok = token),
+one AS (SELECT unnest(string_split(ids, ',')) AS id, unnest(range(1, len(string_split(ids, ',')) + 1)) AS i, doc_id, line_no, j FROM li),
+pos AS (SELECT id, row_number() OVER (ORDER BY doc_id, line_no, j, i) - 1 AS pos FROM one)
+SELECT pos // {SEQ} AS seq_id, string_agg(id, ',' ORDER BY pos) AS input_ids FROM pos GROUP BY 1 HAVING count(*) = {SEQ}""")
 def pck1_bpe(spark, sf):
     """Subword ids are stored once, then packed: length and content come from one pass."""
     ids = K.encode_lines(texts(spark, sf), bpe_model(spark, sf)).select("doc_id", "ids")

@@ -13,6 +13,7 @@ from ..functions.chat import formatter
 from ..functions.text import not_blank, strict_json, strip
 from ..operators.index import first_n, row_index
 from ..operators.mixing import concat_sources
+from . import arrow_files
 
 # Text field names in order of preference, and file endings.
 TEXT_KEYS = ("text", "content", "body", "document")
@@ -237,10 +238,11 @@ def read_instructions(spark: SparkSession, path: str, fmt: str = "alpaca",
 
 
 def read_packed(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """A packed dataset: the folder itself, else its ``_parquet`` shards.
+    """A packed dataset: the folder itself, else its ``_parquet`` shards, else its Arrow files.
 
     Ids are cast to int whatever integer type was stored. Broken files are skipped and
-    reported by path, with ``strict`` they raise; having no rows at all is an error.
+    reported by path, with ``strict`` they raise; having no rows at all is an error. Of Arrow
+    files only ``input_ids`` is read.
     """
     for p in (path, f"{path}_parquet"):
         d = _readable_parquet(spark, p)
@@ -250,6 +252,12 @@ def read_packed(spark: SparkSession, path: str, strict: bool = False) -> DataFra
         if not d.isEmpty():
             report_skipped(spark, p, strict)
             return d
+    if path_exists(spark, path):
+        found = arrow_files.plan(spark, path).where("error is null")
+        if not found.isEmpty():
+            d = arrow_files.read_arrow(spark, path, "input_ids array<int>", strict)
+            if not d.isEmpty():
+                return d
     raise ValueError(f"no packed rows in {path}")
 
 
