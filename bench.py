@@ -45,7 +45,9 @@ def run(spark, fn) -> float:
 
 
 def main() -> None:
-    spark = local_session(CPUS, partitions=int(CPUS) * 2, memory=os.environ.get("BENCH_MEMORY", "16g"))
+    spark = local_session(CPUS, partitions=int(CPUS) * 2, memory=os.environ.get("BENCH_MEMORY", "16g"),
+                          # one small file is read by all cores; at scale files are many
+                          **{"spark.sql.files.minPartitionNum": str(2 * int(CPUS)), "spark.sql.files.openCostInBytes": "262144"})
     times = {}
     for label, fn in HEADLINE.items():
         run(spark, fn)

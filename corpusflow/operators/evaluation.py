@@ -12,7 +12,8 @@ from .index import first_n, join_whole
 # Limits used by the metrics.
 LOSS_CAP_FOR_PPL = 30.0
 NAN_RANK = 1e9
-QUANTILE_BLOCKS = 1000
+ACCURACY = 10_000  # a sketch is off by one part in so many of the rows at most
+GROUPS = 10_000    # groups whose brackets are broadcast
 
 
 # ---- perplexity -------------------------------------------------------------------
@@ -72,59 +73,53 @@ def leaderboard_acc(df: DataFrame, acc: str = "acc", model: str = "model") -> Da
 # ---- quantiles --------------------------------------------------------------------
 
 def exact_quantiles(df: DataFrame, value: str, probs: dict[str, float],
-                    group: Sequence[str] = (), blocks: int = QUANTILE_BLOCKS) -> DataFrame:
+                    group: Sequence[str] = (), accuracy: int = ACCURACY) -> DataFrame:
     """Exact linear-interpolation quantiles, one column per entry of ``probs``.
 
-    Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here
-    equal values are counted first, approximate quantiles cut the distinct values
-    into blocks, block counts tell which blocks hold the wanted ranks, and only the
-    rows of those blocks are ordered.
+    Spark's ``percentile`` keeps every distinct value of a group in one buffer. Here one pass of mergeable
+    sketches gives two values around each wanted rank. A second pass counts what lies below them, and the values between
+    them one by one: about ``8 / accuracy`` of the rows. Both passes add up on the map side, so a group of all rows is spread
+    over all tasks. Groups are joined by broadcast up to ``GROUPS`` of them. A rank outside its bracket raises.
     """
     g = list(group)
-    vals = (df.filter(F.col(value).isNotNull())
-            .groupBy(*g, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("c")))
-    cuts = [i / blocks for i in range(1, blocks)]
-    edges = vals.groupBy(*g).agg(F.percentile_approx("v", cuts, 10 * blocks).alias("edges"),
-                                 F.sum("c").alias("n"))
+    d = df.filter(F.col(value).isNotNull()).select(*g, F.col(value).cast("double").alias("v"))
     if not g:
-        vals, edges, g = vals.withColumn("__g", F.lit(0)), edges.withColumn("__g", F.lit(0)), ["__g"]
-    # position of v among the sorted edges, by halving the array
-    d = join_whole(vals, edges, g).withColumn("b", _search("edges", "v", blocks)).drop("edges")
-    counts = d.groupBy(*g, "b").agg(F.sum("c").alias("s"), F.first("n").alias("n"))
-    w = Window.partitionBy(*g).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.withColumn("base", F.coalesce(F.sum("s").over(w), F.lit(0)))
-    ranks = F.array(*[F.struct(F.lit(name).alias("q"), F.lit(float(p)).alias("p"))
-                      for name, p in probs.items()])
-    pos = counts.withColumn("r", F.explode(ranks)).select(
-        *g, "b", "s", "base", F.col("r.q").alias("q"),
-        ((F.col("n") - 1) * F.col("r.p")).alias("at"))
-    lo, hi = F.floor("at"), F.ceil("at")
-    hit = pos.filter((hi >= F.col("base")) & (lo < F.col("base") + F.col("s")))
-    # distinct wanted blocks first, so a block is read and ordered once
-    need = hit.select(*g, "b", "base").distinct()
-    run = Window.partitionBy(*g, "b").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    rows = join_whole(d.drop("n"), need, [*g, "b"]).withColumn(
-        "lo", F.col("base") + F.coalesce(F.sum("c").over(run), F.lit(0)))
-    rows = rows.select(*g, "b", "v", "lo", (F.col("lo") + F.col("c")).alias("hi"))
-    got = join_whole(rows, hit.select(*g, "b", "q", "at"), [*g, "b"])
-    inside = lambda r: (r >= F.col("lo")) & (r < F.col("hi"))
+        d, g = d.withColumn("__g", F.lit(0)), ["__g"]
+    margin = 4.0 / accuracy  # the sketch errs by a quarter of it
+    cuts = sorted({c for p in probs.values() for c in (p - margin, p + margin) if 0 < c < 1})
+    sketch = [F.percentile_approx("v", cuts, accuracy).alias("e")] if cuts else []
+    edges = d.groupBy(*g).agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("*").alias("n"), *sketch)
+
+    def edge(p: float, beyond: str) -> Column:
+        if p not in cuts:
+            return F.col(beyond)
+        return F.when(F.col("n") >= accuracy, F.col("e")[cuts.index(p)]).otherwise(F.col(beyond))  # few values: all of them
+    brackets = edges.select(*g, F.array(*[F.struct(
+        F.lit(name).alias("q"), ((F.col("n") - 1) * F.lit(float(p))).alias("at"), edge(p - margin, "least").alias("low"),
+        edge(p + margin, "most").alias("high")) for name, p in probs.items()]).alias("qs"))
+    rows = brackets.limit(GROUPS + 1).collect()
+    if len(rows) <= GROUPS:
+        brackets = F.broadcast(df.sparkSession.createDataFrame(rows, brackets.schema))
+    near = join_whole(d, brackets, g).select(
+        *g, "v", F.explode(F.filter("qs", lambda x: F.col("v") <= x["high"])).alias("x"))
+    # one row for all that lies below a bracket, one for each value inside
+    counts = (near.groupBy(*g, "x.q", "x.at", F.when(F.col("v") >= F.col("x.low"), F.col("v")).alias("v"))
+              .agg(F.count("*").alias("c")))
+    before = Window.partitionBy(*g, "q").orderBy(F.col("v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("lo", F.coalesce(F.sum("c").over(before), F.lit(0))).filter(F.col("v").isNotNull())
+
+    def inside(r: Column) -> Column:
+        return (r >= F.col("lo")) & (r < F.col("lo") + F.col("c"))
+    counts = counts.filter(inside(F.floor("at")) | inside(F.ceil("at")))
     aggs = []
     for name in probs:
         mine = F.col("q") == name
         low = F.max(F.when(mine & inside(F.floor("at")), F.col("v")))
         high = F.max(F.when(mine & inside(F.ceil("at")), F.col("v")))
         part = F.max(F.when(mine, F.col("at") - F.floor("at")))
-        aggs.append((low + (high - low) * part).alias(name))
-    return got.groupBy(*g).agg(*aggs).drop("__g")
-
-
-def _search(edges: str, v: str, n: int) -> Column:
-    """Number of edges not above ``v``: binary search as a fixed chain of probes."""
-    e, x = F.col(edges), F.col(v)
-    steps = max(1, (n - 1).bit_length())
-    spans = F.array(*[F.lit(1 << i) for i in range(steps - 1, -1, -1)])
-    return F.aggregate(spans, F.lit(0), lambda at, s: F.when(
-        (at + s <= F.size(e)) & (F.get(e, at + s - 1) <= x), at + s).otherwise(at))
+        found = F.when(low.isNull() | high.isNull(), F.raise_error(F.lit(f"rank of {name} outside its bracket")).cast("double"))
+        aggs.append(found.otherwise(F.when(part == 0, low).otherwise(low + (high - low) * part)).alias(name))
+    return counts.groupBy(*g).agg(*aggs).drop("__g")
 
 
 # ---- pairs --------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import classify_bucket, not_blank
@@ -20,12 +22,13 @@ POS_BITS = 48  # places of emissions stay below 2**48
 # ---- mixture to packed rows --------------------------------------------------------
 
 def read_mixture(spark: SparkSession, path: str, order: str) -> tuple[DataFrame, DataFrame]:
-    """Manifest file to ``(sources, spec)``: all sources' rows ``source, order, text`` and one row per source.
+    """Manifest file to ``(sources, spec)``: all sources' rows ``source, order, text`` and one row per source with a weight.
 
     Each source is read by its type: Parquet with an ``order`` column, or one text or JSON-lines
     file whose line numbers are the order.
     """
-    spec = spark.read.schema("source string, type string, path string, weight double, temperature double").json(path)
+    spec = (spark.read.schema("source string, type string, path string, weight double, temperature double").json(path)
+            .where("weight is not null"))
     parts = []
     for r in spec.orderBy("source").toLocalIterator():  # one row per source
         if r["type"] == "parquet":
@@ -57,35 +60,54 @@ def packed_mixture(spark: SparkSession, manifest: str, vocab: K.Vocab, seq_len:
 
 # ---- corpus build --------------------------------------------------------------------
 
-def build_corpus(spark: SparkSession, roots: list[str], out: str, cap: int, seed: int = 42) -> DataFrame:
+MANIFEST = ("source string, type string, path string, weight double, temperature double, data_files string, "
+            "newline_separated boolean, n bigint")
+
+
+def build_corpus(spark: SparkSession, roots: list[str], out: str, cap: int, seed: int = 42, strict: bool = False) -> DataFrame:
     """Scan, route by path, read by type, keep ``cap`` rows per bucket (0: all), one folder per bucket, manifest.
 
-    Returns the manifest: ``source, data_files, newline_separated, n``. Which rows a cap keeps follows from the
-    hash of their text and, of equal texts in a bucket, their number, so it depends on no order or layout of files.
+    Every Parquet file takes its own text column. Files that cannot be read or hold no text column are named in a
+    warning, with ``strict`` they raise; so are raw Arrow files, which a corpus build passes over.
+    Rows are ``doc_no, text``: their place in the bucket by the hash of the text and, of equal texts, their number, so places
+    and what a cap keeps depend on no order or layout of files. Returns the manifest, one row per bucket;
+    ``read_mixture`` reads it, and buckets without a weight stay out of the mixture.
     """
     parts = []
-    for root in roots:  # a few roots with a handful of endings; the files themselves stay a glob
-        kinds = R.scan_files(spark, [root]).where("not skipped").select("ext").distinct()
-        for ext in sorted(r["ext"] for r in kinds.toLocalIterator()):
-            below = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ext}")
+    for root in roots:  # a few roots with a handful of endings
+        found = R.scan_files(spark, [root])
+        for r in found.where("skipped").select("path").orderBy("path").toLocalIterator():
+            if strict:
+                raise ValueError(f"not read: {r['path']}")
+            warnings.warn(f"not read: {r['path']}")
+        for ext in sorted(r["ext"] for r in found.where("not skipped").select("ext").distinct().toLocalIterator()):
+            file = F.col("_metadata.file_path").alias("path")
             if ext == ".parquet":
-                d = below.parquet(root)
-                text = F.col(_text_column(d)).cast("string")
-            else:
-                d = below.text(root)
-                text = R.json_text("value") if "json" in ext else F.col("value")
-            parts.append(d.select(F.col("_metadata.file_path").alias("path"), text.alias("text")))
+                parts.append(R.read_parquet_text(spark, root, keep=[file], strict=strict, mixed=True))
+                continue
+            d = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"*{ext}").text(root)
+            text = R.json_text("value") if "json" in ext else F.col("value")
+            parts.append(d.select(file, text.alias("text")))
+    if not parts:
+        raise ValueError(f"nothing readable in {roots}")
     d = M.concat_sources(*parts).filter(not_blank("text"))
     d = d.select(classify_bucket(F.regexp_replace("path", "^[a-z]+:/+", "/")).alias("bucket"), "text")
+    d = _numbered(d)
+    key = ["text", "copy"]
     if cap:
-        d = M.sample_n(_numbered(d), spark.createDataFrame([(b, cap) for b in [*dict(M.MIXTURE_WEIGHTS), "misc"]], "bucket string, k bigint"),
-                       seed, ["text", "copy"], ["bucket"]).drop("copy")
+        d = M.sample_n(d, spark.createDataFrame([(b, cap) for b in [*dict(M.MIXTURE_WEIGHTS), "misc"]], "bucket string, k bigint"),
+                       seed, key, ["bucket"])
+    d = d.withColumn("h", M.hash_key(seed, *key))
+    d = M.row_index(d, ["h", *key], "doc_no", ["bucket"], block=M.hash_block("h"), key_bits=32).drop("h", "copy")
     W.write_buckets(d, out)
     n = spark.read.parquet(out).groupBy("bucket").agg(F.count("*").alias("n"))
-    manifest = n.select(F.col("bucket").alias("source"), F.concat(F.lit(f"{out}/bucket="), "bucket", F.lit("/*.parquet")).alias("data_files"),
-                        F.lit(False).alias("newline_separated"), "n")
+    weights = M.mixture_manifest(spark, root=out).drop("path", "type").withColumnRenamed("source", "bucket")  # one row per bucket
+    folder = F.concat(F.lit(f"{out}/bucket="), "bucket")
+    manifest = n.join(F.broadcast(weights), "bucket", "left").select(
+        F.col("bucket").alias("source"), F.lit("parquet").alias("type"), folder.alias("path"), "weight", "temperature",
+        F.concat(folder, F.lit("/*.parquet")).alias("data_files"), F.lit(False).alias("newline_separated"), "n")
     manifest.coalesce(1).write.mode("overwrite").json(f"{out}.manifest")
-    return spark.read.schema(manifest.schema).json(f"{out}.manifest")
+    return spark.read.schema(MANIFEST).json(f"{out}.manifest")
 
 
 def _numbered(d: DataFrame) -> DataFrame:
@@ -97,11 +119,3 @@ def _numbered(d: DataFrame) -> DataFrame:
     n = n.withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1, F.lit(COPIES).cast("bigint"))))
     last = F.least(F.col("first") + COPIES, F.col("n")) - 1
     return n.select("bucket", "text", F.explode(F.sequence("first", last)).alias("copy"))
-
-
-def _text_column(d: DataFrame) -> str:
-    names = {c.lower(): c for c in d.columns}
-    found = next((names[k] for k in R.TEXT_KEYS if k in names), None)
-    if found is None:
-        raise ValueError(f"no text column among {d.columns}")
-    return found

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
 from .tokens import BOS
 
 # A key above this share of the rows is salted, or above one shuffle partition's even share
@@ -75,12 +76,14 @@ def score_tokens(tokens: DataFrame, bigrams: DataFrame, vocab_size: int, k: floa
                  key: Sequence[str] = ("doc_id",), group: Sequence[str] = ()) -> DataFrame:
     """Add ``logp`` = ln((n(ctx,tok)+k) / (n(ctx)+k*V)).
 
-    ``group`` names the model column. Frequent bigrams and contexts are salted; where the
-    counts are small, AQE turns the joins into broadcasts by their measured size.
+    ``group`` names the model column. The counts are stored once, so the training text is read once and both
+    joins know how large their right side is: small counts are broadcast, and beside large ones AQE splits the
+    partitions of frequent bigrams and contexts, as every left row only looks its count up.
     """
-    group, row_key = list(group), [*key, "pos"]
-    d = salted_join(tokens, bigrams, [*group, "ctx", "tok"], row_key)
-    d = salted_join(d, context_counts(bigrams, group), [*group, "ctx"], row_key)
+    group = list(group)
+    bigrams = materialize(bigrams, "bigrams")
+    d = tokens.join(bigrams, [*group, "ctx", "tok"], "left")
+    d = d.join(context_counts(bigrams, group), [*group, "ctx"], "left")
     p = ((F.coalesce("n", F.lit(0)) + F.lit(float(k)))
          / (F.coalesce("ctx_n", F.lit(0)) + F.lit(float(k) * vocab_size)))
     return d.withColumn("logp", F.log(p)).drop("n", "ctx_n")

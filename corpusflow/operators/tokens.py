@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.arrow_text import WordIds, count_line_tokens, line_ids, list_ids, text_ids
 from ..functions.text import WS, _col, not_blank, strip, text_or_empty, words
+from ..session import materialize
 from .index import first_n
 from .mixing import hash_block, hash_key
 
@@ -71,8 +72,10 @@ def build_vocab(counts: DataFrame, size: int) -> DataFrame:
     """``token, n, id``: ids 0-2 are special, then by (count desc, token).
 
     The count at the cut comes first, from a table of counts, so only words at or above it
-    are ordered; top-n follows, so the ranking window sees at most ``size`` rows.
+    are ordered; top-n follows, so the ranking window sees at most ``size`` rows. The counts are
+    stored, so the texts behind them are read once.
     """
+    counts = materialize(counts, "word-counts")
     by_count = counts.groupBy("n").agg(F.count("*").alias("c"))
     run = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     cut = (by_count.withColumn("before", F.coalesce(run, F.lit(0))).filter(F.col("before") < size)

@@ -123,3 +123,34 @@ def _built_corpus(spark, sf, cap):
     d.where("doc_id % 2 = 0").select("folder", "text").write.partitionBy("folder").parquet(f"{root}/a")
     d.where("doc_id % 2 = 1").select("folder", F.col("json").alias("value")).write.partitionBy("folder").text(f"{root}/b")
     return flows.build_corpus(spark, [f"{root}/a", f"{root}/b", f"{root}/none"], out, cap), spark.read.parquet(out)
+
+
+@query("flow_build_mix_pack", f"""
+WITH {_IDS}, dx AS (SELECT doc_id, text, {_BUCKET_SQL} AS source FROM (SELECT doc_id, text, {_PATH_SQL} AS path FROM documents WHERE trim(text) <> '')),
+c AS (SELECT source, count(*) AS n FROM dx GROUP BY source),
+w AS (SELECT c.*, pow(CASE source WHEN 'fineweb' THEN 0.6::DOUBLE ELSE 0.1::DOUBLE END, 2) AS w FROM c WHERE source <> 'misc'),
+p AS (SELECT source, n, w / sum(w) OVER () AS prob FROM w),
+t AS (SELECT *, max(ceil(n / prob)) OVER () AS total FROM p),
+k AS (SELECT source, n, prob, greatest(CAST(round(total * prob) AS BIGINT), n) AS k FROM t),
+y AS (SELECT *, row_number() OVER (PARTITION BY source, text ORDER BY doc_id) - 1 AS copy FROM dx),
+r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || text || '|' || copy), text, copy) - 1 AS i FROM y),
+e AS (SELECT r.doc_id, r.source, e, round((e + 0.5) / k.prob, 6) AS spot FROM r JOIN k USING (source), unnest(range(r.i, k.k, k.n)) u(e)),
+o AS (SELECT doc_id, row_number() OVER (ORDER BY spot, source, e) - 1 AS i FROM e),
+b AS (SELECT *, i // 128 AS block, count(*) OVER (PARTITION BY i // 128) = 128 AS whole FROM o),
+s AS (SELECT doc_id, row_number() OVER (ORDER BY block, CASE WHEN whole THEN md5('42|' || i)
+        ELSE lpad(CAST(i AS VARCHAR), 32, '0') END, i) AS place FROM b),
+x AS (SELECT id, row_number() OVER (ORDER BY place, line_no, j) - 1 AS pos FROM ids JOIN s USING (doc_id))
+SELECT pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
+FROM x GROUP BY 1 HAVING count(*) = {SEQ}""")
+def flow_build_mix_pack(spark, sf):
+    """Files of three schemas to buckets, their manifest to the mixture, the mixture to packed rows."""
+    root, out = scratch_path(spark, "corpus-in"), scratch_path(spark, "corpus-out")
+    d = documents(spark, sf).select(_doc_path().alias("path"), "text", "doc_id")
+    d = d.withColumn("folder", F.regexp_replace(F.regexp_replace("path", "[^a-zA-Z0-9_-]+", "-"), "^-", ""))
+    # three schemas below one root, the text under another name in each
+    d.where("doc_id % 3 = 0").select("folder", "text").write.partitionBy("folder").parquet(f"{root}/a")
+    d.where("doc_id % 3 = 1").select("folder", F.col("doc_id").alias("id"), F.col("text").alias("Content")).write.partitionBy("folder").parquet(f"{root}/a/more")
+    d.where("doc_id % 3 = 2").select("folder", F.lit(1).alias("n"), F.col("text").alias("BODY")).write.partitionBy("folder").parquet(f"{root}/b")
+    flows.build_corpus(spark, [root], out, 0)
+    d = flows.packed_mixture(spark, f"{out}.manifest", doc_vocab(spark, sf), SEQ, 42, "doc_no", 0.5)
+    return d.select("seq_id", _str("input_ids").alias("input_ids"))

@@ -11,7 +11,7 @@ from ..functions.text import classify_bucket
 from ..operators import conversations as V
 from ..operators import mixing as M
 from ..operators import tokens as K
-from ..operators.index import int_div
+from ..operators.index import int_div, row_index
 from ..session import scratch_path
 from ..sources import arrow_files
 from ..sources import readers as R
@@ -27,9 +27,6 @@ from .token_queries import _PACKED, SEQ, VOCAB, doc_vocab, packed_docs
 
 # ---- sources ---------------------------------------------------------------------
 
-_IDS_LANG = ids_cte(VOCAB, cols="lang")
-
-
 @query("src1_read_lines", f"""
 WITH {lines_cte()} SELECT {strip('line')} AS line, count(*) AS n FROM dlines WHERE {strip('line')} <> '' GROUP BY 1""")
 def src1(spark, sf):
@@ -250,18 +247,33 @@ def str2(spark, sf):
     return _drain(spark, d, "str2")
 
 
-def _stream_pack(spark, sf, name, files=4):
-    d = K.encode_lines(doc_stream(spark, sf, files=files), doc_vocab(spark, sf)).withColumn("lane", F.col("lang"))
-    return _drain(spark, S.pack_stream(d.select("lane", "doc_id", "ids"), SEQ, "doc_id"), name)
+LANES = 8
+_LANE_SQL = f"CAST(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT) % {LANES} AS VARCHAR)"
+
+
+def _placed_stream(spark, sf, group):
+    """The documents with their place in lane and group, as files that hold them in no order."""
+    d = S.with_lanes(documents(spark, sf).select("doc_id", "text", F.col("lang").alias("source")), "doc_id", LANES)
+    d = row_index(d, "doc_id", "place", group)
+    path = scratch_path(spark, "stream-in")
+    d.repartition(5, F.md5(F.col("doc_id").cast("string"))).write.parquet(path)
+    return S.read_stream(spark, path, "doc_id bigint, text string, source string, lane string, place bigint", max_files=1)
+
+
+def _in_order(spark, sf):
+    return S.pack_in_order(K.encode_lines(_placed_stream(spark, sf, ["lane"]), doc_vocab(spark, sf)), SEQ)
+
 
+_STREAM_PACKED = f"""{ids_cte(VOCAB)}, x AS (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY doc_id, line_no, j) - 1 AS pos
+  FROM (SELECT {_LANE_SQL} AS lane, * FROM ids) y)
+SELECT lane, pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
+FROM x GROUP BY 1, 2 HAVING count(*) = {SEQ}"""
 
-@query("str3_stream_pack", f"""
-WITH {_IDS_LANG}, p AS (SELECT lang, id, row_number() OVER (PARTITION BY lang ORDER BY doc_id, line_no, j) - 1 AS pos FROM ids)
-SELECT lang AS lane, pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
-FROM p GROUP BY 1, 2 HAVING count(*) = {SEQ}""")
+
+@query("str3_stream_pack", f"WITH {_STREAM_PACKED}")
 def str3(spark, sf):
-    """One file, so a lane's documents arrive together and its content is exact."""
-    d = _stream_pack(spark, sf, "str3", files=1)
+    """Five files in no order, one a micro-batch; each lane's content is that of its documents in order."""
+    d = _drain(spark, _in_order(spark, sf), "str3")
     return d.select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
@@ -271,11 +283,12 @@ def str4(spark, sf):
     return _drain(spark, d, "str4").select("text")
 
 
-@query("str5_stream_shards", f"""
-WITH {_PACKED}, t AS (SELECT lang, count(*) AS n FROM ids JOIN documents USING (doc_id) GROUP BY lang)
-SELECT lang AS lane, unnest(range(0, n // {SEQ})) AS seq_id, {SEQ} AS len FROM t""")
+@query("str5_stream_shards", f"WITH {_STREAM_PACKED}")
 def str5(spark, sf):
-    return _stream_pack(spark, sf, "str5").select("lane", "seq_id", F.size("input_ids").alias("len"))
+    """Shards of exactly 100 sequences over five micro-batches, and the open rest."""
+    path, chk = scratch_path(spark, "str5"), scratch_path(spark, "str5-checkpoint")
+    S.shards_to_files(_in_order(spark, sf), path, chk, 100)
+    return S.read_shards(spark, path).select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
 @query("str6_stream_head_split", """
@@ -288,13 +301,21 @@ def str6(spark, sf):
 
 
 @query("mix_streamed_pretraining", f"""
-WITH {_SPEC}, p AS (SELECT source, pow(weight, 2) / sum(pow(weight, 2)) OVER () AS prob FROM spec),
-c AS (SELECT lang AS source, count(*) AS n FROM documents GROUP BY lang),
-t AS (SELECT c.source, c.n, p.prob, max(ceil(c.n / p.prob)) OVER () AS total FROM c JOIN p USING (source)),
-k AS (SELECT source, n, greatest(CAST(round(total * prob) AS BIGINT), n) AS k FROM t)
-SELECT source, n, k AS emitted FROM k""")
+WITH {ids_cte(VOCAB)}, {_SPEC}, p AS (SELECT source, pow(weight, 2) / sum(pow(weight, 2)) OVER () AS prob FROM spec),
+r AS (SELECT doc_id, lang AS source, {_LANE_SQL} AS lane,
+  row_number() OVER (PARTITION BY {_LANE_SQL}, lang ORDER BY doc_id) - 1 AS e FROM documents),
+spot AS (SELECT r.*, (e + 0.5) / prob AS spot FROM r JOIN p USING (source)),
+ends AS (SELECT l.lane, p.source, (count(r.doc_id) + 0.5) / prob AS spot FROM (SELECT DISTINCT lane FROM r) l CROSS JOIN p
+  LEFT JOIN r ON r.lane = l.lane AND r.source = p.source GROUP BY l.lane, p.source, prob),
+stop AS (SELECT lane, min(struct_pack(spot := spot, source := source)) AS s FROM ends GROUP BY lane),
+o AS (SELECT lane, doc_id, row_number() OVER (PARTITION BY lane ORDER BY spot, source) AS k FROM spot JOIN stop USING (lane)
+  WHERE struct_pack(spot := spot, source := source) < s),
+x AS (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY k, line_no, j) - 1 AS pos FROM ids JOIN o USING (doc_id))
+SELECT lane, pos // {SEQ} AS seq_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY pos) AS input_ids
+FROM x GROUP BY 1, 2 HAVING count(*) = {SEQ}""")
 def mix_streamed_pretraining(spark, sf):
-    """Emissions per source of the temperature mixture."""
-    d = documents(spark, sf).select("doc_id", F.col("lang").alias("source"))
-    d = M.interleave(d, M.temperature_weights(_lang_spec(spark, sf), 0.5), "doc_id")
-    return d.groupBy("source").agg(F.countDistinct("doc_id").alias("n"), F.count("*").alias("emitted"))
+    """Live sources read, tokenised, mixed by temperature weights and packed, up to the first source that has no document left."""
+    probs = {r["source"]: r["prob"] for r in M.temperature_weights(_lang_spec(spark, sf), 0.5).collect()}  # one row per source
+    d = K.encode_lines(_placed_stream(spark, sf, ["lane", "source"]), doc_vocab(spark, sf))
+    d = _drain(spark, S.pack_live(d, SEQ, probs, "source", hold=1_000_000), "mixed")
+    return d.select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import os
 import warnings
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -128,7 +130,7 @@ def report_skipped(spark: SparkSession, path: str, strict: bool) -> None:
         raise ValueError(f"no rows read from {len(lost)} files below {path}: {', '.join(lost[:20])}")
 
 
-def _text_of(d: DataFrame, keys: Sequence[str], keep: Sequence[str], where: str) -> DataFrame | None:
+def _text_of(d: DataFrame, keys: Sequence[str], keep: Sequence[str | Column], where: str) -> DataFrame | None:
     names = {c.lower(): c for c in d.columns}
     col = next((names[k.lower()] for k in keys if k.lower() in names), None)
     if col is None:
@@ -141,7 +143,7 @@ def _text_of(d: DataFrame, keys: Sequence[str], keep: Sequence[str], where: str)
 
 
 def read_parquet_text(spark: SparkSession, paths: str | list[str], keys: Sequence[str] = TEXT_KEYS,
-                      keep: Sequence[str] = (), strict: bool = False, mixed: bool = False) -> DataFrame:
+                      keep: Sequence[str | Column] = (), strict: bool = False, mixed: bool = False) -> DataFrame:
     """The first of ``keys`` found as a column (any case) of each path, strings only.
 
     A path is a file or a folder of one schema; with ``mixed`` the files of a folder choose
@@ -168,21 +170,39 @@ def read_parquet_text(spark: SparkSession, paths: str | list[str], keys: Sequenc
     return concat_sources(*parts)
 
 
-def _mixed_text(spark: SparkSession, path: str, keys: Sequence[str], keep: Sequence[str], strict: bool) -> list[DataFrame]:
-    """One branch per set of columns below ``path``; only names and types of files come to the driver."""
-    groups: dict[tuple, list[str]] = {}
-    for r in _data_files(spark, path).orderBy("path").toLocalIterator():
-        try:
-            kinds = tuple(spark.read.parquet(r["path"]).dtypes)
-        except Exception as e:
-            if not _not_parquet(e):
-                raise
-            if strict:
-                raise ValueError(f"cannot read {r['path']}") from e
-            warnings.warn(f"cannot read {r['path']}")
-            continue
-        groups.setdefault(kinds, []).append(r["path"])
-    found = [_text_of(spark.read.parquet(*files), keys, keep, f"{len(files)} files below {path}") for files in groups.values()]
+def _columns_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, columns, error)`` of the Parquet files below ``path``, their footers read in tasks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            columns, error = [], []
+            for p in b.column("path").to_pylist():
+                try:
+                    system, at = arrow_files.filesystem(p)
+                    with system.open_input_file(at) as f:
+                        schema = pq.read_schema(f)
+                    columns.append("\n".join(f"{x.name} {x.type}" for x in schema))
+                    error.append(None)
+                except (pa.ArrowException, OSError) as e:
+                    columns.append(None)
+                    error.append(str(e)[:300])
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(columns, pa.string()), pa.array(error, pa.string())],
+                                             ["path", "columns", "error"])
+    return _data_files(spark, path).repartition("path").mapInArrow(run, "path string, columns string, error string")
+
+
+def _mixed_text(spark: SparkSession, path: str, keys: Sequence[str], keep: Sequence[str | Column], strict: bool) -> list[DataFrame]:
+    """One branch per set of columns below ``path``; of the files, only their paths by group come to the driver."""
+    files = _columns_of_files(spark, path).toArrow().to_pylist()  # paths, which Spark's reader lists on the driver as well
+    groups: dict[str, list[str]] = {}
+    for r in sorted(files, key=lambda r: r["path"]):
+        if r["error"] is None:
+            groups.setdefault(r["columns"], []).append(r["path"])
+        elif strict:
+            raise ValueError(f"cannot read {r['path']}: {r['error']}")
+        else:
+            warnings.warn(f"cannot read {r['path']}: {r['error']}")
+    found = [_text_of(spark.read.parquet(*files), keys, keep, f"{len(files)} files below {path}, the first {files[0]}")
+             for files in groups.values()]
     return [d for d in found if d is not None]
 
 

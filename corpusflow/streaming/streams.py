@@ -26,15 +26,15 @@ def read_stream(spark: SparkSession, path: str, schema: str, fmt: str = "parquet
 def with_lanes(df: DataFrame, key: str, lanes: int, source: str | None = None) -> DataFrame:
     """Add ``lane``: rows of one source are spread over ``lanes`` independent packers,
     so a dominant source is not bound to one task."""
-    n = F.pmod(F.xxhash64(key), F.lit(lanes)).cast("string")
+    n = (F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("bigint") % lanes).cast("string")
     return df.withColumn("lane", F.concat_ws("/", source, n) if source else n)
 
 
 def pack_stream(df: DataFrame, seq_len: int, order: str, ids: str = "ids", lane: str = "lane") -> DataFrame:
     """Full sequences per lane; fewer than ``seq_len`` tokens are carried as state.
 
-    Works chunk by chunk as Arrow batches arrive and sorts inside a chunk, so a task
-    holds one chunk and one partial sequence.
+    Works chunk by chunk as Arrow batches arrive, so a task holds one chunk and one partial
+    sequence. Order holds inside a chunk only; ``pack_in_order`` keeps it across micro-batches.
     """
     def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         buf, nxt = state.get if state.exists else ([], 0)
@@ -53,6 +53,108 @@ def pack_stream(df: DataFrame, seq_len: int, order: str, ids: str = "ids", lane:
             .applyInPandasWithState(step, PACK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
 
+LIVE_STATE = ("names array<string>, place array<bigint>, given array<bigint>, held_of array<int>, held_at array<bigint>, "
+              "held_size array<int>, held_ids array<int>, buf array<int>, next_seq bigint")
+HOLD = 10_000  # documents a lane holds back for one that has not come
+
+
+class Lane:
+    """What one lane remembers: per source the next place and the documents given, documents held back, and tokens left over."""
+
+    def __init__(self, probs: dict[str, float], hold: int, state: tuple | None = None):
+        self.probs, self.hold = probs, hold
+        self.place, self.given = dict.fromkeys(probs, 0), dict.fromkeys(probs, 0)
+        self.held: dict[str, dict[int, np.ndarray]] = {s: {} for s in probs}
+        self.n, self.out, self.next_seq = 0, [], 0
+        if state is None:
+            return
+        names, place, given, held_of, held_at, held_size, held_ids, buf, self.next_seq = state
+        self.place.update(zip(names, place))
+        self.given.update(zip(names, given))
+        ends = np.cumsum(np.asarray(held_size, np.int64))
+        flat = np.asarray(held_ids, np.int32)
+        for of, at, size, end in zip(held_of, held_at, held_size, ends):
+            self.held.setdefault(names[of], {})[at] = flat[end - size:end]
+            self.n += 1
+        self.out.append(np.asarray(buf, np.int32))
+
+    def state(self) -> tuple:
+        names = list(self.place)
+        rows = [(i, at, ids) for i, s in enumerate(names) for at, ids in sorted(self.held.get(s, {}).items())]
+        none = np.zeros(0, np.int32)
+        return (names, [self.place[s] for s in names], [self.given[s] for s in names], [i for i, _, _ in rows], [at for _, at, _ in rows],
+                [len(x) for _, _, x in rows], np.concatenate([none, *[x for _, _, x in rows]]).tolist(),
+                np.concatenate([none, *self.out]).tolist(), self.next_seq)
+
+    def add(self, source: str, place: int, ids: np.ndarray) -> None:
+        if source not in self.probs:
+            raise ValueError(f"source {source!r} has no weight")
+        if place < self.place[source] or place in self.held[source]:  # its turn is over: it goes out now
+            self.out.append(ids)
+            return
+        self.held[source][place] = ids
+        self.n += 1
+
+    def _turn(self, sources) -> str:
+        return min(sources, key=lambda s: ((self.given[s] + 0.5) / self.probs[s], s))
+
+    def drain(self) -> None:
+        """Give documents in turn while they are there; beyond ``hold`` one that has not come is passed over."""
+        while self.n:
+            s = self._turn(self.probs)
+            if self.place[s] not in self.held[s]:
+                if self.n <= self.hold:
+                    return
+                if not self.held[s]:
+                    s = self._turn([x for x in self.probs if self.held[x]])
+                self.place[s] = min(self.held[s])
+            self.out.append(self.held[s].pop(self.place[s]))
+            self.place[s] += 1
+            self.given[s] += 1
+            self.n -= 1
+
+    def sequences(self, seq_len: int) -> np.ndarray:
+        flat = np.concatenate([np.zeros(0, np.int32), *self.out])
+        n = len(flat) // seq_len
+        self.out = [flat[n * seq_len:]]
+        self.next_seq += n
+        return flat[:n * seq_len].reshape(n, seq_len)
+
+
+def pack_live(df: DataFrame, seq_len: int, probs: dict[str, float], source: str | None = None, place: str = "place", ids: str = "ids",
+              lane: str = "lane", hold: int = HOLD) -> DataFrame:
+    """Sources mixed by share as they arrive, each in its own order, packed to full sequences per lane.
+
+    ``place`` counts the documents of a source in a lane from 0. Document e of a source with share p has its turn at
+    (e + 0.5) / p, so on every prefix each source is within one document of its share, and no source is counted first. A
+    document waits in state until its turn and until those before it have come, whatever order files arrive in. A lane holds
+    ``hold`` documents at most: beyond that the missing one is passed over, and if it comes later it is packed
+    on arrival. So nothing is lost, and order and shares can only give way to a source that stays behind.
+    """
+    shares = {str(k): float(v) for k, v in probs.items() if v > 0}
+
+    def step(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        one = Lane(shares, hold, state.get if state.exists else None)
+        for pdf in chunks:
+            for s, at, x in zip(pdf["source"], pdf["place"], pdf["ids"]):
+                one.add(s, int(at), np.asarray(x, np.int32))
+            one.drain()
+            first = one.next_seq
+            seqs = one.sequences(seq_len)
+            if len(seqs):
+                yield pd.DataFrame({"lane": key[0], "seq_id": range(first, first + len(seqs)), "input_ids": list(seqs)})
+        state.update(one.state())
+
+    of = F.col(source).cast("string") if source else F.lit(next(iter(shares)))
+    return (df.select(F.col(lane).alias("lane"), of.alias("source"), F.col(place).cast("bigint").alias("place"), F.col(ids).alias("ids"))
+            .groupBy("lane").applyInPandasWithState(step, PACK_SCHEMA, LIVE_STATE, "append", GroupStateTimeout.NoTimeout))
+
+
+def pack_in_order(df: DataFrame, seq_len: int, place: str = "place", ids: str = "ids", lane: str = "lane", hold: int = HOLD) -> DataFrame:
+    """``pack_live`` of one source: full sequences in document order across micro-batches and files."""
+    return pack_live(df, seq_len, {"": 1.0}, None, place, ids, lane, hold)
+
+
 def dedup_stream(df: DataFrame, *cols: str) -> DataFrame:
     """First arrival per content hash. State keeps one hash per distinct content and
     grows with it: exact dedup of an unbounded stream has no watermark to drop by."""
@@ -92,3 +194,42 @@ def head_split_stream(df: DataFrame, path: str, checkpoint: str, cap: int, ratio
     q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
          .trigger(availableNow=True).start())
     q.awaitTermination()
+
+
+def shards_to_files(df: DataFrame, path: str, checkpoint: str, shard_seqs: int) -> None:
+    """Packed sequences (lane, seq_id, input_ids) as Parquet files of exactly ``shard_seqs`` each, across micro-batches.
+
+    A batch is stored once, put behind what the last one left open, and cut: full shards go to
+    ``shards/batch=<id>``, the rest to ``open/batch=<id>``, and ``ledger/batch=<id>`` notes how many shards there are. All of it
+    carries the batch id, so a batch that is repeated after a failure overwrites itself with the same rows.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        arrived = f"{path}/arrived/batch={batch_id}"
+        batch.write.mode("overwrite").parquet(arrived)
+        rows, before = spark.read.schema(batch.schema).parquet(arrived).withColumn("late", F.lit(1)), 0
+        if batch_id > 0:
+            before = spark.read.parquet(f"{path}/ledger/batch={batch_id - 1}").first()["shards"]
+            left = spark.read.schema(batch.schema).parquet(f"{path}/open/batch={batch_id - 1}")
+            rows = left.withColumn("late", F.lit(0)).unionByName(rows)
+        rows = row_index(rows.withColumn("h", F.xxhash64("lane")), ["seq_id", "late", "lane"], "i", bits=0, key_bits=40)
+        rows = rows.withColumn("shard", F.expr(f"{before} + i div {shard_seqs}")).drop("late", "h")
+        full = rows.count() // shard_seqs
+        done = rows.where(F.col("shard") < before + full)
+        (done.repartition("shard").sortWithinPartitions("shard", "i").drop("i", "shard")
+         .write.mode("overwrite").option("maxRecordsPerFile", shard_seqs).parquet(f"{path}/shards/batch={batch_id}"))
+        rows.where(F.col("shard") >= before + full).drop("i", "shard").write.mode("overwrite").parquet(f"{path}/open/batch={batch_id}")
+        (spark.createDataFrame([(batch_id, before + full)], "id bigint, shards bigint").coalesce(1)
+         .write.mode("overwrite").parquet(f"{path}/ledger/batch={batch_id}"))
+
+    q = (df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """All sequences of ``shards_to_files``: the full shards and what the last batch left open."""
+    columns = ["lane", "seq_id", "input_ids"]
+    last = spark.read.parquet(f"{path}/ledger").agg(F.max("id")).first()[0]
+    full = spark.read.schema(PACK_SCHEMA).parquet(f"{path}/shards").select(columns)
+    return full.unionByName(spark.read.schema(PACK_SCHEMA).parquet(f"{path}/open/batch={last}").select(columns))
