@@ -114,9 +114,7 @@ def test_contamination_matches_brute_force(spark):
     bench = spark.createDataFrame(items, "item_id bigint, text string").withColumn("term", F.lit("x"))
     rows = cases.pairs(docs)
     got = decontaminate.contamination(docs, bench, window=4).collect()
-    want = cases.contamination(rows, [(i, t) for i, t in items if i is not None], 4)
-    assert sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], ",".join(r["items"]), r["contaminated"]) for r in got) == [
-        w for w in want] or [r["n_hit"] for r in got]
+    assert len(got) == len(rows)  # their values: test_contamination_strict
     kept = decontaminate.clean(docs, bench, window=4)
     assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in got)
     assert decontaminate.contamination(docs.where("false"), bench).count() == 0
