@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from ..functions import chat as C
 from ..functions import text as T
 from ..operators import mixing as M
+from ..operators.index import row_index
 from ..operators.tokens import clean_lines
+from ..session import materialize
 from ..sources import readers as R
-from .chat_queries import firsts
+from .chat_queries import A, S, U, _tmpl, firsts, instructions
 from .registry import conversations, documents, query, table
 from .sql import FIRSTS, lines_cte, strip
 
@@ -32,9 +34,13 @@ def smp1(spark, sf):
     return M.shuffle_index(documents(spark, sf).select("doc_id"), 42, "doc_id")
 
 
-@query("smp1_shuffle_rows", "SELECT doc_id, text FROM documents")
+@query("smp1_shuffle_rows", f"""
+SELECT doc_id, text, row_number() OVER (ORDER BY {_hash(42, 'doc_id')}, doc_id) - 1 AS pos FROM documents""")
 def smp1_rows(spark, sf):
-    return M.shuffle_rows(documents(spark, sf).select("doc_id", "text"), 42, "doc_id")
+    """The rows in shuffled order, stored as they come, with the place where each one stands."""
+    d = M.shuffle_rows(documents(spark, sf).select("doc_id", "text"), 42, "doc_id")
+    stored = materialize(d.withColumn("at", F.monotonically_increasing_id()), "shuffled")  # grows along the order of rows
+    return row_index(stored, "at", "pos").select("doc_id", "text", "pos")
 
 
 @query("smp2_sample_n", f"""
@@ -178,26 +184,31 @@ WITH {FIRSTS}, raw AS (
     CASE WHEN u IS NULL THEN 'User:' || chr(10) || 'Assistant:' || chr(10)
          ELSE 'User: ' || {strip('u')} || chr(10) || 'Assistant:' || chr(10) END AS prompt,
     CASE WHEN a IS NULL THEN '' ELSE chr(10) || {strip('a')} END AS completion FROM firsts
+  UNION ALL SELECT conv_id, -2, 'instruction', {_tmpl(strip(f"CASE WHEN {S} <> '' THEN s ELSE {U} END"))}, chr(10) || {strip(A)} FROM firsts
   UNION ALL SELECT conv_id, turn, 'flat',
     CASE WHEN role = 'assistant' THEN 'User:' || chr(10) || 'Assistant:' || chr(10)
          ELSE 'User: ' || {strip('text')} || chr(10) || 'Assistant:' || chr(10) END,
     CASE WHEN role = 'assistant' THEN chr(10) || {strip('text')} ELSE chr(10) END FROM conversations),
 ok AS (SELECT * FROM raw WHERE {_CLEAN}),
 n AS (SELECT source, count(*) AS n FROM ok GROUP BY source),
-q AS (SELECT source, CAST(floor(sum(least(n, CASE source WHEN 'chat' THEN 150000 ELSE 80000 END)) OVER ()
-  * CAST(CASE source WHEN 'chat' THEN 0.6 ELSE 0.25 END AS DOUBLE)) AS BIGINT) AS k FROM n),
+q AS (SELECT source, CAST(floor(sum(least(n, CASE source WHEN 'chat' THEN 150000 WHEN 'instruction' THEN 80000 ELSE 20000 END)) OVER ()
+  * CAST(CASE source WHEN 'chat' THEN 0.6 WHEN 'instruction' THEN 0.25 ELSE 0.15 END AS DOUBLE)) AS BIGINT) AS k FROM n),
 m AS (SELECT ok.*, md5('123|' || conv_id || '|' || turn) AS h FROM (SELECT *, row_number() OVER (PARTITION BY source
    ORDER BY {_hash(42, "conv_id || '|' || turn")}, conv_id, turn) AS r FROM ok) ok JOIN q USING (source) WHERE ok.r <= q.k)
 SELECT conv_id, turn, prompt, completion FROM (SELECT *, row_number() OVER (
    PARTITION BY sha1(prompt || '||' || completion) ORDER BY h, conv_id, turn) AS first FROM m) WHERE first = 1""")
 def mix_instruction_tables(spark, sf):
-    """The instruction mix end to end: format, clean, quota, shuffle, dedup."""
-    chat = firsts(spark, sf).select("conv_id", F.lit(-1).cast("bigint").alias("turn"), F.lit("chat").alias("source"),
-                                    C.chat_pair_or_empty().alias("p"))
-    flat = conversations(spark, sf).select("conv_id", "turn", F.lit("flat").alias("source"), C.flat_message_pair().alias("p"))
+    """The instruction mix end to end: three sources, the third with a fallback; format, clean, quota, shuffle, dedup."""
+    row = lambda d, turn, name, pair: d.select("conv_id", turn.cast("bigint").alias("turn"), F.lit(name).alias("source"),
+                                               pair.alias("p"))
+    chat = row(firsts(spark, sf), F.lit(-1), "chat", C.chat_pair_or_empty())
+    asked = C.instruction_or_prompt_pair("input", "instruction", F.lit(None).cast("string"), "response")
+    instr = row(instructions(spark, sf), F.lit(-2), "instruction", asked)
+    messages = R.first_loadable(lambda: table(spark, sf, "messages"), lambda: conversations(spark, sf))
+    flat = row(messages, F.col("turn"), "flat", C.flat_message_pair())
     key = ["conv_id", "turn"]
-    d = M.concat_sources(chat, flat).select(*key, "source", "p.*").filter(T.clean_pair("prompt", "completion"))
-    d = M.fraction_mix(d, {"chat": 150_000, "flat": 80_000}, {"chat": 0.6, "flat": 0.25}, key)
+    d = M.concat_sources(chat, instr, flat).select(*key, "source", "p.*").filter(T.clean_pair("prompt", "completion"))
+    d = M.fraction_mix(d, {"chat": 150_000, "instruction": 80_000, "flat": 20_000}, {"chat": 0.6, "instruction": 0.25, "flat": 0.15}, key)
     d = d.withColumn("__o", M.hash_key(123, *key))
     return M.dedup_exact(d, ["prompt", "completion"], ["__o", *key]).select(*key, "prompt", "completion")
 

@@ -294,6 +294,16 @@ def first_nonempty(candidates: Sequence[Callable[[], DataFrame]], default: Calla
     return first_n(default(), n, order)
 
 
+def first_loadable(*loads: Callable[[], DataFrame]) -> DataFrame:
+    """What the first of ``loads`` gives whose source is there; the last one's failure is raised."""
+    for load in loads[:-1]:
+        try:
+            return load()
+        except AnalysisException as e:
+            warnings.warn(f"source passed over: {e.getCondition()}")
+    return loads[-1]()
+
+
 def source_counts(catalog: dict[str, DataFrame]) -> DataFrame:
     """``source, n`` for a set of named tables."""
     return concat_sources(*[d.agg(F.count("*").alias("n")).select(F.lit(s).alias("source"), "n")
