@@ -49,7 +49,7 @@ def brute(rows):
 
 
 ODD = ["a ▁ b", "<|endoftext|> x <s> </s> <unk>", "two  spaces\n\nand\ttabs ", " leading", "日本語 のテキスト 😀 é é", "nul \x00 \x1c sep",
-       "it's can't  don't 12 345", " nbsp wide", "x" * 3000, "the " * 500, " ", "\n", "ﬁ Å"]
+       "it's can't  don't 12 345, one, two. three... four?! 5. É. x². ²! .,; a.b. <|endoftext|>. s,", " nbsp wide", "x" * 3000, "the " * 500, " ", "\n", "ﬁ Å"]
 
 
 def test_every_measure_equals_brute_force(spark):
