@@ -3,6 +3,7 @@
 import gzip
 import json
 import os
+import random
 
 import numpy as np
 import pytest
@@ -128,6 +129,35 @@ def test_near_matches_allow_other_order_and_gaps(spark):
     assert [r["doc_id"] for r in decontaminate.near_matches(docs, bench, window=4, slop=2).collect()] == [1]
 
 
+@pytest.mark.parametrize("slop", [0, 3])
+def test_near_matches_match_brute_force(spark, slop):
+    rng = random.Random(slop)
+    rows = [(i, " ".join(rng.choice("abcdefgh") for _ in range(rng.randrange(60)))) for i in range(40)] + [(40, None), (40, "a b"), (None, "c a b d")]
+    items = ["a b c d", "e a", "f f g h a", "zz a", "h"]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("key", F.lit(1))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    want = set()
+    for i, text in rows:
+        words = (text or "").split()
+        for item in items:
+            asked = item.split()
+            for s in range(max(1, len(asked) - 2)):
+                part = set(asked[s:s + 3])
+                if any(part <= set(words[p:p + 3 + slop]) for p in range(len(words))):
+                    want.add((i, item, s))
+    names = decontaminate.items_of(bench, "item_id", "text")
+    got = decontaminate.near_matches(docs, bench, window=3, slop=slop).join(names, "item")
+    assert {(r["doc_id"], " ".join(r["words"]), r["at"]) for r in got.collect()} == want
+
+
+def test_frequent_terms_and_copies_give_whole_matches(spark):
+    rows = [(i, "the " * 300 + "of the cat the the") for i in range(30)] + [(99, "the the")] + [(None, "the of the cat the the x")] * 20
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    bench = spark.createDataFrame([(1, "of the cat the the"), (2, "the the the the"), (3, "the")], "item_id bigint, text string")
+    got = {(r["doc_id"], r["n_words"]): r["n_hit"] for r in decontaminate.contamination(docs, bench, window=4).collect()}
+    assert len(got) == 32 and got[0, 305] == 305 and got[99, 2] == 2 and got[None, 7] == 6
+
+
 # mixture
 
 def test_mixture_keeps_budgets_and_bounds(spark):
