@@ -222,3 +222,44 @@ def test_a_key_behind_a_path_is_found(spark):
 
 def test_masked_joins_overlaps():
     assert secrets.masked("abcdefghij", [(1, 0, 4), (7, 1, 9)], "#") == "a#efg#j"
+
+
+def test_a_run_cut_by_a_rule_leaves_its_other_parts():
+    key, more = "0123456789abcdef" * 2, "Zq9XvT7LmPq2WnR8sKjY"
+    parts = lambda text: [text[s:e] for s, e in secrets.candidates(text, secrets.base_spans(text))]
+    assert parts(f"{key}-{more} x") == [f"-{more}"]
+    assert parts(f"{more}.{key}-{more}") == [f"{more}.", f"-{more}"]
+    assert parts(f"short.{key}-tiny {key}") == [] and parts("") == []
+    free = secrets.Network.start(1)
+    free.threshold = 0.0
+    text = f"see {more}.{key}-{more} there"
+    assert secrets.masked(text, secrets.spans_of(text, free), "#") == "see ### there"
+
+
+def test_drawn_keys_teach_families_that_no_rule_knows(spark):
+    """Kept out of training: other beginnings, alphabets and lengths. Words, capitals and dates are left alone."""
+    r = random.Random(21)
+    syllables = ["ba", "ter", "ion", "men", "ol", "ish", "gra", "ple", "und", "ov", "ca", "ri", "st", "th"]
+    word = lambda: "".join(r.choice(syllables) for _ in range(r.randrange(2, 7)))
+    line = lambda: " ".join([*(word() for _ in range(8)), word().upper(), f"{word()}.{word()}", f"20{r.randrange(10, 30)}-10-{r.randrange(10, 30)}"])
+    made = "".join
+    docs = [f"{line()} token={made(r.choice('0123456789abcdef') for _ in range(24))} {line()}" for _ in range(120)] + [line() for _ in range(400)]
+    net = secrets.train(secrets.findings(spark.createDataFrame(list(enumerate(docs)), "doc_id bigint, text string"), "doc_id", "text"))
+    draw = np.random.default_rng(5)
+    for family in ((("sk_live_",), secrets.BASE62, (24, 24)), (("AIza",), secrets.BASE62 + "-_", (35, 35)), (("eyJhbGciOi",), secrets.BASE62 + "-_", (30, 90))):
+        found = 0
+        for _ in range(100):
+            a, key, b = line() + " ", secrets.drawn(draw, family), " " + line()
+            spans = secrets.spans_of(a + key + b, net)
+            found += any(s <= len(a) and e >= len(a) + len(key) for s, _, e in spans)
+        assert found >= 90, family
+    plain = [line() for _ in range(300)]
+    flagged = sum(len(secrets.spans_of(t, net)) for t in plain)
+    assert flagged <= 0.01 * sum(len(secrets.candidates(t, [])) for t in plain)
+
+
+def test_drawn_windows_stand_for_their_keys():
+    hosts = np.concatenate([secrets.windows("é" * 20 + "x" * 30 + " end", [(20, 50)])[0]] * 3)
+    got = secrets.planted(hosts, 30, 3)
+    assert got.shape == (30, secrets.SIZE) and (got == secrets.planted(hosts, 30, 3)).all()
+    assert len(secrets.planted(hosts, 0, 3)) == 0 and (got[0, :secrets.BEFORE] == 1).all()
