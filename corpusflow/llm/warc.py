@@ -1,13 +1,14 @@
 """Deterministic sharded WARC writer and reader (operator 7).
 
 1. Payload digests are compared in Spark: the smallest page of equal payloads is the response.
-2. Records are range-sorted by page; each range is a shard. Payloads move once.
+2. Records are range-sorted by page; each range is a shard. The ranges are cut where exact running byte totals
+   of blocks of page ids say so, not by a sample, so shards are the same on any layout of the table.
 3. A task streams its shard into gzip members, one per record, and rolls to a new file at a
    compressed size. Headers and digests are made anew; dates and record ids follow from the page,
    so equal tables give equal archives.
 4. Files are written under temporary names of their attempt. The tasks' manifest is stored by
-   Spark, which keeps one attempt of each task; only files it lists get their final names, and the
-   manifest file comes last. What a lost executor left is never listed.
+   Spark, which keeps one attempt of each task; only files it lists get their final names, in tasks, and the
+   manifest file comes last. What a lost executor left is never listed; a commit that broke off can be called again.
 
 Archives go to any file system pyarrow can open by URI.
 """
@@ -25,11 +26,14 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..session import materialize, scratch_path
+from ..operators.index import LOWEST, int_div, prefix_sum
+from ..session import materialize, release, scratch_path
 
 DATE = "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 CHUNK = 1 << 20
+BLOCK_BITS = 10  # pages of 1,024 consecutive ids are in one shard
+HEADERS = 512  # bytes a record counts beside its payload
 
 
 def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
@@ -108,18 +112,36 @@ def classify(pages: DataFrame, least: int, id_col: str, url_col: str, html_col:
             .select("page", "sha", F.col("f.page").alias("refers"), F.col("f.u").alias("refers_url")).distinct())
 
 
+def block_columns(rows: DataFrame) -> DataFrame:
+    """Adds ``b1, b2``: consecutive pages, and for a null id the leading digits of the payload's hash, the order there."""
+    return rows.withColumns({
+        "b1": F.coalesce(F.shiftright("page", BLOCK_BITS), F.lit(LOWEST >> BLOCK_BITS)),
+        "b2": F.when(F.col("page").isNull(), F.conv(F.substring("sha", 1, 4), 16, 10).cast("int")).otherwise(F.lit(0))})
+
+
+def shard_ranges(body: DataFrame, shard_bytes: int, shards: int | None) -> DataFrame:
+    """``(b1, b2, shard)`` of every block, from the bytes of all blocks before it; narrow rows, stored."""
+    sizes = block_columns(body).groupBy("b1", "b2").agg(F.sum(F.octet_length("html") + HEADERS).alias("size"))
+    sizes = materialize(sizes, "blocks")
+    if shards:
+        shard_bytes = -(-(sizes.agg(F.sum("size")).first()[0] or 1) // shards)
+    before = prefix_sum(sizes, F.col("size"), "before", ["b1", "b2"])
+    out = materialize(before.select("b1", "b2", int_div("before", shard_bytes).alias("shard")), "shards")
+    release(sizes)
+    return out
+
+
 def write(pages: DataFrame, uri: str, least: int = 0, roll: int = 64 << 20, level: int = 6, shards: int | None = None,
-          id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+          shard_bytes: int = 64 << 20, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """Write ``pages`` as ``part-<shard>-<number>.warc.gz`` below ``uri``; returns the manifest rows.
 
     Of records with equal payloads of ``least`` bytes or more the one with the smallest page id is a
     response, the others revisit it; ties on that id are all responses, and so is a null id. Null html
     is an empty payload, a null url an empty one; a payload of any length is one member; an empty table writes
     a manifest and no file; other columns are ignored. ``roll`` is the compressed size of a file; a larger
-    record has a file of its own.
+    record has a file of its own. A shard holds about ``shard_bytes`` before compression, or there are about ``shards``
+    of them; rows equal in id and payload share one.
     """
-    spark = pages.sparkSession
-    n = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     body = pages.select(F.col(id_col).cast("bigint").alias("page"), F.col(url_col).alias("url"),
                         F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     body = body.withColumn("sha", F.sha2("html", 256)).withColumns(
@@ -128,25 +150,31 @@ def write(pages: DataFrame, uri: str, least: int = 0, roll: int = 64 << 20, leve
     notes = classify(pages, least, id_col, url_col, html_col).select(
         "page", F.lit(None).cast("string").alias("url"), F.lit("").alias("html"), "sha", "refers", "refers_url", F.lit(0).alias("kind"))
     order = ["page", "sha", "kind", "url"]
-    rows = body.unionByName(notes).repartitionByRange(n, "page").withColumn("shard", F.spark_partition_id())
-    rows = rows.sortWithinPartitions(*order)
+    ranges = shard_ranges(body, shard_bytes, shards)
+    rows = block_columns(body.unionByName(notes)).join(ranges, ["b1", "b2"]).drop("b1", "b2")
+    rows = rows.select("page", "url", "html", "sha", "refers", "refers_url", "kind", "shard")
+    rows = rows.repartition("shard").sortWithinPartitions("shard", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, note = None, (None, None, None, None)
+        out, note, done = None, (None, None, None, None), []
         for b in batches:
             for page, url, html, sha, refers, refers_url, kind, shard in zip(*(b.column(i) for i in range(b.num_columns))):
                 page, sha = page.as_py(), sha.as_py()
                 if kind.as_py() == 0:
                     note = page, sha, refers.as_py(), refers_url.as_py()
                     continue
-                out = out or _Roll(uri, shard.as_py(), roll, level)
+                if out is None or out.shard != shard.as_py():
+                    if out:
+                        out.close()
+                        done += out.done
+                    out = _Roll(uri, shard.as_py(), roll, level)
                 to = note[2:] if note[:2] == (page, sha) else (None, None)
                 name = "" if page is None else str(page)
                 out.add(page, record(name, _line(url.as_py()), html.as_py().encode(),
                                      None if to[0] is None else str(to[0]), _line(to[1])))
         if out:
             out.close()
-            cols = list(zip(*out.done))
+            cols = list(zip(*done, *out.done))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (
                 pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))],
                 ["name", "temp", "records", "bytes", "sha256", "first", "last"])
@@ -155,21 +183,39 @@ def write(pages: DataFrame, uri: str, least: int = 0, roll: int = 64 << 20, leve
     fs.create_dir(f"{root}/_temporary", recursive=True)
     manifest = materialize(rows.mapInArrow(
         run, "name string, temp string, records bigint, bytes bigint, sha256 string, first bigint, last bigint"), "manifest")
+    release(ranges)
     commit(manifest, uri)
     return manifest
 
 
 def commit(manifest: DataFrame, uri: str) -> None:
-    """Give the listed files their names, then write the manifest. One row per file, so it is small."""
+    """Give the listed files their names, in tasks, then write the manifest, a line a file.
+
+    May be called again for a manifest whose commit broke off: a file that has its name already stays.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = open_fs(uri)
+        for b in batches:
+            for name, temp, size in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if fs.get_file_info(f"{root}/{temp}").type == pafs.FileType.File:
+                    fs.move(f"{root}/{temp}", f"{root}/{name}")
+                elif fs.get_file_info(f"{root}/{name}").size != size:
+                    raise FileNotFoundError(f"{name} is neither written nor committed")
+            yield b.select(["name"])
+
+    listed = manifest.select("name", "temp", "bytes")
+    tasks = min(max(1, listed.count()), int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    release(materialize(listed.repartition(tasks, "name").mapInArrow(run, "name string"), "renamed"))
     fs, root = open_fs(uri)
-    files = []
-    for r in manifest.orderBy("name").toLocalIterator():
-        fs.move(f"{root}/{r['temp']}", f"{root}/{r['name']}")
-        files.append({k: r[k] for k in ("name", "records", "bytes", "sha256", "first", "last")})
-    fs.delete_dir(f"{root}/_temporary")
     with fs.open_output_stream(f"{root}/_manifest.part") as f:
-        f.write(json.dumps(files).encode())
+        gap = b"[\n"
+        for r in manifest.orderBy("name").toLocalIterator():
+            f.write(gap + json.dumps({k: r[k] for k in ("name", "records", "bytes", "sha256", "first", "last")}).encode())
+            gap = b",\n"
+        f.write(b"[]" if gap == b"[\n" else b"\n]")
     fs.move(f"{root}/_manifest.part", f"{root}/manifest.json")
+    if fs.get_file_info(f"{root}/_temporary").type == pafs.FileType.Directory:
+        fs.delete_dir(f"{root}/_temporary")
 
 
 def _members(stream) -> Iterator[bytes]:
@@ -203,9 +249,8 @@ def read(spark: SparkSession, uri: str, payloads: bool = False) -> DataFrame:
 
     ``(page_id, url, payload_bytes, payload_digest, record_type, refers_to)``, with the html where ``payloads``.
     """
-    fs, root = open_fs(uri)
-    with fs.open_input_stream(f"{root}/manifest.json") as f:
-        names = [x["name"] for x in json.loads(f.read())]
+    listed = spark.read.text((uri if ":" in uri else f"file://{uri}") + "/manifest.json")
+    files = listed.select(F.get_json_object("value", "$.name").alias("name")).where("name is not null")
     schema = ("page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
               + ", html string" * payloads)
 
@@ -238,8 +283,7 @@ def read(spark: SparkSession, uri: str, payloads: bool = False) -> DataFrame:
     def table(rows: list[list]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], labels[:len(rows[0])])
 
-    files = spark.createDataFrame([(x,) for x in names], "name string")
-    return files.repartition(max(1, len(names)), "name").mapInArrow(run, schema)
+    return files.repartition(max(1, files.count()), "name").mapInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, least: int = 0, **how) -> DataFrame:

@@ -98,6 +98,36 @@ def test_warc_of_no_pages(spark, folder):
     assert warc.read(spark, f"file://{folder}/none").count() == 0
 
 
+def test_archives_do_not_depend_on_the_layout(spark, folder):
+    rows = spark.range(2600).select((F.col("id") * 3).alias("page_id"), F.lit("http://a/").alias("url"),
+                                    F.expr("repeat(cast(id % 700 as string), 50)").alias("html"))
+    rows = rows.union(spark.range(40).selectExpr("null", "cast(id % 3 as string)", "cast(id as string)"))
+    got = []
+    for i, n in enumerate((2, 7)):
+        uri = f"file://{folder}/layout{i}"
+        warc.write(rows.repartition(n, F.rand(i)), uri, roll=3000, shard_bytes=300_000)
+        got.append(json.load(open(uri[7:] + "/manifest.json")))
+    assert got[0] == got[1] and sum(f["records"] for f in got[0]) == 2640
+    assert len({f["name"][:11] for f in got[0]}) >= 4
+    numbered = [f for f in got[0] if f["first"] is not None]
+    assert all(a["last"] < b["first"] for a, b in zip(numbered, numbered[1:]))
+
+
+def test_a_broken_commit_ends_well(spark, folder, monkeypatch):
+    df = spark.createDataFrame(PAGES, "page_id bigint, url string, html string")
+    uri, commit = f"file://{folder}/broken", warc.commit
+    monkeypatch.setattr(warc, "commit", lambda *_: None)
+    manifest = warc.write(df, uri, roll=200, shards=2)
+    done = manifest.first()
+    os.rename(f"{uri[7:]}/{done['temp']}", f"{uri[7:]}/{done['name']}")
+    commit(manifest, uri)
+    assert warc.read(spark, uri).count() == len(PAGES) and not os.path.exists(f"{uri[7:]}/_temporary")
+    commit(manifest, uri)
+    os.remove(f"{uri[7:]}/{done['name']}")
+    with pytest.raises(Exception, match="neither written nor committed"):
+        commit(manifest, uri)
+
+
 def test_damage_is_found():
     raw = warc.record("1", "u", b"payload", None, "")
     assert warc.parse(raw)["payload"] == b"payload"
