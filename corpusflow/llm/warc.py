@@ -153,7 +153,9 @@ def write(pages: DataFrame, uri: str, least: int = 0, roll: int = 64 << 20, leve
     ranges = shard_ranges(body, shard_bytes, shards)
     rows = block_columns(body.unionByName(notes)).join(ranges, ["b1", "b2"]).drop("b1", "b2")
     rows = rows.select("page", "url", "html", "sha", "refers", "refers_url", "kind", "shard")
-    rows = rows.repartition("shard").sortWithinPartitions("shard", *order)
+    # a number of its own, as merged partitions would put many shards in one task
+    n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(n, "shard").sortWithinPartitions("shard", *order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out, note, done = None, (None, None, None, None), []
