@@ -51,6 +51,44 @@ def test_top_k_matches_brute_force(spark, shard, scale):
     assert topk.top_k(df.where("false"), lambda i: i % 5 == 0).count() == 0
 
 
+def test_tree_search_of_one_shard():
+    r = np.random.default_rng(5)
+    x = np.concatenate([r.integers(-9, 9, (90, 5)) + 200 * r.integers(-3, 3, 5) for _ in range(8)])
+    x[40:70] = x[40]
+    ids = r.permutation(len(x))
+    tree = topk.ball_tree(x.astype(float), 8)
+    assert sorted(np.concatenate([a for a, c in zip(tree.rows, tree.child) if c[0] < 0])) == list(range(len(x)))
+    for at, centre, radius in zip(tree.rows, tree.centre, tree.radius):
+        assert (np.sqrt(((x[at] - centre) ** 2).sum(1)) <= radius * (1 + 1e-9) + 1e-9).all()
+        assert (x[::50] @ x[at].T <= topk.bounds(x[::50].astype(float), centre[None], np.array([radius]))).all()
+    floor = np.where(np.arange(len(x[::50])) % 2, -2 ** 63, np.sort(x[::50] @ x.T, 1)[:, -3])
+    got = list(zip(*(a.tolist() for a in topk.search(ids[::50], x[::50], floor, ids, x, 6, leaf=8))))
+    want = []
+    for q, v, low in zip(ids[::50], x[::50], floor):
+        best = sorted((-int(v @ c), int(i)) for i, c in zip(ids, x) if i != q)[:6]
+        want += [(q, i, -s) for s, i in best if -s >= low]
+    assert sorted(got) == sorted(want)
+
+
+def test_far_shards_meet_no_query(spark):
+    r = np.random.default_rng(6)
+    spots = 300 * np.eye(8)
+    rows = [(i, (spots[i % 8] + r.normal(size=8)).tolist()) for i in range(640)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    placed = topk.to_shards(topk.to_integers(df, "vec_id", "embedding", 1.0), 40).cache()
+    sizes = placed.groupBy("shard").count().collect()
+    assert sum(s["count"] for s in sizes) == 640 and len(sizes) >= 16 and max(s["count"] for s in sizes) <= 80
+    asked = placed.where("id % 10 = 0").withColumns({"block": F.lit(0), "low": F.lit(80_000).cast("bigint")})
+    pairs = topk._worth(topk._roots(placed), asked, 1).agg(F.sum(F.size("others"))).first()[0]
+    assert 0 < pairs < 64 * (len(sizes) - 1) / 2
+    placed.unpersist()
+    got = topk.top_k(df, lambda i: i % 5 == 0, k=4, scale=1.0, shard=40).collect()
+    v = {i: np.floor(np.array(x)).astype(int) for i, x in rows}
+    want = [(q, n + 1, c, -s) for q in v if q % 5 == 0
+            for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in v if c != q)[:4])]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 # WARC
 
 PAGES = [(3, "http://a/", "same ä"), (1, "http://b/\r\nX: y", "same ä"), (2, None, None), (4, "u", ""), (5, "u", "x" * 300_000),
