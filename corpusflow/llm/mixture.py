@@ -16,6 +16,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..session import materialize
+
 BLOCK = 64
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -26,8 +28,8 @@ def word_count(text: Column) -> Column:
 
 
 def uniform(seed: str, key: Column) -> Column:
-    """A number in (0, 1) from 52 bits of an MD5 digest; the same on every run."""
-    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), F.coalesce(key.cast("string"), F.lit("")))), 1, 13), 16, 10)
+    """A number in (0, 1) from 52 bits of an MD5 digest; the same on every run. ``key`` is never null."""
+    bits = F.conv(F.substring(F.md5(F.concat(F.lit(seed + "|"), key)), 1, 13), 16, 10)
     return (bits.cast("bigint").cast("double") + 0.5) / F.lit(float(2 ** 52))
 
 
@@ -84,11 +86,14 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     weight 1 for quality 1, ``low`` for 0, ``unknown`` otherwise.
 
     Null text has size 0 and is never taken; a null source is a source of its own, the last;
-    repeated rows count each, ordered among themselves by text; a table without words takes
-    nothing; an empty one gives an empty result; other columns are ignored.
+    a row without id draws its key by its text; repeated rows count each, ordered among themselves
+    by text; a table without words takes nothing; an empty one gives an empty result; other columns
+    are ignored. The texts are read once: what is needed of them is stored.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"),
-                       word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("tie"))
+    by_text = F.concat(F.lit("|"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
+    rows = materialize(docs.select(
+        F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"),
+        F.xxhash64(text_col).alias("tie"), uniform(seed, F.coalesce(F.col(id_col).cast("string"), by_text)).alias("u")), "sizes")
     if quality is None:
         rows = rows.withColumn("w", F.lit(unknown))
     else:
@@ -98,7 +103,7 @@ def mix(docs: DataFrame, quality: DataFrame | None = None, weights: Sequence[flo
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     target = source_targets(sizes, weights, share, most)
     t = target.select(F.struct("source").alias("g"), "source_size", "n", "target")
-    key = -F.ln(uniform(seed, F.col("id"))) / F.col("w")
+    key = -F.ln("u") / F.col("w")
     # 1 - exp(-low * key) lies in (0, 1) and is at most 1 / low times denser than even
     spot = 1 - F.exp(-F.col("key") * F.lit(min(low, unknown, 1.0)))
     rows = (rows.withColumn("key", key).withColumn("g", F.struct("source")).join(t, "g").drop("g")

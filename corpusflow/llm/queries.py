@@ -146,7 +146,7 @@ WITH d AS (
 q AS (SELECT doc_id, max(quality) AS q FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
 k AS (
   SELECT d.*, CASE q WHEN 1 THEN 1.0::DOUBLE WHEN 0 THEN 0.25::DOUBLE ELSE 0.5::DOUBLE END AS w,
-         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
+         (('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, '|' || md5(coalesce(text, '')))), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0::DOUBLE AS u
   FROM d LEFT JOIN q USING (doc_id)),
 s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -1,7 +1,9 @@
 """Top-k, WARC, decontamination, mixtures, and the pipeline."""
 
 import gzip
+import hashlib
 import json
+import math
 import os
 import random
 
@@ -260,6 +262,24 @@ def test_better_documents_come_first(spark):
     assert n[1] > 2 * n[0]
 
 
+def test_rows_without_id_draw_by_their_text(spark):
+    texts = ["w " * (1 + i % 9) + str(i) for i in range(1500)] + ["same words"] * 40
+    docs = spark.createDataFrame([(None, t, "a") for t in texts], "doc_id bigint, text string, source string").repartition(4)
+    sizes = [len(t.split()) for t in texts]
+    goal = int(0.3 * sum(sizes) + 0.5)
+
+    def draw(t):
+        return -math.log((int(hashlib.md5(f"mix||{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()[:13], 16) + 0.5) / 2 ** 52)
+    want, left = [], goal
+    for t in sorted(texts, key=draw):
+        n = len(t.split())
+        want.append((n, max(0, min(n, left))))
+        left -= n
+    got = mixture.mix(docs, weights=(1.0,), share=0.3).select("size", "taken").collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert len({draw(t) for t in texts}) == 1501
+
+
 # pipeline
 
 def test_pipeline_keeps_the_least_document_of_each_simhash_class(spark, sf):
