@@ -134,7 +134,7 @@ def _split(rows: DataFrame, shard: int, level: int) -> DataFrame:
     """The next level: rows of cells over ``shard`` go to the nearest of some rows of their cell."""
     cells = rows.groupBy("dim", "cell").agg(F.count("*").alias("n")).where(F.col("n") > shard)
     parts = F.least(F.lit(FAN), F.ceil(2 * F.col("n") / shard)).cast("int")
-    cells = cells.withColumns({"parts": parts, "salts": F.ceil(F.col("n") / (4 * SHARD)).cast("int")})
+    cells = cells.withColumns({"parts": parts, "salts": F.ceil(F.col("n") / shard).cast("int")})
     big = rows.join(cells, ["dim", "cell"])
     # about four times as many as are taken, of a cell of any size
     drawn = big.withColumn("h", F.xxhash64("id", F.lit(level))).where(
