@@ -109,8 +109,11 @@ class Candidates:
         return self.whole.unionByName(more)
 
     def finish(self, spans: DataFrame, run, schema: str) -> DataFrame:
-        """Join the spans of each text to it and apply the Arrow function ``run``."""
-        per_row = spans.groupBy(*ROW).agg(F.collect_list(F.struct("s", "e")).alias("spans"))
+        """Join the spans of each text to it and apply the Arrow function ``run``.
+
+        Rows equal in id and text share their spans, which are kept once however many rows there are.
+        """
+        per_row = spans.groupBy(*ROW).agg(F.collect_set(F.struct("s", "e")).alias("spans"))
         joined = (self.rows.join(per_row, same_row(self.rows, per_row), "left")
                   .select(self.rows["id"], self.rows["text"], "spans"))
         return joined.mapInArrow(run, schema)

@@ -43,6 +43,18 @@ def test_empty_table(docs, fn, length):
     assert fn(docs.where("false"), length=length).count() == 0
 
 
+def test_many_copies_without_an_id(spark):
+    r = random.Random(8)
+    copied, shared = (" ".join(r.choice("abcdefgh") * r.randrange(1, 5) for _ in range(40)) for _ in range(2))
+    texts = [copied] * 300 + [None] * 20 + [f"own {shared} end", f"{shared} another", "x y z"]
+    df = spark.createDataFrame([(None, t) for t in texts], "doc_id bigint, text string").repartition(5)
+    pairs = [(None, t) for t in texts]
+    got = phrases.dedup_phrases(df, length=6).collect()
+    assert sorted((str(x["doc_id"]), x["n_words"], x["n_removed"], x["kept"]) for x in got) == cases.phrases(pairs, 6)
+    got = suffixes.dedup_substrings(df, length=15).collect()
+    assert sorted((str(x["doc_id"]), x["n_bytes"], x["n_removed"], x["n_spans"], bytes(x["kept"])) for x in got) == cases.suffixes(pairs, 15)
+
+
 def test_anchors_are_the_same_across_piece_borders(monkeypatch):
     r = random.Random(2)
     data = np.frombuffer(bytes(r.choice(b"abc") for _ in range(5000)), np.uint8)
