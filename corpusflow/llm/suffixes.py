@@ -159,6 +159,8 @@ def _with_company(digests: DataFrame, by: list[str]) -> DataFrame:
 def _settle_hot(contexts: DataFrame, length: int, reach: int) -> DataFrame:
     """Windows that start ``i * gram`` to ``(i + 1) * gram`` before the anchor share ``length - gram`` bytes."""
     step = length - reach
+    # a context is small, its digests are not: dealt evenly before, as many parts as a shuffle has
+    contexts = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram", "ctx")
     cores = _digests(contexts.withColumn("at", F.lit(list(range(0, reach, step)))), reach, "at", reach)
     alive = (_with_company(cores, ["gram", "o", "h"]).groupBy("gram", "ctx")
              .agg(F.array_distinct(F.flatten(F.collect_list(F.sequence("o", F.least(F.col("o") + step, F.lit(reach)))))).alias("at")))
