@@ -50,12 +50,18 @@ def interleaved(df: DataFrame, probs: DataFrame, order: str) -> DataFrame:
 
 def packed_mixture(spark: SparkSession, manifest: str, vocab: K.Vocab, seq_len: int, seed: int, order: str,
                    temperature: float | None) -> DataFrame:
-    """Manifest to training rows: read, encode with line ends, weigh, interleave in order, buffer shuffle, pack."""
+    """Manifest to training rows: read, encode with line ends, weigh, interleave in order, buffer shuffle, pack.
+
+    A row of a small source is emitted many times. Emissions are placed without their ids, which
+    are joined when all places are known: repeats are never stored, and of them only what shares a sequence is shuffled.
+    """
     rows, spec = read_mixture(spark, manifest, order)
-    ids = materialize(K.encode_lines(rows, vocab).drop("text"), "mixture-ids")  # once per row, before repeats
+    ids = K.encode_lines(rows, vocab).drop("text").withColumn("row", F.monotonically_increasing_id())
+    ids = materialize(ids, "mixture-ids")  # once per row, before repeats
     where = interleaved(ids.select("source", order), M.temperature_weights(spec, temperature), order)
-    d = where.join(ids, ["source", order]).withColumnRenamed("pos", "place").select("place", "ids", "n_tok")
-    return P.pack_training(materialize(d, "mixture"), seq_len, "place", seed, n_tok="n_tok", key_bits=POS_BITS)
+    where = where.join(ids.select("source", order, "n_tok", "row"), ["source", order]).withColumnRenamed("pos", "place")
+    where = materialize(where.select("place", "n_tok", "row"), "mixture")
+    return P.pack_placed(P.shuffled_starts(where, "place", seed, "n_tok", key_bits=POS_BITS), ids, ["row"], seq_len)
 
 
 # ---- corpus build --------------------------------------------------------------------

@@ -108,3 +108,19 @@ def test_truncate_pair(spark):
     d = spark.createDataFrame([(list(range(10)), list(range(20)))], "p array<int>, c array<int>")
     t = d.select(P.truncate_pair("p", "c", 4, 10).alias("t")).first().t
     assert t.prompt_ids == [6, 7, 8, 9] and t.completion_ids == list(range(6))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_rows_are_packed_from_places_alone(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    ids = {k: [rng.randrange(100) for _ in range(rng.choice([0, 1, 3, 7, 8, 9, 16, 17, 60]))] for k in range(20)}
+    order = [rng.randrange(20) for _ in range(rng.choice([1, 40, 150]))]
+    starts = spark.createDataFrame([(place, k, len(ids[k])) for place, k in enumerate(order)], "place bigint, k bigint, n_tok int")
+    rows = spark.createDataFrame(list(ids.items()), "k bigint, ids array<int>")
+    whole = spark.createDataFrame([(place, ids[k]) for place, k in enumerate(order)], "place bigint, ids array<int>")
+    want = P.pack_training(whole, L, "place", 3, buffer=16).orderBy("seq_id").collect()
+    sent = []
+    monkeypatch.setattr(P, "_assemble", lambda d, *a, f=P._assemble: sent.append(d) or f(d, *a))
+    got = P.pack_placed(P.shuffled_starts(starts, "place", 3, "n_tok", buffer=16), rows, ["k"], L).orderBy("seq_id").collect()
+    assert got == want
+    assert all(len(r.piece) < L for r in sent[0].collect())
