@@ -261,7 +261,8 @@ def _placed_stream(spark, sf, group):
 
 
 def _in_order(spark, sf):
-    return S.pack_in_order(K.encode_lines(_placed_stream(spark, sf, ["lane"]), doc_vocab(spark, sf)), SEQ)
+    # files come in no order, so a lane may have to wait with most of its documents until the last one
+    return S.pack_in_order(K.encode_lines(_placed_stream(spark, sf, ["lane"]), doc_vocab(spark, sf)), SEQ, hold=1_000_000)
 
 
 _STREAM_PACKED = f"""{ids_cte(VOCAB)}, x AS (SELECT lane, id, row_number() OVER (PARTITION BY lane ORDER BY doc_id, line_no, j) - 1 AS pos

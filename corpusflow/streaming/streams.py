@@ -53,8 +53,9 @@ def pack_stream(df: DataFrame, seq_len: int, order: str, ids: str = "ids", lane:
             .applyInPandasWithState(step, PACK_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
 
 
-LIVE_STATE = ("names array<string>, place array<bigint>, given array<bigint>, held_of array<int>, held_at array<bigint>, "
-              "held_size array<int>, held_ids array<int>, buf array<int>, next_seq bigint")
+# numbers of documents and tokens are bytes: as arrays every one of them would become an object on its way to the state and back
+LIVE_STATE = ("names array<string>, place array<bigint>, given array<bigint>, held_of binary, held_at binary, "
+              "held_size binary, held_ids binary, buf binary, next_seq bigint")
 HOLD = 10_000  # documents a lane holds back for one that has not come
 
 
@@ -71,20 +72,22 @@ class Lane:
         names, place, given, held_of, held_at, held_size, held_ids, buf, self.next_seq = state
         self.place.update(zip(names, place))
         self.given.update(zip(names, given))
-        ends = np.cumsum(np.asarray(held_size, np.int64))
-        flat = np.asarray(held_ids, np.int32)
-        for of, at, size, end in zip(held_of, held_at, held_size, ends):
-            self.held.setdefault(names[of], {})[at] = flat[end - size:end]
+        size = np.frombuffer(held_size, np.int64)
+        ends = np.cumsum(size)
+        flat = np.frombuffer(held_ids, np.int32)
+        for of, at, first, end in zip(np.frombuffer(held_of, np.int32).tolist(), np.frombuffer(held_at, np.int64).tolist(),
+                                      (ends - size).tolist(), ends.tolist()):
+            self.held.setdefault(names[of], {})[at] = flat[first:end]
             self.n += 1
-        self.out.append(np.asarray(buf, np.int32))
+        self.out.append(np.frombuffer(buf, np.int32))
 
     def state(self) -> tuple:
         names = list(self.place)
         rows = [(i, at, ids) for i, s in enumerate(names) for at, ids in sorted(self.held.get(s, {}).items())]
         none = np.zeros(0, np.int32)
-        return (names, [self.place[s] for s in names], [self.given[s] for s in names], [i for i, _, _ in rows], [at for _, at, _ in rows],
-                [len(x) for _, _, x in rows], np.concatenate([none, *[x for _, _, x in rows]]).tolist(),
-                np.concatenate([none, *self.out]).tolist(), self.next_seq)
+        return (names, [self.place[s] for s in names], [self.given[s] for s in names], np.array([i for i, _, _ in rows], np.int32).tobytes(),
+                np.array([at for _, at, _ in rows], np.int64).tobytes(), np.array([len(x) for _, _, x in rows], np.int64).tobytes(),
+                np.concatenate([none, *[x for _, _, x in rows]]).tobytes(), np.concatenate([none, *self.out]).tobytes(), self.next_seq)
 
     def add(self, source: str, place: int, ids: np.ndarray) -> None:
         if source not in self.probs:

@@ -8,6 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import evaluation as E
+from corpusflow.operators import tokens as K
+from corpusflow.plans import QUERIES, io_queries
+from corpusflow.plans.token_queries import SEQ, doc_vocab
 from corpusflow.streaming import streams as S
 
 
@@ -102,3 +105,30 @@ def test_quantiles_of_one_group_of_all_rows(spark):
     xs = np.array([(i * 7919) % 100_003 for i in range(200_000)], float)
     (r,) = E.exact_quantiles(d, "v", {"a": 0.001, "m": 0.5, "z": 0.95}, ["g"], 1000).collect()
     assert (r["a"], r["m"], r["z"]) == tuple(pytest.approx(np.quantile(xs, p), abs=1e-9) for p in (0.001, 0.5, 0.95))
+
+
+def test_what_a_lane_holds_is_stored_as_bytes():
+    one = S.Lane({"a": 1.0}, 10_000)
+    rows = [("a", k, list(range(k % 7))) for k in range(1, 3000)]  # place 0 has not come
+    feed(one, rows)
+    tokens = sum(len(ids) for _, _, ids in rows)
+    state = one.state()
+    assert sum(isinstance(x, bytes) for x in state) == 5 and sum(len(x) for x in state if isinstance(x, bytes)) == 4 * tokens + 20 * len(rows)
+    again = S.Lane({"a": 1.0}, 10_000, state)
+    feed(again, [("a", 0, [9])])
+    assert np.concatenate(again.out).tolist() == [9] + [x for _, _, ids in rows for x in ids]
+
+
+def test_a_lane_of_more_documents_than_the_usual_bound_stays_in_order(spark, folder):
+    n, lanes = 100_000, io_queries.LANES
+    d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(x), F.col("id") % 50) for x in "abc"]).alias("text"),
+                              F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    d.write.parquet(f"{folder}/documents.parquet")
+    got = {(r["lane"], r["seq_id"]): r["input_ids"] for r in QUERIES["str3_stream_pack"](spark, folder).collect()}
+    of = S.with_lanes(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id", lanes)
+    ids = K.encode_lines(of, doc_vocab(spark, folder)).orderBy("doc_id").select("lane", "ids").toPandas()
+    for lane, rows in ids.groupby("lane"):
+        assert len(rows) > S.HOLD
+        flat = np.concatenate(rows["ids"].tolist())
+        want = [",".join(map(str, x)) for x in flat[:len(flat) // SEQ * SEQ].reshape(-1, SEQ)]
+        assert [got[lane, k] for k in range(len(want))] == want
