@@ -25,6 +25,15 @@ from .text_queries import _BUCKET_SQL, _PATH_SQL, _doc_path
 from .token_queries import _PACKED, SEQ, VOCAB, doc_vocab, packed_docs
 
 
+FILE_BYTES = 32 << 20  # of text in one file, about
+
+
+def _parts_of(docs, files):
+    """Into how many parts each of ``files`` even files is dealt so that a task writes and reads ``FILE_BYTES`` of text at most."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return max(1, -(-size // (files * FILE_BYTES)))
+
+
 # ---- sources ---------------------------------------------------------------------
 
 @query("src1_read_lines", f"""
@@ -100,8 +109,9 @@ def src6_arrow(spark, sf):
     """Documents written as Arrow files with footers and as streams, four of their columns read back; one count is narrowed."""
     path = scratch_path(spark, "arrow")
     d = documents(spark, sf).withColumn("padding", F.repeat("source", 3))
-    arrow_files.write_arrow(d.where("doc_id % 2 = 0").repartition(3), f"{path}/files", rows=64)
-    arrow_files.write_arrow(d.where("doc_id % 2 = 1").repartition(2), f"{path}/deep/er/streams", rows=50, stream=True)
+    k = _parts_of(d, 5)
+    arrow_files.write_arrow(d.where("doc_id % 2 = 0").repartition(3 * k), f"{path}/files", rows=64)
+    arrow_files.write_arrow(d.where("doc_id % 2 = 1").repartition(2 * k), f"{path}/deep/er/streams", rows=50, stream=True)
     return arrow_files.read_arrow(spark, path, "doc_id bigint, text string, lang string, n_chars int", strict=True)
 
 
@@ -221,10 +231,11 @@ DOC_SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bi
 
 
 def doc_stream(spark, sf, max_files=2, files=4):
-    """The documents as a stream of files."""
-    path = scratch_path(spark, "stream-in")
-    documents(spark, sf).repartition(files).write.parquet(path)
-    return S.read_stream(spark, path, DOC_SCHEMA, max_files=max_files)
+    """The documents as a stream of files; where they would be large, each is dealt as several, and as many more come at once."""
+    path, d = scratch_path(spark, "stream-in"), documents(spark, sf)
+    k = _parts_of(d, files)
+    d.repartition(files * k).write.parquet(path)
+    return S.read_stream(spark, path, DOC_SCHEMA, max_files=max_files * k)
 
 
 def _drain(spark, df, name):
@@ -255,9 +266,9 @@ def _placed_stream(spark, sf, group):
     """The documents with their place in lane and group, as files that hold them in no order."""
     d = S.with_lanes(documents(spark, sf).select("doc_id", "text", F.col("lang").alias("source")), "doc_id", LANES)
     d = row_index(d, "doc_id", "place", group)
-    path = scratch_path(spark, "stream-in")
-    d.repartition(5, F.md5(F.col("doc_id").cast("string"))).write.parquet(path)
-    return S.read_stream(spark, path, "doc_id bigint, text string, source string, lane string, place bigint", max_files=1)
+    path, k = scratch_path(spark, "stream-in"), _parts_of(documents(spark, sf), 5)
+    d.repartition(5 * k, F.md5(F.col("doc_id").cast("string"))).write.parquet(path)
+    return S.read_stream(spark, path, "doc_id bigint, text string, source string, lane string, place bigint", max_files=k)
 
 
 def _in_order(spark, sf):

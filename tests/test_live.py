@@ -132,3 +132,17 @@ def test_a_lane_of_more_documents_than_the_usual_bound_stays_in_order(spark, fol
         flat = np.concatenate(rows["ids"].tolist())
         want = [",".join(map(str, x)) for x in flat[:len(flat) // SEQ * SEQ].reshape(-1, SEQ)]
         assert [got[lane, k] for k in range(len(want))] == want
+
+
+@pytest.mark.parametrize("name", ["str1_read_stream", "str3_stream_pack", "src6_read_arrow"])
+def test_files_of_a_round_trip_grow_in_number_not_in_size(spark, folder, monkeypatch, name):
+    monkeypatch.setattr(io_queries, "FILE_BYTES", 20_000)
+    made = []
+    monkeypatch.setattr(io_queries, "scratch_path", lambda s, x: made.append(f"{folder}/{x}-{len(made)}") or made[-1])
+    text = "word " * 100
+    d = spark.range(2000).select(F.col("id").alias("doc_id"), F.concat(F.lit(text), F.col("id")).alias("text"), F.lit("en").alias("lang"),
+                                 F.lit("s").alias("source"), F.lit(1).cast("bigint").alias("n_chars"))
+    d.write.parquet(f"{folder}/documents.parquet")
+    assert QUERIES[name](spark, folder).count() > 0
+    files = [f for _, _, names in os.walk(made[0]) for f in names if f.startswith("part-")]
+    assert len(files) >= 2000 * len(text) // 20_000
