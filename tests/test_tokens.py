@@ -3,7 +3,10 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from corpusflow.functions import arrow_text as T
 from corpusflow.operators import bpe as B
 from corpusflow.operators import tokens as K
 
@@ -116,3 +119,22 @@ def test_coverage_and_padding(spark):
     assert p.select(K.keep_right("ids", 10, 8).alias("x")).first().x == [1, 2, 3]
     long = spark.createDataFrame([(list(range(20)),)], "ids array<int>")
     assert long.select(K.keep_right("ids", 18, 8).alias("x")).first().x == list(range(10, 20))
+
+
+def test_a_batch_is_encoded_in_parts_of_bounded_bytes(monkeypatch):
+    rng = random.Random(1)
+    texts = [rng.choice(["", " ", "\n", "ä b\nc  d", "a " * rng.randrange(400)]) for _ in range(300)]
+    seen = []
+
+    def known(words):
+        seen.append(sum(map(len, words.to_pylist())))
+        return np.array([len(w) for w in words.to_pylist()], np.int32), np.ones(len(words), np.int64)
+    lists = pa.array([t.split() if t else None for t in texts], pa.list_(pa.string()))
+    calls = [lambda: T.line_ids(pa.array(texts), known, 2, False), lambda: T.line_ids(pa.array(texts).slice(7, 200), known, 2, True),
+             lambda: T.text_ids(pa.array(texts), known), lambda: T.list_ids(lists, known), lambda: T.list_ids(lists.slice(5), known),
+             lambda: T.count_line_tokens(pa.array(texts), True), lambda: T.text_ids(pa.array([], pa.string()), known)]
+    want = [c() for c in calls]
+    seen.clear()
+    monkeypatch.setattr(T, "PART_BYTES", 1000)
+    assert [c() for c in calls] == want
+    assert max(seen) < 1000 + 800 and len(seen) > 50
