@@ -22,13 +22,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.arrow_text import WordIds
 from ..session import materialize, release
-from .bpe import ALPHABET, FIRST_BYTE, FIRST_PIECE, WORD_START, alphabet, distinct_lookup
+from .bpe import ALPHABET, FIRST_PIECE, MEETINGS, WORD_START, alphabet, distinct_lookup, marked, piece_ids, split_by_length
 
 UNIT = 1 << 16         # parts of one expected occurrence
 LONGEST = 16           # characters of a piece
 UNKNOWN_BELOW = 10.0   # an unknown character scores so much below the least piece
 SPREAD = 20_000        # word types of one task
 STRIDE = 4096          # word types whose lattices are summed together
+TABLE = 1 << 22        # entries of a table of steps
+MIDDLING = 32          # longer words are summed apart from the others
 
 
 # ---- lattices ---------------------------------------------------------------------
@@ -46,48 +48,135 @@ class Lattices:
     inner: np.ndarray
 
 
-def lattices(words: list[str], ids: dict[str, int], longest: int = LONGEST) -> Lattices:
-    """Edges of all words; a character without a piece of its own has none, so its word has probability 0."""
-    size = np.array([len(w) + 1 for w in words], np.int64)
+class Trie:
+    """Pieces as paths of characters from a root, looked up for many places at once; in a table of all steps where that is small."""
+
+    def __init__(self, pieces: list[str]):
+        self.codes = np.array(sorted({ord(c) for p in pieces for c in p}), np.int64)
+        self.width = len(self.codes) + 1  # the last for all other characters
+        number = {c: i for i, c in enumerate(map(chr, self.codes.tolist()))}
+        child: dict[int, int] = {}
+        piece = [-1]
+        for k, p in enumerate(pieces):
+            at = 0
+            for c in p:
+                at = child.setdefault(at * self.width + number[c], len(piece))
+                if at == len(piece):
+                    piece.append(-1)
+            piece[at] = k
+        self.piece = np.array(piece, np.int64)
+        self.key = np.array(sorted(child), np.int64)
+        self.child = np.array([child[k] for k in sorted(child)], np.int64)
+        self.table = None
+        if len(piece) * self.width <= TABLE:
+            self.table = np.full(len(piece) * self.width, -1, np.int64)
+            self.table[self.key] = self.child
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """Code points as numbers of the characters of pieces."""
+        if not len(self.codes):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
+        return np.where(self.codes[at] == codes, at, len(self.codes))
+
+    def step(self, node: np.ndarray, number: np.ndarray) -> np.ndarray:
+        """The nodes reached by a character, -1 where there is none."""
+        want = node * self.width + number
+        if self.table is not None:
+            return self.table[want]
+        at = np.minimum(np.searchsorted(self.key, want), len(self.key) - 1)
+        return np.where(self.key[at] == want, self.child[at], -1)
+
+
+def lattices(words: list[str], trie: Trie, longest: int = LONGEST, strange: bool = False) -> Lattices:
+    """Edges of all words; a character without a piece of its own has none, so its word has probability 0, or with ``strange`` piece -1."""
+    codes, of = marked(words)
+    size = np.bincount(of, minlength=len(words))
     last = np.cumsum(size + 1) - 1
     first = last - size
-    start, end, piece, inner = [], [], [], []
-    get = ids.get
-    for base, word in zip(first.tolist(), words):
-        s = WORD_START + word
-        n = len(s)
-        for i in range(n):
-            for j in range(i + 1, min(n, i + longest) + 1):
-                k = get(s[i:j])
-                if k is not None:
-                    start.append(base + i)
-                    end.append(base + j)
-                    piece.append(k)
-                    inner.append(j)
-    order = np.argsort(np.array(inner, np.int64), kind="stable")  # by the end inside the word, so sums only use finished nodes
-    pick = lambda x: np.array(x, np.int64)[order]
-    return Lattices(len(words), first, last, pick(start), pick(end), pick(piece), pick(inner))
+    number, left = trie.numbers(codes), np.cumsum(size)[of] - np.arange(len(codes))  # characters up to the end of the word
+    place, node = np.arange(len(codes)), np.zeros(len(codes), np.int64)
+    found = [(place[:0], place[:0], place[:0])]
+    for d in range(longest):
+        inside = left[place] > d
+        place, node = place[inside], node[inside]
+        if not len(place):
+            break
+        node = trie.step(node, number[place + d])
+        there = node >= 0
+        piece = np.where(there, trie.piece[node], -1)
+        here = (piece >= 0) | (strange and d == 0)
+        found.append((place[here], np.full(np.count_nonzero(here), d + 1), piece[here]))
+        place, node = place[there], node[there]
+    place, length, piece = (np.concatenate(x) for x in zip(*found[::-1]))  # the longest first: of those into a place, the first to leave
+    start = place + of[place]
+    inner = start + length - first[of[place]]
+    small = len(inner) == 0 or inner.max() < 1 << 16  # sorted in linear time
+    order = np.argsort(inner.astype(np.uint16) if small else inner, kind="stable")  # by the end inside the word, so sums only use finished nodes
+    return Lattices(len(words), first, last, start[order], (start + length)[order], piece[order], inner[order])
 
 
 def forward_backward(x: Lattices, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-likelihood of each word, posterior of each edge)."""
+    """(log-likelihood of each word, posterior of each edge).
+
+    Sums of probabilities, each times one factor per character, which leaves posteriors as they are and keeps
+    them within the range of numbers; sums of logarithms where words are too long for that.
+    """
     nodes = int(x.last[-1]) + 1 if x.words else 0
-    weight = score[x.piece]
+    weight, length = score[x.piece], x.end - x.start
+    cut = np.flatnonzero(np.r_[True, x.inner[1:] != x.inner[:-1], True]) if len(x.inner) else np.zeros(1, np.int64)
+    of = np.searchsorted(x.last, x.end)  # the word of each edge
+    each = weight / length
+    low, high = (each.min(), each.max()) if len(each) else (0.0, 0.0)
+    if x.words and (x.last - x.first).max() * ((high - low) / 2 + 1) < 600:
+        shift = -(low + high) / 2
+        p = np.exp(weight + shift * length)
+        alpha, beta = np.zeros(nodes), np.zeros(nodes)
+        alpha[x.first], beta[x.last] = 1.0, 1.0
+        for a, b in zip(cut[:-1], cut[1:]):
+            np.add.at(alpha, x.end[a:b], alpha[x.start[a:b]] * p[a:b])
+        for a, b in zip(cut[-2::-1], cut[:0:-1]):  # edges into one place leave from different ones
+            beta[x.start[a:b]] += beta[x.end[a:b]] * p[a:b]
+        whole = alpha[x.last]
+        with np.errstate(invalid="ignore", divide="ignore"):
+            post = alpha[x.start] * p * beta[x.end] / whole[of]
+            return np.log(whole) - shift * (x.last - x.first), np.nan_to_num(post, nan=0.0)
     alpha = np.full(nodes, -np.inf)
     beta = np.full(nodes, -np.inf)
     alpha[x.first], beta[x.last] = 0.0, 0.0
-    cut = np.flatnonzero(np.r_[True, x.inner[1:] != x.inner[:-1], True]) if len(x.inner) else np.zeros(1, np.int64)
     for a, b in zip(cut[:-1], cut[1:]):
         np.logaddexp.at(alpha, x.end[a:b], alpha[x.start[a:b]] + weight[a:b])
-    for a, b in zip(cut[-2::-1], cut[:0:-1]):  # edges into one place leave from different ones
+    for a, b in zip(cut[-2::-1], cut[:0:-1]):
         np.logaddexp.at(beta, x.start[a:b], beta[x.end[a:b]] + weight[a:b])
     whole = alpha[x.last]
-    of = np.searchsorted(x.last, x.end)  # the word of each edge
     with np.errstate(invalid="ignore"):
         post = np.exp(alpha[x.start] + weight + beta[x.end] - whole[of])
     return whole, np.nan_to_num(post, nan=0.0)
 
 
+def best_edges(x: Lattices, score: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(edge, word) of the likeliest pieces of all words, in order; ties as in ``best_path``."""
+    best = np.full(int(x.last[-1]) + 1 if x.words else 0, -np.inf)
+    back = np.full(len(best), -1, np.int64)
+    best[x.first] = 0.0
+    weight, length = score[x.piece], x.end - x.start
+    cut = np.flatnonzero(np.r_[True, (np.diff(x.inner) != 0) | (np.diff(length) != 0), True]) if len(length) else np.zeros(1, np.int64)
+    for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):  # one edge into a place at a time
+        v = weight[a:b] + best[x.start[a:b]]
+        better = np.flatnonzero(v > best[x.end[a:b]])
+        at = x.end[a:b][better]
+        best[at], back[at] = v[better], a + better
+    word, at, taken = np.arange(x.words), x.last, []
+    while len(word):
+        edge = back[at]
+        word, edge = word[edge >= 0], edge[edge >= 0]
+        taken.append((edge, word))
+        at = x.start[edge]
+    edge, word = (np.concatenate(v) for v in zip(*taken[::-1])) if taken else (x.piece[:0], x.piece[:0])
+    order = np.argsort(word, kind="stable")
+    return edge[order], word[order]
+
+
 def best_path(s: str, score: dict[str, float], unknown: float, longest: int = LONGEST, barred: str | None = None) -> tuple[float, list[str]]:
     """The likeliest pieces of ``s``; of equally likely ones those whose last piece is longest, then the one before it.
 
@@ -131,36 +220,88 @@ class Unigram:
         return min(self.score.values(), default=0.0) - UNKNOWN_BELOW
 
 
-def seed_pieces(counts: DataFrame, seeds: int, longest: int = LONGEST) -> DataFrame:
-    """``(piece, n)``: the ``seeds`` substrings of two characters or more with the most characters in all, seen twice at least."""
-    s = F.concat(F.lit(WORD_START), "token")
-    last = F.length("s")
-    starts = F.sequence(F.lit(1), last - 1)
+def _substrings(runs: DataFrame, least: int, most: int) -> DataFrame:
+    """``(piece, n)``: all substrings of ``least`` to ``most`` characters of ``run, n``."""
+    starts = F.sequence(F.lit(1), F.col("l") - least + 1)
     parts = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(2), F.least(F.lit(longest), F.col("l") - i + 1)), lambda k: F.substring(F.col("s"), i, k))))
-    d = counts.select(s.alias("s"), "n").withColumn("l", last).where("l >= 2")
-    d = d.select("n", F.explode(parts).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n")).where("n > 1")
-    return d.orderBy(F.desc(F.col("n") * F.length("piece")), "piece").limit(seeds)
+        F.sequence(F.lit(least), F.least(F.lit(most), F.col("l") - i + 1)), lambda k: F.substring(F.col("run"), i, k))))
+    d = runs.withColumn("l", F.length("run")).where(F.col("l") >= least)
+    return d.select("n", F.explode(parts).alias("piece")).groupBy("piece").agg(F.sum("n").alias("n"))
+
+
+def _runs_of(runs: DataFrame, kept: list[str], size: int) -> DataFrame:
+    """``(run, n)``: the longest parts of ``run, n`` all of whose substrings of ``size`` characters are ``kept``, longer than ``size``."""
+    known = runs.sparkSession.sparkContext.broadcast(frozenset(kept))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep = known.value
+        for b in batches:
+            out, many = [], []
+            for s, n in zip(b.column("run").to_pylist(), b.column("n").to_pylist()):
+                first = 0
+                for i in range(len(s) - size + 1):
+                    if s[i:i + size] not in keep:
+                        if i + size - 1 - first > size:
+                            out.append(s[first:i + size - 1])
+                            many.append(n)
+                        first = i + 1
+                if len(s) - first > size:
+                    out.append(s[first:])
+                    many.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(many, pa.int64())], ["run", "n"])
+    return runs.select("run", "n").mapInArrow(run, "run string, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+
+
+def seed_pieces(counts: DataFrame, seeds: int, longest: int = LONGEST) -> DataFrame:
+    """``(piece, n)``: the ``seeds`` substrings of two characters or more with the most characters in all, seen twice at least.
+
+    A substring is at most as frequent as those inside it. So longer ones are only looked for in runs whose shorter ones
+    are frequent enough for ``longest`` characters to be among the best found so far.
+    """
+    runs = counts.select(F.concat(F.lit(WORD_START), "token").alias("run"), "n")
+    value = F.col("n") * F.length("piece")
+    tables, least, at, found = [], 2, 2, None
+    for last in sorted({min(3, longest), min(6, longest), longest}):
+        if at > 2:
+            kept = found.where((F.length("piece") == at - 1) & (F.col("n") >= least)).select("piece").limit(MEETINGS + 1).collect()
+            if len(kept) <= MEETINGS:  # else nothing is cut
+                runs = materialize(_runs_of(runs, [r.piece for r in kept], at - 1), "runs")
+                tables.append(runs)
+        some = materialize(_substrings(runs, at, last).where(F.col("n") >= least), "substrings")
+        tables.append(some)
+        found = some if found is None else found.unionByName(some)
+        best = found.select(value.alias("v")).orderBy(F.desc("v")).limit(max(seeds, 1)).agg(F.min("v").alias("v"), F.count("v").alias("k")).first()
+        if best.k == seeds:
+            least = max(least, -(-best.v // longest))
+        at = last + 1
+    out = materialize(found.orderBy(F.desc(value), "piece").limit(seeds), "seeds")
+    for t in tables:
+        release(t)
+    return out
 
 
 def expected_counts(counts: DataFrame, score: dict[str, float], longest: int = LONGEST) -> tuple[dict[str, int], float]:
     """Expected occurrences of each piece over all word types, in units, and the log-likelihood of the corpus."""
     pieces = list(score)
-    model = counts.sparkSession.sparkContext.broadcast(({p: i for i, p in enumerate(pieces)}, np.array([score[p] for p in pieces])))
+    model = counts.sparkSession.sparkContext.broadcast((pieces, np.array([score[p] for p in pieces])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, value = model.value
+        names, value = model.value
+        trie = Trie(names)
         total = np.zeros(len(value) + 1, np.int64)
         for b in batches:
             for at in range(0, b.num_rows, STRIDE):
                 part = b.slice(at, STRIDE)
-                n = part.column("n").to_numpy()
-                x = lattices(part.column("token").to_pylist(), ids, longest)
-                whole, post = forward_backward(x, value)
-                of = np.searchsorted(x.last, x.end)
-                np.add.at(total, x.piece, np.rint(post * n[of] * UNIT).astype(np.int64))
-                known = np.isfinite(whole)
-                total[-1] += np.rint(whole[known] * n[known] * UNIT).astype(np.int64).sum()
+                words = part.column("token").to_pylist()
+                long = np.fromiter(map(len, words), np.int64, len(words)) > MIDDLING
+                for rows in filter(len, (np.flatnonzero(~long), np.flatnonzero(long))):
+                    n = part.column("n").to_numpy()[rows]
+                    x = lattices([words[i] for i in rows.tolist()], trie, longest)
+                    whole, post = forward_backward(x, value)
+                    of = np.searchsorted(x.last, x.end)
+                    np.add.at(total, x.piece, np.rint(post * n[of] * UNIT).astype(np.int64))
+                    known = np.isfinite(whole)
+                    total[-1] += np.rint(whole[known] * n[known] * UNIT).astype(np.int64).sum()
         hit = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(hit.astype(np.int32)), pa.array(total[hit])], ["id", "c"])
     rows = counts.select("token", "n").mapInArrow(run, "id int, c bigint").groupBy("id").agg(F.sum("c").alias("c")).collect()
@@ -242,16 +383,23 @@ class UnigramModel:
 
         def splitter():
             ids, score, unknown, longest = data.value
-
-            def split(word: str) -> list[int]:
-                out: list[int] = []
-                for p in best_path(WORD_START + word, score, unknown, longest)[1]:
-                    if p in ids:
-                        out.append(ids[p])
-                    else:
-                        out.extend(FIRST_BYTE + b for b in p.encode())
-                return out
-            return split
+            names = list(score)
+            trie, value = Trie(names), np.array([*score.values(), unknown])
+            number = np.array([ids[p] for p in names], np.int32)
+
+            def together(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+                x = lattices(words, trie, longest, strange=True)
+                edge, word = best_edges(x, value)
+                piece = x.piece[edge]
+                strange = marked(words)[0][(x.start[edge] - word)[piece < 0]]  # characters without a piece
+                own = [piece_ids([chr(c)], ids) for c in strange.tolist()]
+                size = np.ones(len(piece), np.int64)
+                size[piece < 0] = [len(o) for o in own]
+                out = np.repeat(np.r_[number, np.int32(0)][piece], size)
+                out[np.repeat(piece < 0, size)] = [i for o in own for i in o]
+                return out, np.bincount(word, size, len(words)).astype(np.int64)
+            return lambda words: split_by_length(
+                words, together, lambda w: piece_ids(best_path(WORD_START + w, score, unknown, longest)[1], ids))
         return distinct_lookup(splitter)
 
 

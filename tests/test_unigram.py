@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from corpusflow.operators import bpe as B
@@ -120,3 +121,77 @@ def test_the_index_touches_only_types_that_hold_the_pair():
 def test_merges_of_no_words(spark):
     assert B.learn_bpe(table(spark, {}, 1), 5) == []
     assert U.learn_unigram(table(spark, {}, 1), 5).score == {}
+
+
+def random_types(seed, n, letters="aaabbcdefghé▁", longest=14):
+    r = random.Random(seed)
+    return {"".join(r.choice(letters) for _ in range(r.randrange(1, longest))): r.randrange(1, 40) for _ in range(n)}
+
+
+def written(monkeypatch, module, name):
+    """Rows of every table the module writes by that name."""
+    rows, write = [], module.materialize
+
+    def seen(df, to):
+        out = write(df, to)
+        if to == name:
+            rows.append(out.count())
+        return out
+    monkeypatch.setattr(module, "materialize", seen)
+    return rows
+
+
+@pytest.mark.parametrize("n_merges", [3, 12, 60])
+def test_merges_are_learned_from_runs_of_frequent_pairs(spark, monkeypatch, n_merges):
+    counts = random_types(n_merges, 400) | {"é": 3, "aaaaaaa": 50, "日本日本": 2}
+    rows = written(monkeypatch, B, "runs")
+    assert B.learn_bpe(table(spark, counts), n_merges, batch=6) == plain_bpe(counts, n_merges)
+    assert rows and (n_merges > 3 or max(rows) < 250)
+
+
+def test_words_are_split_together_like_one_by_one(spark, monkeypatch):
+    counts = random_types(5, 200)
+    words = [*random_types(6, 300, "aabcdéxyz日▁"), "a" * 64, "ab" * 90, "", "é" * 65]
+    merges = [(a, b) for a, b, _ in plain_bpe(counts, 40)]
+    pieces = B.BpeModel(spark, ["a", "b", "é"], merges)
+    likely = U.UnigramModel(spark, U.Unigram({p: -1.0 - k % 5 / 4 for k, p in enumerate(["▁", "a", "b", "ab", "aab", "▁a", "é", "da", "bcd"])}))
+    ids, score, unknown, longest = likely.data.value
+    want = [[B.piece_ids(B.bpe_pieces(w, pieces.ranks), pieces.ids) for w in words],
+            [B.piece_ids(U.best_path(B.WORD_START + w, score, unknown, longest)[1], ids) for w in words]]
+    asked = []
+    for module, name in ((B, "bpe_pieces"), (U, "best_path")):
+        one = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda w, *rest, one=one: asked.append(w) or one(w, *rest))
+    for model, ids_of in zip((pieces, likely), want):
+        got, size = model.word_ids()(pa.array(words))
+        assert got.tolist() == [i for w in ids_of for i in w] and size.tolist() == [len(w) for w in ids_of]
+    assert all(len(w) > B.LONG for w in asked)
+
+
+@pytest.mark.parametrize("seeds", [5, 40, 5000])
+def test_seeds_are_looked_for_in_frequent_runs_only(spark, monkeypatch, seeds):
+    counts = random_types(seeds, 300) | {"abcabcabcabcabcabc": 90, "é": 1}
+    n = {}
+    for w, c in counts.items():
+        s = B.WORD_START + w
+        for i, j in itertools.combinations(range(len(s) + 1), 2):
+            if 2 <= j - i <= U.LONGEST:
+                n[s[i:j]] = n.get(s[i:j], 0) + c
+    want = sorted(((p, c) for p, c in n.items() if c > 1), key=lambda x: (-x[1] * len(x[0]), x[0]))[:seeds]
+    rows = written(monkeypatch, U, "substrings")
+    got = [tuple(r) for r in U.seed_pieces(table(spark, counts), seeds).collect()]
+    assert sorted(got) == sorted(want)
+    assert rows and (seeds > 5 or sum(rows) < len(n) / 4)
+
+
+@pytest.mark.parametrize("steps", [0, U.TABLE])
+def test_sums_of_probabilities_equal_sums_of_logarithms(monkeypatch, steps):
+    monkeypatch.setattr(U, "TABLE", steps)
+    words = list(random_types(9, 200, "abcdx", 12))
+    trie = U.Trie(["▁", "a", "b", "c", "d", "ab", "abc", "▁a", "cd", "dd"])
+    score = np.linspace(-1.5, -9, 10)
+    x, y = U.lattices(words, trie), U.lattices([*words, "ab" * 300], trie)  # the long one makes the other sum needed
+    (whole, post), (logs, more) = U.forward_backward(x, score), U.forward_backward(y, score)
+    assert whole == pytest.approx(logs[:-1], abs=1e-9) and np.isinf(whole).any() and np.isfinite(whole).any()
+    own = np.searchsorted(y.last, y.end) < len(words)
+    assert post == pytest.approx(more[own], abs=1e-9)
