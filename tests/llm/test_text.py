@@ -263,3 +263,38 @@ def test_drawn_windows_stand_for_their_keys():
     got = secrets.planted(hosts, 30, 3)
     assert got.shape == (30, secrets.SIZE) and (got == secrets.planted(hosts, 30, 3)).all()
     assert len(secrets.planted(hosts, 0, 3)) == 0 and (got[0, :secrets.BEFORE] == 1).all()
+
+
+def test_all_findings_take_part_in_training(spark):
+    """Rows beyond the windows that training starts from change the network, their layout does not, and the threshold
+    finds 0.98 of all distinct secrets kept out of training."""
+    r = random.Random(31)
+    made = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    texts = [f"{made('abcdefgh', 9)} token={made('0123456789abcdef', 24)} {made('ghijklm', 12)}/{i}{made('opq', 8)}" for i in range(400)]
+    docs = spark.createDataFrame(list(enumerate([None, "", *texts, texts[0]])), "doc_id bigint, text string")
+
+    def trained(d):
+        net = secrets.train(secrets.findings(d, "doc_id", "text", 40), 40)
+        return net, np.concatenate([p.ravel() for p in (net.emb, net.conv, net.bias, net.out)])
+    net, params = trained(docs)
+    x, y, h = secrets.labelled(texts)
+    assert np.bincount(y).min() > 300
+    least = np.concatenate([np.sort(h[y == v])[:40] for v in (0, 1, 2)])
+    beyond = next(i for i, t in enumerate(texts) if i and not np.isin(secrets.labelled([t])[2], least).any())
+    assert not np.allclose(params, trained(docs.where(f"doc_id <> {beyond + 2}"))[1], rtol=0, atol=1e-9)
+    assert np.allclose(params, trained(docs.repartition(3, "text"))[1], rtol=0, atol=1e-9)
+    held = (y == 2) & secrets.held_out(h)
+    assert held.sum() > 50
+    rest = np.concatenate([x[y == v][np.argsort(h[y == v])[:40]] for v in (1, 0)])
+    shown = secrets.varied(x[held], h[held], y[held] == 2, rest)
+    assert (net.probability(shown) >= net.threshold).mean() >= 0.98
+
+
+def test_scores_of_short_and_long_values_agree_with_training():
+    r = np.random.default_rng(2)
+    net = secrets.Network.start(4)
+    net.bias += r.normal(0, 0.3, len(net.bias))
+    x = r.integers(0, secrets.SYMBOLS, (300, secrets.SIZE)).astype(np.uint8)
+    for i, n in enumerate(r.integers(0, secrets.INSIDE + 1, len(x))):
+        x[i, secrets.BEFORE + n:secrets.BEFORE + secrets.INSIDE] = 0
+    assert np.allclose(net.raw(x), net._forward(x)[-1], atol=1e-4) and len(net.raw(x[:0])) == 0
