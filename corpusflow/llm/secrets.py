@@ -8,7 +8,7 @@ windows with the characters around them, overlapping along the whole of a long f
 counts. Training starts from a bounded number of windows of each label (secrets, others with a letter and a digit, others
 without) and goes on over the windows of all rows: rows are dealt to lanes by hash, each lane trains a copy along all its
 windows, and the mean of the copies is kept, as in parameter mixing. A window's loss is the logistic one, level beyond a
-margin, so windows told apart clearly need no gradient. The labels weigh as much as each other, however rare.
+margin, so windows told apart clearly need no gradient. Each label has its share of the loss, however rare.
 A third of each has its surroundings blanked so that the value itself must tell, a third of the rules'
 secrets is set behind another finding, some of the last are also in capitals. A quarter of the rules' secrets, by hash, is never
 trained on: the threshold is the greatest that still finds ``recall`` of all distinct ones of that quarter, and of drawn keys
