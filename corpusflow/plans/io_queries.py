@@ -238,9 +238,9 @@ def doc_stream(spark, sf, max_files=2, files=4):
     return S.read_stream(spark, path, DOC_SCHEMA, max_files=max_files * k)
 
 
-def _drain(spark, df, name):
+def _drain(spark, df, name, lanes=None):
     out, chk = scratch_path(spark, name), scratch_path(spark, f"{name}-checkpoint")
-    S.run_to_files(df, out, chk)
+    S.run_to_files(df, out, chk, lanes)
     return spark.read.schema(df.schema).parquet(out)
 
 
@@ -285,7 +285,7 @@ FROM x GROUP BY 1, 2 HAVING count(*) = {SEQ}"""
 @query("str3_stream_pack", f"WITH {_STREAM_PACKED}")
 def str3(spark, sf):
     """Five files in no order, one a micro-batch; each lane's content is that of its documents in order."""
-    d = _drain(spark, _in_order(spark, sf), "str3")
+    d = _drain(spark, _in_order(spark, sf), "str3", LANES)
     return d.select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 

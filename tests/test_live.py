@@ -119,6 +119,72 @@ def test_what_a_lane_holds_is_stored_as_bytes():
     assert np.concatenate(again.out).tolist() == [9] + [x for _, _, ids in rows for x in ids]
 
 
+def arrivals(probs, n, seed):
+    """Micro-batches of chunks: documents in any order, some late, some twice."""
+    r = random.Random(seed)
+    rows = [(s, k, [r.randrange(99) for _ in range(r.randrange(0, 12))]) for s in probs for k in range(n)]
+    r.shuffle(rows)
+    rows += r.sample(rows, 20)
+    return [[rows[k:k + 40] for k in range(at, at + 200, 40)] for at in range(0, len(rows), 200)]
+
+
+@pytest.mark.parametrize("hold", [10_000, 150])
+def test_a_lane_with_files_gives_what_one_in_memory_gives(folder, monkeypatch, hold):
+    monkeypatch.setattr(S, "HELD_BYTES", 4_000)
+    monkeypatch.setattr(S, "STATE_BYTES", 1_000)
+    monkeypatch.setattr(S, "READ_TOKENS", 64)
+    probs = {"a": 0.6, "b": 0.3, "c": 0.1}
+    state, filed, most = None, None, 0
+    for batch in arrivals(probs, 400, hold):
+        plain, one = S.Lane(probs, hold, state), S.Lane(probs, hold, filed, folder)
+        for chunk in batch:
+            for lane in (plain, one):
+                for s, at, ids in chunk:
+                    lane.add(s, at, np.array(ids, np.int32))
+            plain.drain()
+            want, got, more = plain.sequences(8).tolist(), [], True
+            while more:
+                more = one.drain(50)
+                got += one.sequences(8).tolist()
+            assert got == want and one.next_seq == plain.next_seq and one.n == plain.n
+            one.file_away(S.HELD_BYTES)
+            assert one.n_bytes <= S.HELD_BYTES
+        state, filed = plain.state(), one.state()
+        most = max(most, sum(len(x) for x in state if isinstance(x, bytes)))
+        assert sum(len(x) for x in filed if isinstance(x, bytes)) <= S.STATE_BYTES
+    assert most > 4 * S.STATE_BYTES or hold < 1000
+
+
+def test_files_of_a_lane_outlive_a_repeated_batch_and_go_in_the_next(folder, monkeypatch):
+    monkeypatch.setattr(S, "STATE_BYTES", 0)
+
+    def batch(state, rows):
+        one = S.Lane({"": 1.0}, 10_000, state, folder)
+        feed(one, rows)
+        return one.sequences(2).tolist(), one.state()
+    _, first = batch(None, [("", k, [k]) for k in range(1, 8)])
+    assert len(os.listdir(folder)) == 1 and not first[7]
+    want, again = batch(first, [("", 0, [0])])
+    assert want == [[0, 1], [2, 3], [4, 5], [6, 7]]
+    assert batch(first, [("", 0, [0])]) == (want, again) and len(os.listdir(folder)) == 1
+    assert batch(again, [("", k, [k]) for k in (8, 9)])[0] == [[8, 9]] and os.listdir(folder) == []
+
+
+def test_a_stream_holds_documents_in_files_and_few_state_partitions(spark, folder, monkeypatch):
+    monkeypatch.setattr(S, "STATE_BYTES", 100)
+    d, rows = placed(spark, 400)
+    d.repartition(6, F.xxhash64("place", "lane")).write.parquet(f"{folder}/in")
+    stream = S.read_stream(spark, f"{folder}/in", "lane string, place bigint, ids array<int>", max_files=1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    S.run_to_files(S.pack_in_order(stream, 10, folder=f"{folder}/held"), f"{folder}/out", f"{folder}/chk", lanes=3)
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+    assert sum(x.isdigit() for x in os.listdir(f"{folder}/chk/state/0")) == 6 and len(os.listdir(f"{folder}/held")) > 0
+    got = {(r["lane"], r["seq_id"]): r["input_ids"] for r in spark.read.parquet(f"{folder}/out").collect()}
+    for lane in ("0", "1"):
+        flat = [x for s, _, ids in rows if s == lane for x in ids]
+        assert [got[lane, k] for k in range(len(flat) // 10)] == [flat[k * 10:k * 10 + 10] for k in range(len(flat) // 10)]
+
+
 def test_a_lane_of_more_documents_than_the_usual_bound_stays_in_order(spark, folder):
     n, lanes = 100_000, io_queries.LANES
     d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(x), F.col("id") % 50) for x in "abc"]).alias("text"),
