@@ -299,7 +299,7 @@ def str4(spark, sf):
 def str5(spark, sf):
     """Shards of exactly 100 sequences over five micro-batches, and the open rest."""
     path, chk = scratch_path(spark, "str5"), scratch_path(spark, "str5-checkpoint")
-    S.shards_to_files(_in_order(spark, sf), path, chk, 100)
+    S.shards_to_files(_in_order(spark, sf), path, chk, 100, LANES)
     return S.read_shards(spark, path).select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
 
 
