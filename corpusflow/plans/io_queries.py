@@ -329,5 +329,5 @@ def mix_streamed_pretraining(spark, sf):
     """Live sources read, tokenised, mixed by temperature weights and packed, up to the first source that has no document left."""
     probs = {r["source"]: r["prob"] for r in M.temperature_weights(_lang_spec(spark, sf), 0.5).collect()}  # one row per source
     d = K.encode_lines(_placed_stream(spark, sf, ["lane", "source"]), doc_vocab(spark, sf))
-    d = _drain(spark, S.pack_live(d, SEQ, probs, "source", hold=1_000_000), "mixed")
+    d = _drain(spark, S.pack_live(d, SEQ, probs, "source", hold=1_000_000), "mixed", LANES)
     return d.select("lane", "seq_id", F.array_join("input_ids", ",").alias("input_ids"))
